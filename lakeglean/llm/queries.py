@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, decontaminate, pack
+from . import avi, decontaminate, pack, simhash
 from .common import table
 
 
+def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.read_avi(avi.to_avi(table(spark, sf_dir, "documents")))
 
@@ -24,6 +28,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_balls": op2_simhash_balls,
     "op3_avi_clips": op3_avi_clips,
     "op5_vector_packing": op5_vector_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
