@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import avi, decontaminate, pack, simhash
-from .common import table
+from . import avi, decontaminate, pack, quality, simhash
+from .common import fold, table
 
 
 def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +28,17 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(found)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_balls": op2_simhash_balls,
     "op3_avi_clips": op3_avi_clips,
     "op5_vector_packing": op5_vector_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.ORACLE}
