@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, pack, pii, quality, simhash
+from . import avi, decontaminate, pack, pii, preference, quality, simhash, urlrules
 from .common import fold, table
 
 
@@ -23,6 +23,14 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.stale_reply_pairs(table(spark, sf_dir, "conversations")), "conv_id")
+
+
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs)).drop("redacted")
@@ -43,8 +51,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_balls": op2_simhash_balls,
     "op3_avi_clips": op3_avi_clips,
     "op5_vector_packing": op5_vector_packing,
+    "op6_url_rules": op6_url_rules,
+    "op7_preference_pairs": op7_preference_pairs,
     "op8_pii_spans": op8_pii_spans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op7_preference_pairs": preference.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
