@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, pack, pii, preference, quality, simhash, urlrules
+from . import avi, decontaminate, lm, pack, pii, preference, quality, simhash, urlrules
 from .common import fold, table
 
 
+def op1_gru_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lm.score(docs, lm.train(docs.where(fold(F.col("doc_id"), 5) != 1)))
+    return found.withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
+
+
 def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gru_likelihood": op1_gru_likelihood,
     "op2_simhash_balls": op2_simhash_balls,
     "op3_avi_clips": op3_avi_clips,
     "op5_vector_packing": op5_vector_packing,
