@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, lm, pack, pii, preference, quality, simhash, urlrules
+from . import avi, decontaminate, lm, pack, pii, preference, quality, simhash, suffix, urlrules
 from .common import fold, table
 
 
@@ -25,6 +25,10 @@ def op3_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.read_avi(avi.to_avi(table(spark, sf_dir, "documents")))
 
 
+def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gru_likelihood": op1_gru_likelihood,
     "op2_simhash_balls": op2_simhash_balls,
     "op3_avi_clips": op3_avi_clips,
+    "op4_suffix_levels": op4_suffix_levels,
     "op5_vector_packing": op5_vector_packing,
     "op6_url_rules": op6_url_rules,
     "op7_preference_pairs": op7_preference_pairs,
