@@ -1 +1,5 @@
-"""Part of lakeglean."""
+"""The registered queries, by subject."""
+
+from . import text_queries
+
+BOOKS = (text_queries.book,)
