@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, record_batch, slices, texts
+from .common import hashed_share, map_slices, record_batch, slices, texts
 
 BUCKETS = 1 << 14
 DIM = 32
 NONZERO = 4
-#: Labelled rows that the network is fitted on at most.
+#: Labelled rows that the network is fitted on, but for a tenth.
 TRAIN_ROWS = 20_000
 HIDDEN = 24
 #: Rows of the word-vector table that travel together.
@@ -191,11 +191,11 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Word vectors from all of docs; the network from at most `rows` of the labelled ones, chosen by a hash of the id."""
+    """Word vectors from all of docs; the network from about `rows` of the labelled ones, chosen by a hash of the id."""
     vectors = word_vectors(docs, id_col, text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    chosen = chosen.join(own.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    chosen = hashed_share(chosen, F.col("doc_id"), rows, chosen.count())
     sample = own.join(F.broadcast(chosen), "doc_id")  # `rows` ids and labels at most
 
     def features(batch: pa.RecordBatch) -> dict:
