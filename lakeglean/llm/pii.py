@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts
+from ..operators.components import cut
+from .common import hashed_share, map_slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O; first and later characters of each kind
@@ -263,14 +264,14 @@ def spans_of(model: Tagger | None, text: str) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-SAMPLE = "key long, symbols array<int>, tags array<int>"
+SAMPLE = "key long, other boolean, symbols binary, tags binary"
 
 
 def train(docs: DataFrame, windows: int = TRAIN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
     """A tagger from windows around base spans (two thirds of the sample) and around other digits."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        keys, xs, ys = [], [], []
+        keys, others, xs, ys = [], [], [], []
         for raw in batch.column("text").to_pylist():
             text = raw.decode("utf-8", "replace")
             first = _TRIGGER.search(text)
@@ -280,23 +281,22 @@ def train(docs: DataFrame, windows: int = TRAIN_WINDOWS, id_col: str = "doc_id",
             x, y = symbols(text), tags_of(spans, len(text))
             digest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
             for i, at in enumerate([a for _, a, _ in spans] or [first.start()]):
-                h = (digest + i * 0x9E3779B97F4A7C15) & (1 << 61) - 1
+                h = (digest + i * 0x9E3779B97F4A7C15) & (1 << 63) - 1
                 start = max(0, at - h % (WINDOW - 24))
-                cut = _cut(x, np.array([start]))[0]
-                tags = np.zeros(WINDOW, np.int64)
+                tags = np.zeros(WINDOW, np.uint8)
                 own = y[start : start + WINDOW]
                 tags[: len(own)] = own
-                keys.append(h * 2 + (not spans)), xs.append(cut), ys.append(tags)
-        return {"key": keys, "symbols": xs, "tags": ys}
-
-    found = map_slices(texts(docs, id_col, text_col), run, SAMPLE)
-    x, y = [], []
-    found = found.select("*", F.pmod("key", F.lit(2)).alias("other")).dropDuplicates(["key"])
-    for other, n in ((0, windows * 2 // 3), (1, windows // 3)):
-        for r in found.where(F.col("other") == other).orderBy("key").limit(n).collect():  # at most `windows` in all
-            x.append(r.symbols), y.append(r.tags)
-    tags = np.array(y, np.int64)
-    return fit(np.array(x, np.int64), tags) if len(x) and tags.any() else None
+                keys.append(h), others.append(not spans), xs.append(_cut(x, np.array([start]))[0].astype(np.uint8).tobytes()), ys.append(tags.tobytes())
+        return {"key": keys, "other": others, "symbols": xs, "tags": ys}
+
+    found = cut(map_slices(texts(docs, id_col, text_col), run, SAMPLE).dropDuplicates(["key"]))
+    totals = {r.other: r.n for r in found.groupBy("other").agg(F.count("*").alias("n")).collect()}
+    chosen = []
+    for other, n in ((False, windows * 2 // 3), (True, windows // 3)):
+        chosen += hashed_share(found.where(F.col("other") == other), F.col("key"), n, totals.get(other, 0)).collect()  # bounded
+    chosen.sort(key=lambda r: r.key)
+    x, tags = (np.array([np.frombuffer(r[c], np.uint8) for r in chosen], np.int64).reshape(-1, WINDOW) for c in ("symbols", "tags"))
+    return fit(x, tags) if tags.any() else None
 
 
 def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
