@@ -98,5 +98,6 @@ def judge(pages: DataFrame, listed: tuple = LISTED, min_support: float = MIN_SUP
     open_ = own.where("listed is null").select("items").distinct()
     hits = open_.withColumn("key", F.explode("items")).join(rules.table, "key").where(F.size(F.array_except("antecedent", "items")) == 0)
     best = hits.groupBy("items").agg(F.max(F.struct("confidence", "support", F.size("antecedent").alias("n"), F.array_join("antecedent", " ").alias("learned"), "verdict")).alias("best"))
-    joined = own.withColumn("items", F.when(F.col("listed").isNull(), F.col("items"))).join(best, "items", "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("listed", "best.verdict", F.lit("allow")).alias("verdict"), F.col("best.learned").alias("learned"))
+    settled = own.where("listed is not null").select("page_id", "host", "path", "rule", F.col("listed").alias("verdict"), F.lit(None).cast("string").alias("learned"))
+    joined = own.where("listed is null").join(best, "items", "left")
+    return settled.unionByName(joined.select("page_id", "host", "path", "rule", F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.col("best.learned").alias("learned")))
