@@ -159,7 +159,7 @@ def multi_split(c: Column, markers: list[str]) -> Column:
     """Split at any of the literal markers; trimmed, blanks out."""
     import re
 
-    return F.filter(F.transform(F.split(c, "|".join(re.escape(m) for m in markers)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "|".join(re.escape(m) for m in markers)), lambda y: F.trim(y)), lambda x: x != "")
 
 
 def fill(template: str, **cols: Column) -> Column:
@@ -227,7 +227,7 @@ def page_title(title: Column, meta_title: Column, markdown: Column, url: Column)
 def page_description(markdown: Column, most: int = 200) -> Column:
     """The first paragraph without headings, cut with '...'."""
     body = F.regexp_replace(markdown, r"(?m)^#+\s+.*$", "")
-    first = F.coalesce(F.get(F.filter(F.transform(F.split(body, "\n\n"), F.trim), lambda x: x != ""), 0), F.lit(""))
+    first = F.coalesce(F.get(F.filter(F.transform(F.split(body, "\n\n"), lambda y: F.trim(y)), lambda x: x != ""), 0), F.lit(""))
     return F.when(F.length(first) > most, F.concat(F.substring(first, 1, most), F.lit("..."))).otherwise(first)
 
 
