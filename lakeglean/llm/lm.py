@@ -39,7 +39,9 @@ EMBED, HIDDEN = 12, 16
 WINDOW, LANES = 32, 512
 #: Words whose counts travel to the tasks at most.
 HEAD = 1 << 17
-WARM = 8
+WARM = 16
+#: In training, longer documents go on from a zero state after so many tokens; in scoring, never.
+SEGMENT = 2048
 SLICE = 24 << 20
 
 Params = dict[str, np.ndarray]
@@ -267,23 +269,25 @@ def output(p: Params, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: P
 def backward(p: Params, x: np.ndarray, kept: list, dout: np.ndarray, grads: Params) -> None:
     """Gradients through the steps of one window; they end at its first step and at each document's first."""
     ut, dh, first = p["u"].T.copy(), np.zeros_like(dout[0]), x == START
-    da = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-    dx = np.empty_like(da)
+    h, z, r, hn, n = (np.stack(k) for k in zip(*kept, strict=True))
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), hn * r * (1 - r)
+    dx = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+    da = np.empty_like(dx)
+    fresh = first.any(1)
     for t in range(len(x) - 1, -1, -1):
-        h, z, r, hn, n = kept[t]
         dh += dout[t]
-        dn = dh * (1 - z)
-        dn *= 1 - n * n
-        dx[t, :, :HIDDEN] = dh * (h - n) * z * (1 - z)
-        dx[t, :, HIDDEN : 2 * HIDDEN] = dn * hn * r * (1 - r)
-        dx[t, :, 2 * HIDDEN :] = dn
-        da[t] = dx[t]
-        da[t, :, 2 * HIDDEN :] *= r
-        dh *= z
+        d = dx[t]
+        np.multiply(dh, to_n[t], out=d[:, 2 * HIDDEN :])
+        np.multiply(dh, to_z[t], out=d[:, :HIDDEN])
+        np.multiply(d[:, 2 * HIDDEN :], to_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
+        da[t] = d
+        da[t, :, 2 * HIDDEN :] *= r[t]
+        dh *= z[t]
         dh += da[t] @ ut
-        dh[first[t]] = 0
+        if fresh[t]:
+            dh[first[t]] = 0
     flat = dx.reshape(-1, 3 * HIDDEN)
-    grads["u"] += np.stack([k[0] for k in kept]).reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
+    grads["u"] += h.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
     grads["g"] += flat.sum(0)
     ids = x.ravel()
     grads["x"] += p["e"][ids].T @ flat
@@ -357,7 +361,8 @@ def _round(docs: DataFrame, vocab: Vocabulary, p: Params) -> Params:
         v, own = sent.value[0], {k: a.copy() for k, a in sent.value[1].items()}
         adam, n = Adam(own), 0
         for batch in slices(batches, "text", SLICE):
-            n += learn(own, v, [_numbers(v.ids, t) for t in batch.column("text").to_pylist()], adam)
+            rows = [_numbers(v.ids, t) for t in batch.column("text").to_pylist()]
+            n += learn(own, v, [y[s : s + SEGMENT] for y in rows for s in range(0, len(y), SEGMENT)], adam)
         if n:
             flat = np.concatenate([own[k].ravel() for k in names]).astype(np.float64) * n
             cuts = [flat[s : s + part] for s in range(0, len(flat), part)]
@@ -400,7 +405,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     if vocab.words:
         vocab.__setstate__(vocab.__getstate__())
         share = F.pmod(F.xxhash64("text"), F.lit(WARM))
-        for some in (own.where(share == 0), own.where(share != 0)):
+        tasks = max(1, own.rdd.getNumPartitions() // WARM)  # as full as the others
+        for some in (own.where(share == 0).coalesce(tasks), own.where(share != 0)):
             p = _round(some, vocab, p)
     return Model(vocab, p, counts)
 
