@@ -30,11 +30,10 @@ def extract_entities(docs: DataFrame, types: tuple = ("PERSON", "ORG", "EMAIL",
 
 def extract_keywords(docs: DataFrame, k: int = 20, least: int = 3) -> DataFrame:
     """(doc_id, keyword, n, score): the most frequent words of ASCII letters, long enough and no stop words; equals by the word."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9_à-öø-ÿ])[a-z]+(?![a-z0-9_à-öø-ÿ])"), F.lit(0))
-    w = F.filter(w, lambda x: (F.length(x) >= least) & ~x.isin(STOP_WORDS))
-    own = docs.select("doc_id", F.size(w).alias("total"), F.explode(w).alias("keyword"))
-    counts = own.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"), F.first("total").alias("total"))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "keyword"))).where(F.col("r") <= k)
+    w = F.filter(F.split(F.lower("text"), "[^a-z0-9_à-öø-ÿ]+"), lambda x: (F.length(x) >= least) & x.rlike("^[a-z]+$") & ~x.isin(STOP_WORDS))
+    counts = docs.select("doc_id", F.explode(w).alias("keyword")).groupBy("doc_id", "keyword").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("doc_id")
+    top = counts.withColumns({"total": F.sum("n").over(by), "r": F.row_number().over(by.orderBy(F.col("n").desc(), "keyword"))}).where(F.col("r") <= k)
     return top.select("doc_id", "keyword", "n", (F.col("n") / F.col("total")).alias("score"))
 
 
