@@ -61,11 +61,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, func: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow with bounded slices; func turns a record batch into columns named as in `schema`."""
+#: What operators keep in a Python worker between tasks, by their name; see claim().
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(own: str | None = None) -> None:
+    """Empty what other operators keep: workers serve one stage after the other, and one operator's memory is enough."""
+    for name, clear in CACHES.items():
+        if name != own:
+            clear()
+
+
+def map_slices(df: DataFrame, func: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", most: int = SLICE_BYTES, own: str | None = None) -> DataFrame:
+    """mapInArrow with bounded slices; func turns a record batch into columns named as in `schema`. own: the operator's cache."""
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(own)
         for part in slices(batches, column, most):
             yield record_batch(func(part), arrow)
 

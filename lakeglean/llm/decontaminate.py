@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts
+from .common import CACHES, map_slices, texts
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton; a larger benchmark is scanned in several blocks.
@@ -70,6 +70,9 @@ def automaton(items: Items) -> ahocorasick.Automaton | None:
     return found
 
 
+CACHES["decontaminate"] = automaton.cache_clear
+
+
 def _scan(items: Items, keyed: bool = False):
     def scan(batch: pa.RecordBatch) -> dict:
         search = automaton(items)
@@ -116,7 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     passes = []
     for b in range(blocks):
         rows = [(r.item, bytes(r.body)) for r in items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b).collect()]
-        passes.append(map_slices(source, _scan(Items(rows, size), blocks > 1), SCHEMA + ", h long" * (blocks > 1)))
+        passes.append(map_slices(source, _scan(Items(rows, size), blocks > 1), SCHEMA + ", h long" * (blocks > 1), own="decontaminate"))
     if blocks == 1:
         return passes[0]
     union = passes[0]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import cut
-from .common import record_batch, slices, texts, words
+from .common import claim, record_batch, slices, texts, words
 
 END = b"\n"  # no word has a line end
 SOFTMAX, CLASSES, TAILS = 1024, 32, 32
@@ -358,6 +358,7 @@ def _round(docs: DataFrame, vocab: Vocabulary, p: Params) -> Params:
     part = 4096
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         v, own = sent.value[0], {k: a.copy() for k, a in sent.value[1].items()}
         adam, n = Adam(own), 0
         for batch in slices(batches, "text", SLICE):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import _arrow_schema, record_batch, slices, texts
+from .common import CACHES, _arrow_schema, claim, record_batch, slices, texts
 
 CAPACITY = 4096
 SEGMENTS = 256
@@ -79,6 +79,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+CACHES["pack"] = word_ids.cache_clear
+
+
 def fill(demands: np.ndarray, limits: np.ndarray) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Full bins of (example, start, tokens), and the open last bin.
 
@@ -151,6 +154,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, seg
     arrow = _arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pack")
         n, coder = TaskContext.get().partitionId() << 36, word_ids(path)
         held: list[tuple[int, int, int, np.ndarray]] = []  # id, tokens before, tokens of the document, ids
 

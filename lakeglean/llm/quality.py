@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share, map_slices, record_batch, slices, texts
+from .common import CACHES, claim, hashed_share, map_slices, record_batch, slices, texts
 
 BUCKETS = 1 << 14
 DIM = 32
@@ -41,7 +41,7 @@ class Buckets(dict):
     """Bucket of each token, kept while there are not too many. A word in capitals counts as such, whatever the word."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         if len(token) > 1 and token.isupper():
             key = b"\x00capitals"
@@ -54,6 +54,7 @@ class Buckets(dict):
 
 
 _BUCKETS = Buckets()
+CACHES["quality"] = _BUCKETS.clear
 
 
 def token_buckets(text: bytes) -> np.ndarray:
@@ -76,6 +77,7 @@ def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(BUCKETS, DIM) unit vectors from the neighbours, left and right, of every token of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         own = index_vectors()
         sums = np.zeros(BUCKETS * DIM)
         dims = np.argsort(own == 0, axis=1, kind="stable")[:, :NONZERO]
@@ -202,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": list(pooled(batch.column("text").to_pylist(), vectors))}
 
     sample = sample.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "label")
-    found = map_slices(sample, features, "doc_id long, label int, x array<float>").toArrow().to_pydict()
+    found = map_slices(sample, features, "doc_id long, label int, x array<float>", own="quality").toArrow().to_pydict()
     order = np.lexsort((found["label"], found["doc_id"])) if found["doc_id"] else np.zeros(0, int)
     x = np.array(found["x"], np.float32).reshape(-1, 3 * DIM + 1)[order]
     return Model(vectors, fit(x, np.array(found["label"], np.float64)[order]))
@@ -216,4 +218,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         s = sent.value.network.score(pooled(batch.column("text").to_pylist(), sent.value.vectors).astype(np.float64))
         return {"doc_id": batch.column("doc_id"), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
-    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, score double, predicted int")
+    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, score double, predicted int", own="quality")

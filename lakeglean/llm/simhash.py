@@ -85,14 +85,36 @@ def variant_masks(blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.array(keep, np.uint64), np.array(flip, np.uint64), np.array(mark, np.uint64)
 
 
-def spanning(fps: np.ndarray, radius: int, rows: int = 256) -> list[tuple[int, int]]:
-    """Links between distinct fingerprints of one run that join whatever is within the radius, at most one a fingerprint."""
+def meeting_key(x: np.ndarray, y: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
+    """Of the variants that each pair of fingerprints within 3 bits shares, one: the least of the first block that serves."""
+    edges = np.linspace(0, 64, blocks + 1).round().astype(int)
+    out, open_ = np.zeros(len(x), np.uint64), np.ones(len(x), bool)
+    one = np.uint64(1)
+    for b in range(blocks):
+        keep = np.uint64(~sum(1 << i for i in range(edges[b], edges[b + 1])) & (1 << 64) - 1)
+        u, v = x & keep, y & keep
+        d = u ^ v
+        n = np.bitwise_count(d)
+        low = d & (~d + one)  # one of two differing bits
+        z = np.where(n == 2, np.minimum(u ^ low, v ^ low), np.minimum(u, v)) | np.uint64(b << int(edges[b]))
+        here = open_ & (n <= 2)
+        out[here], open_ = z[here], open_ & ~here
+    return out
+
+
+def spanning(fps: np.ndarray, radius: int, key: np.uint64, blocks: int = BLOCKS, rows: int = 256) -> list[tuple[int, int]]:
+    """Links between distinct fingerprints of one run, at most one a fingerprint, that join what is within the radius.
+
+    A pair counts in the run of its meeting key alone, so that no other run links it again.
+    """
     root = np.arange(len(fps))
     out = []
     for s in range(0, len(fps), rows):
         apart = np.bitwise_count(fps[s : s + rows, None] ^ fps[None, :])
         i, j = np.nonzero(apart <= radius)
         i, j = i[i + s < j], j[i + s < j]
+        mine = meeting_key(fps[i + s], fps[j], blocks) == key
+        i, j = i[mine], j[mine]
         near = np.argsort(apart[i, j], kind="stable")
         i += s
         for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
@@ -131,18 +153,18 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
             fp = np.concatenate([fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             if len(first) > 1:  # the last run may go on in the next batch
-                yield from runs(fp, first)
+                yield from runs(key, fp, first)
                 key, fp = key[first[-1] :], fp[first[-1] :]
         if len(key):
-            yield from runs(fp, np.array([0, len(fp)]))
+            yield from runs(key, fp, np.array([0, len(fp)]))
 
-    def runs(fp: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def runs(key: np.ndarray, fp: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = np.diff(first)
         two = first[:-1][n == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
+        near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (meeting_key(fp[two], fp[two + 1], blocks).view(np.int64) == key[two])
         a, b = [fp[two][near].view(np.int64)], [fp[two + 1][near].view(np.int64)]
         for s, k in zip(first[:-1][n > 2].tolist(), n[n > 2].tolist(), strict=True):
-            if found := spanning(fp[s : s + k], radius):
+            if found := spanning(fp[s : s + k], radius, key[s : s + 1].view(np.uint64)[0], blocks):
                 x, y = zip(*found, strict=True)
                 a.append(np.array(x, np.int64)), b.append(np.array(y, np.int64))
         a_, b_ = np.concatenate(a), np.concatenate(b)
