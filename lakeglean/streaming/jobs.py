@@ -198,3 +198,19 @@ def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None
     w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     (w.option("checkpointLocation", checkpoint) if checkpoint else w).start().awaitTermination()
     return df.sparkSession.table(name)
+
+
+def drain_files(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into snapshots in a shared folder, and read them: all in append mode, else the last."""
+    out = f"{folder}/out"
+    last = {"i": -1}
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/v={i}")
+        last["i"] = i
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = df.sparkSession
+    if last["i"] < 0:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(f"{out}/v={i}" for i in ([last["i"]] if mode == "complete" else range(last["i"] + 1))))
