@@ -108,7 +108,7 @@ class Liveness(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen = max(int(pd.Timestamp(t).timestamp() * 1000) for part in rows for t in part["ts"])
         old = self.last.get()[0] if self.last.exists() else 0
         for t in list(self.handle.listTimers()):
@@ -117,7 +117,7 @@ class Liveness(StatefulProcessor):
         self.handle.registerTimer(max(seen, old) + self.timeout)
         yield pd.DataFrame({"worker": [key[0]], "alive": [True], "at_ms": [max(seen, old)]})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = self.last.get()[0] if self.last.exists() else 0
         self.last.clear()
         yield pd.DataFrame({"worker": [key[0]], "alive": [False], "at_ms": [at + self.timeout]})
@@ -147,7 +147,7 @@ class Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("value", "value string", self.ttl)
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         hit = self.value.exists()
         latest = None
         for part in rows:
