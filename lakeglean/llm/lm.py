@@ -183,7 +183,7 @@ def lay(docs: list[np.ndarray], inputs: np.ndarray, most: int = LANES) -> Lanes:
         for i in held[k]:
             d, n = docs[i], len(docs[i])
             y[at : at + n, j] = d
-            x[at + 1 : at + n, j] = np.where(d[:-1] >= 0, inputs[d[:-1]], SOFTMAX - 1 - d[:-1]) if len(inputs) else SOFTMAX - 1 - d[:-1]
+            x[at + 1 : at + n, j] = np.where(d[:-1] >= 0, inputs[np.maximum(d[:-1], 0)], SOFTMAX - 1 - d[:-1]) if len(inputs) else SOFTMAX - 1 - d[:-1]
             doc[at : at + n, j] = i
             at += n
     return Lanes(x, y, doc, (loads[order][None, :] > np.arange(steps)[:, None]).sum(1))
