@@ -211,11 +211,11 @@ def load_passages(t):
     return S.load_passages(b, "q", {"w": "a", "k": "n"}).select("query", "pos", "w")
 
 
-@book.query("""SELECT s_suppkey AS n, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey > 0""")
+@book.query("""SELECT s_suppkey + 1 AS n, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier WHERE s_suppkey % 7 <> 0""")
 def delimited_rows(t):
     """Lines of a table file, every seventh with a cell too many."""
     line = F.concat_ws("\t", "s_name", F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 7 == 0, F.lit("more")))
-    body = t.supplier.select(F.lit("f").alias("path"), F.col("s_suppkey").alias("n"), line.alias("value"))
+    body = t.supplier.select(F.lit("f").alias("path"), (F.col("s_suppkey") + 1).alias("n"), line.alias("value"))
     head = body.groupBy("path").agg(F.lit(0).cast("long").alias("n"), F.lit("name\tnation").alias("value"))
     rows, _ = S.read_delimited(head.unionByName(body))
     return rows.select("n", F.col("cells")["name"].alias("name"), F.col("cells")["nation"].alias("nation"))
