@@ -6,6 +6,7 @@ from ..functions.text import cosine, tokens
 from ..operators import catalog as C
 from ..operators import postings as P
 from ..operators import vectors as V
+from ..operators.components import cut
 from . import retrieval as R
 from .book import Book
 
@@ -23,7 +24,8 @@ sims AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_si
 
 
 def posts(t):
-    return P.build_postings(t.documents, "doc_id", {"content": F.col("text")})
+    """The index, stored once: scores, document frequencies and totals all read it."""
+    return cut(P.build_postings(t.documents, "doc_id", {"content": F.col("text")}))
 
 
 def terms(t):
@@ -55,7 +57,7 @@ SELECT query_id, chunk_id, score FROM c QUALIFY row_number() OVER (PARTITION BY
 
 
 def two_fields(t, mode):
-    p = P.build_postings(t.documents, "doc_id", {"content": F.col("text"), "title": F.substring("text", 1, 60)})
+    p = cut(P.build_postings(t.documents, "doc_id", {"content": F.col("text"), "title": F.substring("text", 1, 60)}))
     c = P.combine_fields(P.match(terms(t), p, "presence", {"title": 10, "content": 2}), mode)
     return C.top_k(c, "query_id", r6("score"), 10, "chunk_id").select("query_id", "chunk_id", r6("score").alias("score"))
 
