@@ -300,11 +300,11 @@ def train(docs: DataFrame, windows: int = TRAIN_WINDOWS, id_col: str = "doc_id",
 
 
 def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted): redacted is the text with every span as [kind]."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted, text_md5): redacted is the text with every span as [kind]."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted")}
+        out: dict[str, list] = {k: [] for k in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted", "text_md5")}
         for raw in batch.column("text").to_pylist():
             text = raw.decode("utf-8", "replace")
             base, every = spans_of(sent.value, text) if _TRIGGER.search(text) else ([], [])
@@ -313,9 +313,10 @@ def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col
             out["base_sha256"].append(hashlib.sha256(said(base).encode()).hexdigest())
             out["spans"].append(said(every))
             out["redacted"].append(redacted(text, every))
+            out["text_md5"].append(hashlib.md5(raw).hexdigest())
         return {"doc_id": batch.column("doc_id")} | out
 
-    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string, text_md5 string")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
