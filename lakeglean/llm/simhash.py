@@ -224,11 +224,58 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> set[int]:
     return set(shingle_hashes(text, size))
 
 
+def open_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b): all pairs of the fingerprints (fp, c) within the radius, once each, but those with one and the same c.
+
+    c: the group that all documents of a fingerprint are in, null if they are in several.
+    """
+    keep, flip, mark = variant_masks(blocks)
+    variant = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("c", pa.int64()), ("several", pa.bool_())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            several = np.array(batch.column("c").is_null())
+            c = batch.column("c").fill_null(0).to_numpy(zero_copy_only=False)
+            all_ = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for s in range(0, len(all_), 2048):
+                f = all_[s : s + 2048]
+                key = ((f[:, None] & keep) ^ flip) | mark
+                own = {"fp": f.view(np.int64), "c": c[s : s + 2048], "several": several[s : s + 2048]}
+                yield record_batch({"key": key.ravel().view(np.int64)} | {n: np.repeat(x, len(keep)) for n, x in own.items()}, variant)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        for batch in batches:
+            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "fp", "c", "several")]
+            new[1] = new[1].view(np.uint64)
+            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            first = np.flatnonzero(np.r_[True, kept[0][1:] != kept[0][:-1]]) if len(kept[0]) else np.zeros(0, np.int64)
+            for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):  # the last run may go on in the next batch
+                yield from run(*(x[s:e] for x in kept))
+            if len(first) > 1:
+                kept = [x[first[-1] :] for x in kept]
+        yield from run(*kept)
+
+    def run(key: np.ndarray, fp: np.ndarray, c: np.ndarray, several: np.ndarray, rows: int = 256) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(fp) if len(fp) > 1 else 0, rows):
+            other = (c[s : s + rows, None] != c[None, :]) | several[s : s + rows, None] | several[None, :]
+            i, j = np.nonzero(other & (np.bitwise_count(fp[s : s + rows, None] ^ fp[None, :]) <= radius))
+            i, j = i[i + s < j] + s, j[i + s < j]
+            mine = meeting_key(fp[i], fp[j], blocks).view(np.int64) == key[:1]
+            if mine.any():
+                yield record_batch({"a": fp[i[mine]].view(np.int64), "b": fp[j[mine]].view(np.int64)}, LINKS)
+
+    variants = fps.select("fp", "c").mapInArrow(emit, "key long, fp long, c long, several boolean")
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+
+
 def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): components of equal texts and of links with at least `similar` common word shingles.
 
-    component_id is the smallest doc_id of the component; texts without words are equal. Each link is exact; a pair is
-    looked at if one of its fingerprints is within 3 bits, or if other links join it.
+    component_id is the smallest doc_id of the component; texts without words are equal. Each link is exact. Of the pairs
+    with a fingerprint within 3 bits, those are judged that span them; where a link fails, the two groups it left apart are
+    looked at again: a pair between each two groups, and then all pairs between groups that are still apart. So only
+    pairs that verified links join are never judged.
     """
     source = texts(docs, id_col, text_col)
     keyed = cut(source.select("doc_id", F.md5("text").alias("h")))
@@ -248,10 +295,10 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
     candidates = pairs[0]
     for p in pairs[1:]:
         candidates = candidates.unionByName(p)
-    candidates = cut(candidates.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    ordered = lambda p: p.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    candidates = cut(ordered(candidates))
     ends = candidates.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    bodies = unique.join(ends, "doc_id", "left_semi")
-    sides = candidates.join(bodies.select(F.col("doc_id").alias("src"), F.col("text").alias("x")), "src").join(bodies.select(F.col("doc_id").alias("dst"), F.col("text").alias("y")), "dst")
+    bodies = cut(unique.join(ends, "doc_id", "left_semi"))
 
     def judge(batch: pa.RecordBatch) -> dict:
         out, known = [], {}
@@ -263,7 +310,42 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
             out.append(1.0 if not a and not b else both / (len(a) + len(b) - both))
         return {"src": batch.column("src"), "dst": batch.column("dst"), "similarity": out}
 
-    checked = map_slices(sides, judge, "src long, dst long, similarity double", column="x")
-    component = connected_components(checked.where(F.col("similarity") >= similar).select("src", "dst"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(bodies.select(F.col("doc_id").alias("src"), F.col("text").alias("x")), "src").join(bodies.select(F.col("doc_id").alias("dst"), F.col("text").alias("y")), "dst")
+        return cut(map_slices(sides, judge, "src long, dst long, similarity double", column="x"))
+
+    joined = F.col("similarity") >= similar
+    judged = checked(candidates)
+    component = cut(connected_components(judged.where(joined).select("src", "dst")))
+
+    def grouped(rows: DataFrame, id_: str, name: str) -> DataFrame:
+        """rows with the group of the document in column id_."""
+        return rows.join(component.select(F.col("node").alias(id_), F.col("component").alias("_c")), id_, "left").withColumn(name, F.coalesce("_c", id_)).drop("_c")
+
+    # only groups that a failed link touches can hold a pair that is not judged, and the links of a group lie within its candidates
+    apart = grouped(grouped(judged.where(~joined), "src", "cs"), "dst", "cd").where("cs <> cd")
+    touched = cut(apart.select(F.explode(F.array("cs", "cd")).alias("c")).distinct())
+    if not touched.isEmpty():
+        left = cut(grouped(fps, "doc_id", "c").join(touched, "c", "left_semi").select("k", "fp", "doc_id", "c"))
+        near = None
+        for k in range(hashes):
+            own = left.where(F.col("k") == k).groupBy("fp").agg(F.min("c").alias("c"), F.max("c").alias("most"))
+            own = own.select("fp", F.when(F.col("c") == F.col("most"), F.col("c")).alias("c"))
+            met = open_pairs(own).unionByName(own.where("c is null").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).withColumn("k", F.lit(k))
+            near = met if near is None else near.unionByName(met)
+        near = cut(near)
+        for few in (True, False):
+            now = cut(grouped(left.drop("c"), "doc_id", "c"))
+            sets = now.groupBy("k", "fp", "c").agg(F.min("doc_id").alias("doc_id"))
+            side = lambda rows, fp, c, d: rows.select("k", F.col("fp").alias(fp), F.col("c").alias(c), F.col("doc_id").alias(d))
+            met = near.join(side(sets, "a", "ca", "src"), ["k", "a"]).join(side(sets, "b", "cb", "dst"), ["k", "b"]).where("ca <> cb")
+            if few:
+                met = met.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("src", "dst")).alias("p")).select("p.*")
+            else:
+                met = met.drop("src", "dst").join(side(now, "a", "ca", "src"), ["k", "a", "ca"]).join(side(now, "b", "cb", "dst"), ["k", "b", "cb"])
+            more = checked(ordered(met.select("src", "dst")).join(judged.select("src", "dst"), ["src", "dst"], "left_anti"))
+            judged = judged.unionByName(more)
+            if not more.where(joined).isEmpty():
+                component = cut(connected_components(judged.where(joined).select("src", "dst")))
     of = first.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
     return keyed.join(of, "h").select("doc_id", "component_id")

@@ -164,6 +164,32 @@ def test_near_duplicate_texts(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
+def test_near_duplicate_texts_behind_failed_links(spark):
+    """Every pair of one fingerprint's ball that is similar ends in one group, whatever ids it has; against brute force."""
+    r = random.Random(5)
+    rows, n = [], 0
+    for g in range(3):
+        w = [f"g{g}w{r.randrange(5000)}" for _ in range(400)]
+        shuffled = r.sample(w, 400)
+        for base in (w, shuffled, r.sample(w, 400), w, shuffled, w, shuffled):
+            at = r.randrange(400)
+            own = base if n % 7 < 3 else base[:at] + [f"x{n}"] + base[at + 1 :]
+            rows.append((n, " ".join(own)))
+            n += 1
+    sets = {i: simhash.shingle_set(t.encode()) for i, t in rows}
+    fps = {i: simhash.word_fingerprints(t.encode()) for i, t in rows}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            met = any(((x ^ y) & (1 << 64) - 1).bit_count() <= 3 for x, y in zip(fps[a], fps[b], strict=True))
+            if a < b and met and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = {i: group[a] if c == group[b] else c for i, c in group.items()}
+    low = {c: min(i for i in group if group[i] == c) for c in group.values()}
+    assert sum(low[c] == i for i, c in group.items()) < len(rows) - 6
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicate_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: low[c] for i, c in group.items()}
+
+
 # 3
 def test_avi_round_trip():
     rng = np.random.default_rng(0)
