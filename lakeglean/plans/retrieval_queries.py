@@ -214,7 +214,7 @@ def retrieve_hybrid(t):
     """The whole path: documents with vectors as chunks, every 20th as a query."""
     e = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     c = t.documents.join(e, "doc_id").select(F.col("doc_id").alias("chunk_id"), "text", "vector")
-    q = c.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 200).alias("text"), "vector")
+    q = c.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "text", "vector")
     return R.retrieve(q, c)
 
 

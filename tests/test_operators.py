@@ -118,3 +118,12 @@ def test_progress_is_monotone():
         now, log = J.accept(now, log, p, "m" * 20, 50)
     assert now == -1 and len(log) <= 50 and not log.startswith("\n")
 
+
+def test_retrieve_hybrid_reads_whole_queries(spark, tmp_path):
+    from lakeglean.plans.retrieval_queries import book
+
+    tail = " ".join(f"x{i}" for i in range(30))
+    spark.createDataFrame([(0, "a" * 210 + " " + tail), (1, tail), (2, "other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 0.5]) for i in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.chunk_id: r.tksim for r in book.queries["retrieve_hybrid"](spark, str(tmp_path)).collect()}
+    assert got[1] > 0.5 and not got.get(2)
