@@ -33,6 +33,12 @@ def sparse(t):
     return G.canonical(e).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def supply(t):
+    """Parts and suppliers (below zero) of all of lineitem."""
+    e = t.lineitem.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.lit(1.0).alias("weight"))
+    return G.canonical(e).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 @book.query(TRADE + "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1")
 def graph_degree(t):
     return G.degrees(trade(t))
@@ -148,7 +154,7 @@ def entity_verdicts(t):
 
 @book.query()
 def communities(t):
-    return G.communities(sparse(t))
+    return G.communities(supply(t))
 
 
 @book.query("""WITH w AS (SELECT n_regionkey AS community, count(*) AS n, sum(n_nationkey) AS w FROM nation GROUP BY 1) SELECT 0 AS level, community, n, round(w / max(w) OVER (), 6) AS weight FROM w""")
@@ -213,7 +219,7 @@ def community_search(t):
 
 @book.query()
 def node_embeddings(t):
-    return G.node_embeddings(trade(t), 8, walks=4, length=12)
+    return G.node_embeddings(supply(t), 8, walks=4, length=12)
 
 
 @book.query("""SELECT n_name AS key, r_name AS parent, 1 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, 0 FROM region""")

@@ -127,3 +127,14 @@ def test_retrieve_hybrid_reads_whole_queries(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, 0.5]) for i in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.chunk_id: r.tksim for r in book.queries["retrieve_hybrid"](spark, str(tmp_path)).collect()}
     assert got[1] > 0.5 and not got.get(2)
+
+
+def test_graph_queries_read_all_of_lineitem(spark, tmp_path):
+    from lakeglean.plans.graph_queries import book
+
+    rows = [(p, p // 4, 1.0, 0.1) for p in range(12)] + [(12, 2, 50.0, 0.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ids = {*range(13), -1, -2, -3}
+    level = book.queries["communities"](spark, str(tmp_path)).where("level = 0").collect()
+    assert {r.id for r in level} == ids and len(level) == len(ids)
+    assert {int(r.word) for r in book.queries["node_embeddings"](spark, str(tmp_path)).collect()} == ids
