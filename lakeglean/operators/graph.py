@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_str, similar_name
+from ..functions.text import clean_str, grams, is_english, similar_name
 from .catalog import top_k
 from .components import connected_components, cut
 
@@ -121,21 +121,59 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: floa
     return rank.withColumnRenamed("pr", "pagerank")
 
 
+#: Names of one block that a task compares with others at most, about.
+HOT_BLOCK = 1000
+
+
+def _prefix(marks: Column, need: Column) -> Column:
+    """Of ordered marks, those of which a name with `need` of them in common must share one."""
+    return F.slice(marks, 1, F.greatest(F.size(marks) - need + 1, F.lit(0)).cast("int"))
+
+
 def entity_candidates(nodes: DataFrame, new_ids: DataFrame | None = None, block: bool = True) -> DataFrame:
     """(a, b) of nodes (id, name, type) of one type with similar names, one at least new.
 
-    block: only names that share the first or the last 2 characters, or the length and a middle piece, are compared; else all of a type.
+    block: only names that can be similar are compared, without loss; else all of a type. Similar names have the same
+    pieces with a digit. Latin ones within half the shorter's edits have max(lengths) - half the shorter of their
+    characters (each counted as often as it is there) in common, so one of the first half of each name's characters in
+    any one order; here the seldom ones of the type come first. Other names share distinct characters in the same way.
+    Blocks of many names are dealt out over several keys.
     """
-    own = nodes.select("id", "name", "type")
+    own = nodes.select("id", "name", "type").where("name is not null")
     if new_ids is not None:
         own = own.join(new_ids.select("id", F.lit(True).alias("new")), "id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
     else:
         own = own.withColumn("new", F.lit(True))
-    keys = F.array(F.concat(F.lit("a"), F.substring("name", 1, 2)), F.concat(F.lit("z"), F.substring("name", -2, 2)), F.concat(F.length("name").cast("string"), F.substring("name", 3, 2))) if block else F.array(F.lit(""))
-    own = own.withColumn("k", F.explode(keys))
-    a, b = (own.select("type", "k", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "name", "new"))) for s in "ab")
-    pairs = a.join(b, ["type", "k"]).where((F.col("id_a") < F.col("id_b")) & (F.col("new_a") | F.col("new_b")) & similar_name(F.col("name_a"), F.col("name_b")))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    wanted = (F.col("id_a") < F.col("id_b")) & (F.col("new_a") | F.col("new_b")) & similar_name(F.col("name_a"), F.col("name_b"))
+    sides = lambda rows, keys: [rows.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in ("id", "name", "new"))) for s in "ab"]
+    if not block:
+        a, b = sides(own, ["type"])
+        return a.join(b, ["type"]).where(wanted).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    own = own.withColumn("digits", F.array_join(F.array_sort(F.filter(grams(F.col("name")), lambda g: g.rlike("[0-9]"))), "\0")).withColumn("latin", is_english(F.col("name")))
+    each = F.split("name", "")
+    distinct = F.transform(F.array_distinct(each), lambda x: F.concat(F.lit("1"), x))
+    counted = F.flatten(F.transform(F.array_distinct(each), lambda x: F.transform(F.sequence(F.lit(1), F.size(F.filter(each, lambda y: y == x))), lambda i: F.concat(i.cast("string"), x))))
+    # the families: Latin names by edits; pairs with another name by distinct characters
+    marked = own.select("*", F.explode(F.when(F.col("latin"), F.array(F.struct(F.lit(True).alias("edits"), counted.alias("marks")), F.struct(F.lit(False).alias("edits"), distinct.alias("marks")))).otherwise(F.array(F.struct(F.lit(False).alias("edits"), distinct.alias("marks"))))).alias("f")).select(own["*"], "f.*")
+    if own.where(~F.col("latin")).isEmpty():
+        marked = marked.where("edits")
+    marked = cut(marked)
+    rare = marked.select("type", "edits", F.explode("marks").alias("mark")).groupBy("type", "edits", "mark").agg(F.count("*").alias("n"))
+    ranked = marked.select("id", "type", "edits", F.explode("marks").alias("mark")).join(rare, ["type", "edits", "mark"])
+    ranked = ranked.groupBy("id", "type", "edits").agg(F.transform(F.array_sort(F.collect_set(F.struct("n", "mark"))), lambda x: x["mark"]).alias("marks"))
+    n = F.size("marks")
+    need = F.when(F.col("edits"), F.length("name") - F.floor(F.length("name") / 2)).otherwise(F.when(n < 4, 2).otherwise(F.ceil(n * 0.8 - 1e-9)))
+    keyed = marked.drop("marks").join(ranked, ["id", "type", "edits"]).withColumn("k", F.explode(_prefix(F.col("marks"), need))).drop("marks")
+    keys = ["type", "digits", "edits", "k"]
+    keyed = cut(keyed)
+    hot = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / HOT_BLOCK).cast("int").alias("parts")).where("parts > 1")
+    salted = keyed.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a, _ = sides(salted.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("latin_a", F.col("latin")), [*keys, "part", "latin_a"])
+    _, b = sides(salted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("latin_b", F.col("latin")), [*keys, "part", "latin_b"])
+    short, long = F.least(F.length("name_a"), F.length("name_b")), F.greatest(F.length("name_a"), F.length("name_b"))
+    fits = F.when(F.col("edits"), long - short <= F.floor(short / 2)).otherwise(~(F.col("latin_a") & F.col("latin_b")))
+    pairs = a.join(b, [*keys, "part"]).where((F.col("id_a") < F.col("id_b")) & fits)
+    return pairs.where(wanted).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def parse_verdicts(responses: DataFrame, text: str = "response") -> DataFrame:

@@ -136,7 +136,7 @@ def contract_nodes(t):
 @book.query("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_brand AS type FROM part), x AS (SELECT a.id AS a, b.id AS b, a.name AS x, b.name AS y FROM p a JOIN p b ON a.type = b.type AND a.id < b.id)
 SELECT a, b FROM x WHERE levenshtein(x, y) <= least(length(x), length(y)) // 2""")
 def entity_pairs(t):
-    return G.entity_candidates(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type")), block=False)
+    return G.entity_candidates(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type")))
 
 
 @book.query()

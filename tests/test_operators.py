@@ -1,6 +1,7 @@
 """Formulas and folds on tiny inputs, against plain Python."""
 
 import math
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,3 +139,19 @@ def test_graph_queries_read_all_of_lineitem(spark, tmp_path):
     level = book.queries["communities"](spark, str(tmp_path)).where("level = 0").collect()
     assert {r.id for r in level} == ids and len(level) == len(ids)
     assert {int(r.word) for r in book.queries["node_embeddings"](spark, str(tmp_path)).collect()} == ids
+
+
+def test_entity_candidates_are_all(spark, monkeypatch):
+    """Blocks against all pairs, with names that differ at both ends, digits, other scripts and hot blocks."""
+    r = random.Random(3)
+    names = ["xabcdefy", "zzbcdeww", "a", "", "ab", "ba", "名字一二三", "名字一二四", "名字", "字名", "пример", "примера", "part 12", "part 12b", "part 13", "名a", "a名b", "aab", "baa"]
+    for _ in range(150):
+        w = list("".join(r.choice("abcde ") for _ in range(r.randrange(1, 14))))
+        names += ["".join(w), "".join(r.sample(w, len(w))), "".join(r.choice("xyz1") if r.random() < 0.3 else c for c in w), "".join(r.choice("名字一二abп") for _ in range(r.randrange(1, 7)))]
+    nodes = spark.createDataFrame([(i, n, f"t{i % 2}") for i, n in enumerate(names)], "id long, name string, type string").cache()
+    monkeypatch.setattr(G, "HOT_BLOCK", 20)
+    for new in (None, nodes.where("id % 3 = 0")):
+        want = {tuple(x) for x in G.entity_candidates(nodes, new, block=False).collect()}
+        got = [tuple(x) for x in G.entity_candidates(nodes, new).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert (0, 1) not in want and G.entity_candidates(nodes.where("id < 2").withColumn("type", F.lit("t"))).count() == 1
