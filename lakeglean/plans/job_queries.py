@@ -78,7 +78,7 @@ def blended_vectors(t):
 
 @book.query()
 def gmm_bic(t):
-    return M.gmm_clusters(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
+    return M.gmm_clusters(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
 
 
 @book.query()

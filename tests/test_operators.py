@@ -155,3 +155,25 @@ def test_entity_candidates_are_all(spark, monkeypatch):
         got = [tuple(x) for x in G.entity_candidates(nodes, new).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert (0, 1) not in want and G.entity_candidates(nodes.where("id < 2").withColumn("type", F.lit("t"))).count() == 1
+
+
+def test_summary_tree_has_every_text(spark, monkeypatch):
+    """One root, clusters of bounded size, and the first sentence of every text in the summary above it; also by way of the split over tasks."""
+    from lakeglean.operators import embed as M
+
+    r = random.Random(4)
+    rows = [(f"d{i:03}", f"Text {i} of group {i % 10}. More.", [float(10 * (i % 10 == j)) + r.gauss(0, 0.5) for j in range(10)]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "id string, text string, vector array<float>")
+    tree = {x.id: x for x in M.summary_tree(docs).collect()}
+    size = {}
+    for x in tree.values():
+        size[x.parent] = size.get(x.parent, 0) + 1
+    assert size.pop(None) == 1 and max(size.values()) <= 64 and len(size) > 4
+    assert all(f"Text {i} of group {i % 10}." in tree[tree[f"d{i:03}"].parent].text for i in range(200))
+    monkeypatch.setattr(M, "LOCAL_ROWS", 150)
+    few = M.bounded_clusters(docs, max_k=5, most=30).collect()
+    sizes = {}
+    for x in few:
+        sizes[x.cluster] = sizes.get(x.cluster, 0) + 1
+    assert len(few) == 200 and max(sizes.values()) <= 30
+    assert M.gmm_clusters.__defaults__[0] == 64
