@@ -4,37 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeglean.llm import decontaminate, pack, pii, quality, simhash
 from lakeglean.llm.common import table
+from lakeglean.operators.components import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def own_md5() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) those whose id and text are in rows (doc_id, text_md5); ids may be null."""
+    own = docs.withColumn("_own", own_md5())
+    keys = rows.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
+    return own.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_md5")), how).select(docs.columns)
+
+
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rejected = quality.score(docs, model).where("predicted = 0").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return chosen(docs, quality.score(docs, model).where("predicted = 0"), "left_anti")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component stays."""
-    groups = simhash.near_duplicate_texts(docs)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Of each component the text of the smallest doc_id stays, once."""
+    groups = cut(simhash.near_duplicate_texts(docs))
+    kept = chosen(docs, groups.where("not first"), "left_anti")
+    twice = cut(groups.where("first").groupBy("doc_id", "text_md5").agg(F.count("*").alias("n")).where("n > 1"))
+    if twice.isEmpty():
+        return kept
+    one = chosen(docs, twice, "left_semi").withColumn("_own", own_md5()).dropDuplicates(["doc_id", "_own"]).drop("_own")
+    return chosen(kept, twice, "left_anti").unionByName(one)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(hit.where("size(hits) > 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return chosen(docs, hit.where("size(hits) > 0"), "left_anti")
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is named, not shown; n_chars follows the text. A document without any is as it was."""
     found = pii.find(docs, pii.train(docs)).where("spans <> ''").select("doc_id", F.col("redacted").alias("_pii_text"), F.col("text_md5").alias("_pii_md5")).dropDuplicates(["doc_id", "_pii_md5"])
-    own = docs.withColumn("_pii_own", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    own = docs.withColumn("_pii_own", own_md5())
     both = own.join(found.withColumnRenamed("doc_id", "_pii_id"), F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_own") == F.col("_pii_md5")), "left")
     text = F.coalesce("_pii_text", "text")
     return both.withColumns({"text": text, "n_chars": F.when(F.col("_pii_text").isNull(), F.col("n_chars")).otherwise(F.length("_pii_text").cast("long"))}).select(docs.columns)

@@ -26,7 +26,7 @@ WINDOW = 10
 BLOCK_BYTES = 8 << 20
 _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>, starts array<int>, ends array<int>"
+SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>, starts array<int>, ends array<int>, text_md5 string"
 
 
 def normalised(text: bytes) -> str:
@@ -98,14 +98,14 @@ def _scan(items: Items, keyed: bool = False):
             last = covered[np.r_[np.diff(covered) > 1, True]]
             starts.append([spans[i][0] for i in first])
             ends.append([spans[i][1] for i in last])
-        out = {"doc_id": batch.column("doc_id"), "n_words": n_words, "hits": hits, "items": ids, "starts": starts, "ends": ends}
+        out = {"doc_id": batch.column("doc_id"), "n_words": n_words, "hits": hits, "items": ids, "starts": starts, "ends": ends, "text_md5": [hashlib.md5(t).hexdigest() for t in batch.column("text").to_pylist()]}
         return out | {"h": batch.column("h")} if keyed else out
 
     return scan
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hits: word numbers, items: ids, starts, ends: code points of hit runs) for each document.
+    """(doc_id, n_words, hits: word numbers, items: ids, starts, ends: code points of hit runs, text_md5) for each document.
 
     The benchmark is the stated query set: it is measured, and travels to the tasks in blocks of at most about
     `block_bytes`. One block is one pass over the text; with more, the passes are merged by document.
@@ -128,6 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # rows of one id and text have one result; each pass saw all copies
     merged = union.groupBy("doc_id", "h").agg(
         F.max("n_words").alias("n_words"),
+        F.max("text_md5").alias("text_md5"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("starts", "ends"))), lambda x: x["starts"])).alias("starts"),

@@ -14,6 +14,7 @@ no labelled rows or one class only the score is the smoothed share of label 1; e
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -211,11 +212,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score double, predicted int)."""
+    """(doc_id, score double, predicted int, text_md5)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batch: pa.RecordBatch) -> dict:
         s = sent.value.network.score(pooled(batch.column("text").to_pylist(), sent.value.vectors).astype(np.float64))
-        return {"doc_id": batch.column("doc_id"), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
+        return {"doc_id": batch.column("doc_id"), "score": s, "predicted": (s >= 0.5).astype(np.int32), "text_md5": [hashlib.md5(t).hexdigest() for t in batch.column("text").to_pylist()]}
 
-    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, score double, predicted int", own="quality")
+    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, score double, predicted int, text_md5 string", own="quality")

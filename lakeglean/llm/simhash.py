@@ -270,19 +270,25 @@ def open_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
 
 
 def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): components of equal texts and of links with at least `similar` common word shingles.
+    """(doc_id, text_md5, component_id, first): components of equal texts and of links with at least `similar` common word shingles.
 
-    component_id is the smallest doc_id of the component; texts without words are equal. Each link is exact. Of the pairs
+    A row for each of docs. component_id is the smallest doc_id of the component (null if it has none), and the rows of
+    the smallest doc_id and text are first; texts without words are equal. Distinct texts are told apart by a number, so
+    ids may be null or have several texts. Each link is exact. Of the pairs
     with a fingerprint within 3 bits, those are judged that span them; where a link fails, the two groups it left apart are
     looked at again: a pair between each two groups, and then all pairs between groups that are still apart. So only
     pairs that verified links join are never judged.
     """
     source = texts(docs, id_col, text_col)
     keyed = cut(source.select("doc_id", F.md5("text").alias("h")))
-    first = keyed.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    unique = source.join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = cut(keyed.select("h").distinct().withColumn("rep", F.monotonically_increasing_id()))
+
+    def of(numbers: DataFrame) -> DataFrame:
+        """(doc_id: the number, text) of distinct texts (h, rep)."""
+        return source.select(F.md5("text").alias("h"), "text").join(numbers, "h").dropDuplicates(["h"]).select(F.col("rep").alias("doc_id"), "text")
+
     fps = cut(
-        map_slices(unique, lambda b: {"doc_id": b.column("doc_id"), "fps": [word_fingerprints(t, hashes) for t in b.column("text").to_pylist()]}, "doc_id long, fps array<long>")
+        map_slices(of(first), lambda b: {"doc_id": b.column("doc_id"), "fps": [word_fingerprints(t, hashes) for t in b.column("text").to_pylist()]}, "doc_id long, fps array<long>")
         .select("doc_id", F.posexplode("fps").alias("k", "fp"))
     )
     pairs = []
@@ -298,7 +304,7 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
     ordered = lambda p: p.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     candidates = cut(ordered(candidates))
     ends = candidates.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    bodies = cut(unique.join(ends, "doc_id", "left_semi"))
+    bodies = cut(of(first.join(ends.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")))
 
     def judge(batch: pa.RecordBatch) -> dict:
         out, known = [], {}
@@ -347,5 +353,7 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
             judged = judged.unionByName(more)
             if not more.where(joined).isEmpty():
                 component = cut(connected_components(judged.where(joined).select("src", "dst")))
-    of = first.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
-    return keyed.join(of, "h").select("doc_id", "component_id")
+    rows = keyed.join(grouped(first, "rep", "c").select("h", "c"), "h")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = rows.groupBy("c").agg(F.min(own).alias("least"))
+    return rows.join(least, "c").select("doc_id", F.col("h").alias("text_md5"), F.col("least.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))).alias("first"))

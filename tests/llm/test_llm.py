@@ -386,3 +386,27 @@ def test_pipeline(spark, sf):
     pieces = c.run(spark, sf)
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert docs.where(F.col("text").rlike("[a-z0-9]@[a-z0-9]+\\.[a-z]")).count() == 0
+
+
+def test_pipeline_decisions_by_id_and_text(spark, tmp_path, monkeypatch):
+    """Rows without an id, and ids with several texts, are judged by their own text in every stage."""
+    import corpus_pipeline as c
+
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(9000)}" for _ in range(80))
+    a, b, d, e, bad = text(), text(), text(), text(), text()
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, d), (2, e), (3, d), (None, bad), (2, bad)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    want = lambda rows: sorted(rows, key=str)
+    assert left(c.without_copies(spark, docs, "")) == want([(None, a), (1, b), (2, d), (2, e), (2, bad)])
+    spark.createDataFrame([("x", bad)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert left(c.clean_of_benchmark(spark, docs, str(tmp_path))) == want(rows[:7])
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    monkeypatch.setattr(quality, "train", lambda *_: model)
+    scored = quality.score(docs, model)
+    assert set(scored.columns) == {"doc_id", "score", "predicted", "text_md5"}
+    marks = spark.createDataFrame([(i, float(t != bad), int(t != bad), hashlib.md5(t.encode()).hexdigest()) for i, t in rows], scored.schema)
+    monkeypatch.setattr(quality, "score", lambda *_: marks)
+    assert left(c.of_quality(spark, docs, str(tmp_path))) == want(rows[:7])
