@@ -2,7 +2,7 @@
 
 The patterns give base spans of four kinds. The tagger is trained on windows of labelled characters, on a bounded sample
 (TRAIN_WINDOWS, by a hash) around base spans and around other digits. A text is cut into windows that overlap by half; each
-window with a digit or an @ (no kind can do without) is decoded by Viterbi, each character takes its tag from the window
+window with a digit or an @ (no kind can do without), and each that a span goes on into, is decoded by Viterbi, each character takes its tag from the window
 in which it lies most centrally, and spans are read off the reconciled tags, so that they may reach across windows. Spans
 of the tagger that touch no base span and hold what their kind needs are added.
 
@@ -239,12 +239,19 @@ def tagged(model: Tagger, text: str, block: int = 512) -> list[Span]:
     near = sorted({w for m in _TRIGGER.finditer(text) for w in (m.start() // STRIDE - 1, m.start() // STRIDE) if w >= 0} | ({0} if _TRIGGER.search(text, 0, STRIDE) else set()))
     if not near:
         return []
-    x, starts, out = symbols(text), np.array(near) * STRIDE, np.zeros(n, np.int64)
-    for s in range(0, len(starts), block):
-        for start, tags in zip(starts[s : s + block].tolist(), model.decode(_cut(x, starts[s : s + block])), strict=True):
+    x, out, seen, decoded = symbols(text), np.zeros(n, np.int64), np.zeros(n, bool), {}
+    while near:
+        for s in range(0, len(near), block):
+            starts = np.array(near[s : s + block]) * STRIDE
+            decoded |= dict(zip(starts.tolist(), model.decode(_cut(x, starts)), strict=True))
+        for start in sorted(decoded):
             a = start + STRIDE // 2 if start else 0  # the central half, but at the ends of the text
-            b = start + STRIDE // 2 + STRIDE if start + WINDOW < n else n
-            out[a : min(b, n)] = tags[a - start : min(b, n) - start]
+            b = min(n, start + STRIDE // 2 + STRIDE if start + WINDOW < n else n)
+            out[a:b] = decoded[start][a - start : b - start]
+            seen[a:b] = True
+        inside = (out > 0) & seen
+        beyond = np.r_[np.flatnonzero(inside[:-1] & ~seen[1:]) + 1, np.flatnonzero(inside[1:] & ~seen[:-1])]  # where a span leaves what is decoded
+        near = sorted({max(0, (i - STRIDE // 2) // STRIDE) for i in beyond.tolist()})
     return read_off(out)
 
 

@@ -350,6 +350,23 @@ def test_pii_edges(odd, none):
     assert got[1].spans == "" and got[1].base_sha256 == hashlib.sha256(b"").hexdigest() and pii.find(none, None).count() == 0
 
 
+def test_tagged_spans_go_on_beyond_triggers():
+    """A span that leaves the windows around its @ is followed to its ends."""
+
+    class Runs:
+        """Tags whatever is no blank as an e-mail."""
+
+        def decode(self, x):
+            return np.where((x > 0) & (x < pii.SYMBOLS - 1), 2, 0)
+
+    for before in (5, 60, 150, 400):
+        for after in (3, 90, 300):
+            text = "word " * 30 + "a" * before + "@" + "b" * after + " end" * 40
+            start = 150
+            assert ("email", start, start + before + 1 + after) in pii.tagged(Runs(), text)
+    assert ("email", 0, 301) in pii.tagged(Runs(), "a" * 300 + "@") and pii.tagged(Runs(), "a" * 300) == []
+
+
 # 9
 def test_decontamination_edges(spark, odd, none):
     bench = spark.createDataFrame([("b", "ONE two"), ("a", "three four, five six seven eight nine ten eleven. twelve"), ("c", None), ("d", "..."), (None, "one")], "item_id string, text string")
