@@ -141,15 +141,20 @@ class Tagger:
         return out, kept
 
     def back(self, x: np.ndarray, d: str, kept: list, dout: np.ndarray, grads: dict[str, np.ndarray]) -> None:
-        u, dh, dc = self.p[f"u{d}"], 0.0, 0.0
-        for t, before, c0, f, i, o, g, tc in reversed(kept):
+        ut, dh, dc = self.p[f"u{d}"].T, 0.0, 0.0
+        flat = np.empty((len(kept), len(x), 4 * HIDDEN), dout.dtype)
+        for j, (t, _, c0, f, i, o, g, tc) in reversed(list(enumerate(kept))):
             dh = dh + dout[t]
             dc = dc + dh * o * (1 - tc * tc)
-            da = np.concatenate([dc * c0 * f * (1 - f), dc * g * i * (1 - i), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(grads[f"x{d}"], x[:, t], da)
-            grads[f"c{d}"] += da.sum(0)
-            grads[f"u{d}"] += before.T @ da
-            dh, dc = da @ u.T, dc * f
+            da = flat[j]
+            da[:, :HIDDEN], da[:, HIDDEN : 2 * HIDDEN] = dc * c0 * f * (1 - f), dc * g * i * (1 - i)
+            da[:, 2 * HIDDEN : 3 * HIDDEN], da[:, 3 * HIDDEN :] = dh * tc * o * (1 - o), dc * i * (1 - g * g)
+            dh, dc = da @ ut, dc * f
+        flat = flat.reshape(-1, 4 * HIDDEN)
+        seen = np.concatenate([x[:, k[0]] for k in kept])
+        grads[f"x{d}"] += (seen[:, None] == np.arange(SYMBOLS)).astype(flat.dtype).T @ flat
+        grads[f"c{d}"] += flat.sum(0)
+        grads[f"u{d}"] += np.concatenate([k[1] for k in kept]).T @ flat
 
     def emissions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
         f, kf = self.lstm(x, "f")
@@ -193,6 +198,19 @@ class Tagger:
         self.back(x, "b", kb, dboth[:, :, HIDDEN:], grads)
         return float((z - gold).mean()), grads
 
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Mean negative log-likelihood of tags y."""
+        e = self.emissions(x)[0].astype(np.float64)
+        alpha, rows = e[0] + self.p["s"], np.arange(len(x))
+        gold = self.p["s"][y[:, 0]] + e[0, rows, y[:, 0]]
+        for k in range(1, len(e)):
+            a = alpha[:, :, None] + self.p["t"]
+            top = a.max(1)
+            alpha = top + np.log(np.exp(a - top[:, None, :]).sum(1)) + e[k]
+            gold = gold + self.p["t"][y[:, k - 1], y[:, k]] + e[k, rows, y[:, k]]
+        top = alpha.max(1)
+        return float((top + np.log(np.exp(alpha - top[:, None]).sum(1)) - gold).mean())
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags (rows, steps) by Viterbi."""
         e = self.emissions(x)[0]
@@ -209,28 +227,48 @@ class Tagger:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Tagger:
+def fit(x: np.ndarray, y: np.ndarray, batch: int = 64, rate: float = 0.01, every: int = 25, least: int = 300, most: int = 3000, patience: int = 7, seed: int = 0) -> Tagger:
+    """Adam on windows at chance places of four fifths of the stretches x, until the loss on the rest has not fallen at `patience` looks, `every` steps apart.
+
+    The rate is cut at every look without a fall. Steps, not epochs, are counted, so a small sample is learnt as well
+    as a large one; `least` and `most` bound them.
+    """
     model, rng = Tagger.new(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
-    v, t = {k: np.zeros_like(a) for k, a in m.items()}, 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for s in range(0, len(x), batch):
-            _, grads = model.step(x[order[s : s + batch]], y[order[s : s + batch]])
-            t += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            for k, g in grads.items():
-                g = g * min(1.0, 5.0 / (norm + 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                model.p[k] -= rate / (1 + epoch) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return model
-
-
-def _cut(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    v = {k: np.zeros_like(a) for k, a in m.items()}
+    order = rng.permutation(len(x))
+    held, own = (order[: min(512, len(x) // 5)], order[min(512, len(x) // 5) :]) if len(x) >= 20 else (order, order)
+    best, kept, idle, at = np.inf, model.p, 0, len(own)
+    crop = lambda a, rows, start: np.take_along_axis(a[rows], start[:, None] + np.arange(WINDOW), axis=1)
+    shift = np.random.default_rng(seed + 1).integers(0, x.shape[1] - WINDOW + 1, len(held))
+    held_x, held_y = crop(x, held, shift), crop(y, held, shift)
+    for t in range(1, most + 1):
+        if at >= len(own):
+            own, at = rng.permutation(own), 0
+        rows, at = own[at : at + batch], at + batch
+        shift = rng.integers(0, x.shape[1] - WINDOW + 1, len(rows))
+        _, grads = model.step(crop(x, rows, shift), crop(y, rows, shift))
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        for k, g in grads.items():
+            g = g * min(1.0, 5.0 / (norm + 1e-9))
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            model.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        if t % every == 0:
+            if (now := model.loss(held_x, held_y)) < best:
+                best, kept, idle = now, {k: a.copy() for k, a in model.p.items()}, 0
+            else:
+                idle += 1
+                rate *= 0.75
+                if idle >= patience and t >= least:
+                    break
+    return Tagger(kept)
+
+
+def _cut(x: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> np.ndarray:
     """Windows of x; outside the text is a symbol of its own."""
-    wide = np.r_[x, np.full(WINDOW, SYMBOLS - 1)]
-    return wide[starts[:, None] + np.arange(WINDOW)]
+    wide = np.r_[x, np.full(width, SYMBOLS - 1)]
+    return wide[starts[:, None] + np.arange(width)]
 
 
 def tagged(model: Tagger, text: str, block: int = 512) -> list[Span]:
@@ -256,9 +294,16 @@ def tagged(model: Tagger, text: str, block: int = 512) -> list[Span]:
 
 
 def plausible(span: Span, text: str) -> bool:
+    """Whether the span has what the rules of its kind ask for: so the tagger adds other shapes, not what they have refused."""
     body = text[span[1] : span[2]]
-    digits = len(_DIGITS.findall(body))
-    return {"email": "@" in body and "." in body, "ip": body.count(".") == 3 and digits >= 4, "card": digits >= 14, "phone": digits >= 10}[span[0]]
+    digits = "".join(_DIGITS.findall(body))
+    if span[0] == "email":
+        name, _, host = body.partition("@")
+        return bool(name.strip()) and "." in host.strip(". ")
+    if span[0] == "ip":
+        parts = re.split(r"[^0-9]+", body)
+        return len(parts) == 4 and all(0 < len(p.lstrip("0") or "0") <= 3 and int(p[-4:] or 256) <= 255 for p in parts)
+    return 14 <= len(digits) <= 19 and _luhn(digits) if span[0] == "card" else 10 <= len(digits) <= 15
 
 
 def spans_of(model: Tagger | None, text: str) -> tuple[list[Span], list[Span]]:
@@ -275,7 +320,7 @@ SAMPLE = "key long, other boolean, symbols binary, tags binary"
 
 
 def train(docs: DataFrame, windows: int = TRAIN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
-    """A tagger from windows around base spans (two thirds of the sample) and around other digits."""
+    """A tagger from stretches of two windows around base spans (two thirds of the sample) and around other digits."""
 
     def run(batch: pa.RecordBatch) -> dict:
         keys, others, xs, ys = [], [], [], []
@@ -289,11 +334,11 @@ def train(docs: DataFrame, windows: int = TRAIN_WINDOWS, id_col: str = "doc_id",
             digest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
             for i, at in enumerate([a for _, a, _ in spans] or [first.start()]):
                 h = (digest + i * 0x9E3779B97F4A7C15) & (1 << 63) - 1
-                start = max(0, at - h % (WINDOW - 24))
-                tags = np.zeros(WINDOW, np.uint8)
-                own = y[start : start + WINDOW]
+                start = max(0, at - WINDOW + 12)
+                tags = np.zeros(2 * WINDOW, np.uint8)
+                own = y[start : start + 2 * WINDOW]
                 tags[: len(own)] = own
-                keys.append(h), others.append(not spans), xs.append(_cut(x, np.array([start]))[0].astype(np.uint8).tobytes()), ys.append(tags.tobytes())
+                keys.append(h), others.append(not spans), xs.append(_cut(x, np.array([start]), 2 * WINDOW)[0].astype(np.uint8).tobytes()), ys.append(tags.tobytes())
         return {"key": keys, "other": others, "symbols": xs, "tags": ys}
 
     found = cut(map_slices(texts(docs, id_col, text_col), run, SAMPLE).dropDuplicates(["key"]))
@@ -302,12 +347,13 @@ def train(docs: DataFrame, windows: int = TRAIN_WINDOWS, id_col: str = "doc_id",
     for other, n in ((False, windows * 2 // 3), (True, windows // 3)):
         chosen += hashed_share(found.where(F.col("other") == other), F.col("key"), n, totals.get(other, 0)).collect()  # bounded
     chosen.sort(key=lambda r: r.key)
-    x, tags = (np.array([np.frombuffer(r[c], np.uint8) for r in chosen], np.int64).reshape(-1, WINDOW) for c in ("symbols", "tags"))
+    x, tags = (np.array([np.frombuffer(r[c], np.uint8) for r in chosen], np.int64).reshape(-1, 2 * WINDOW) for c in ("symbols", "tags"))
     return fit(x, tags) if tags.any() else None
 
 
-def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted, text_md5): redacted is the text with every span as [kind]."""
+def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text", redact: bool = True) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), and if asked for redacted (the text with every span as
+    [kind], null where there is none) and text_md5, by which it goes back to its row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -319,11 +365,13 @@ def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col
                 out[f"n_{k}"].append(sum(s[0] == k for s in base))
             out["base_sha256"].append(hashlib.sha256(said(base).encode()).hexdigest())
             out["spans"].append(said(every))
-            out["redacted"].append(redacted(text, every))
-            out["text_md5"].append(hashlib.md5(raw).hexdigest())
+            if redact:
+                out["redacted"].append(redacted(text, every) if every else None)
+                out["text_md5"].append(hashlib.md5(raw).hexdigest())
         return {"doc_id": batch.column("doc_id")} | out
 
-    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string, text_md5 string")
+    more = ", redacted string, text_md5 string" if redact else ""
+    return map_slices(texts(docs, id_col, text_col), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + more)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

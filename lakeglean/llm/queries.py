@@ -43,7 +43,7 @@ def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.find(docs, pii.train(docs)).drop("redacted", "text_md5")
+    return pii.find(docs, pii.train(docs), redact=False)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
