@@ -9,8 +9,10 @@ span its groups go on, nearest first, never all its pairs. Components of the lin
 `near_duplicate_texts` is for a similarity of word shingles: fingerprints of damped word counts under several hashes give
 the candidates, and each candidate link is checked on the exact sets of shingles.
 
-Edge cases: no words give fingerprint zero, which is linked like any other; fewer words than a shingle are one shingle;
-repeated shingles count each time; equal rows share a fingerprint; null ids get no component of others (none is smaller).
+Edge cases: no words give fingerprint zero, which is linked like any other; a null text has no words; fewer words than a
+shingle are one shingle; repeated shingles count each time; equal rows and ties share a fingerprint; null ids get no
+component of others (none is smaller); very long texts are hashed whole; an empty table gives no rows; extra columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,13 +73,13 @@ def fingerprint(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col
     return map_slices(texts(docs, id_col, text_col), lambda b: {"doc_id": b.column("doc_id"), "fp": fingerprints(b.column("text").to_pylist(), size)}, "doc_id long, fp long")
 
 
-def variant_masks(blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def variant_masks(blocks: int = BLOCKS, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each variant: the bits kept, the bit flipped (or none), and a mark of the block left out in its bits."""
-    edges = np.linspace(0, 64, blocks + 1).round().astype(int)
+    edges = np.linspace(0, bits, blocks + 1).round().astype(int)
     keep, flip, mark = [], [], []
     for b in range(blocks):
         dropped = sum(1 << i for i in range(edges[b], edges[b + 1]))
-        kept = [i for i in range(64) if not edges[b] <= i < edges[b + 1]]
+        kept = [i for i in range(bits) if not edges[b] <= i < edges[b + 1]]
         for f in [None, *kept]:
             keep.append(~dropped & (1 << 64) - 1)
             flip.append(0 if f is None else 1 << f)
@@ -85,9 +87,9 @@ def variant_masks(blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.array(keep, np.uint64), np.array(flip, np.uint64), np.array(mark, np.uint64)
 
 
-def meeting_key(x: np.ndarray, y: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
+def meeting_key(x: np.ndarray, y: np.ndarray, blocks: int = BLOCKS, bits: int = 64) -> np.ndarray:
     """Of the variants that each pair of fingerprints within 3 bits shares, one: the least of the first block that serves."""
-    edges = np.linspace(0, 64, blocks + 1).round().astype(int)
+    edges = np.linspace(0, bits, blocks + 1).round().astype(int)
     out, open_ = np.zeros(len(x), np.uint64), np.ones(len(x), bool)
     one = np.uint64(1)
     for b in range(blocks):
@@ -102,7 +104,7 @@ def meeting_key(x: np.ndarray, y: np.ndarray, blocks: int = BLOCKS) -> np.ndarra
     return out
 
 
-def spanning(fps: np.ndarray, radius: int, key: np.uint64, blocks: int = BLOCKS, rows: int = 256) -> list[tuple[int, int]]:
+def spanning(fps: np.ndarray, radius: int, key: np.uint64, blocks: int = BLOCKS, bits: int = 64, rows: int = 256) -> list[tuple[int, int]]:
     """Links between distinct fingerprints of one run, at most one a fingerprint, that join what is within the radius.
 
     A pair counts in the run of its meeting key alone, so that no other run links it again.
@@ -113,7 +115,7 @@ def spanning(fps: np.ndarray, radius: int, key: np.uint64, blocks: int = BLOCKS,
         apart = np.bitwise_count(fps[s : s + rows, None] ^ fps[None, :])
         i, j = np.nonzero(apart <= radius)
         i, j = i[i + s < j], j[i + s < j]
-        mine = meeting_key(fps[i + s], fps[j], blocks) == key
+        mine = meeting_key(fps[i + s], fps[j], blocks, bits) == key
         i, j = i[mine], j[mine]
         near = np.argsort(apart[i, j], kind="stable")
         i += s
@@ -132,11 +134,11 @@ def spanning(fps: np.ndarray, radius: int, key: np.uint64, blocks: int = BLOCKS,
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bits: int = 64) -> DataFrame:
     """(a, b): enough pairs of the distinct fingerprints in column fp within the radius to join their components."""
     if radius > 3:
         raise ValueError("the variants reach 3 differing bits")
-    keep, flip, mark = variant_masks(blocks)
+    keep, flip, mark = variant_masks(blocks, bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +163,10 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     def runs(key: np.ndarray, fp: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = np.diff(first)
         two = first[:-1][n == 2]
-        near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (meeting_key(fp[two], fp[two + 1], blocks).view(np.int64) == key[two])
+        near = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (meeting_key(fp[two], fp[two + 1], blocks, bits).view(np.int64) == key[two])
         a, b = [fp[two][near].view(np.int64)], [fp[two + 1][near].view(np.int64)]
         for s, k in zip(first[:-1][n > 2].tolist(), n[n > 2].tolist(), strict=True):
-            if found := spanning(fp[s : s + k], radius, key[s : s + 1].view(np.uint64)[0], blocks):
+            if found := spanning(fp[s : s + k], radius, key[s : s + 1].view(np.uint64)[0], blocks, bits):
                 x, y = zip(*found, strict=True)
                 a.append(np.array(x, np.int64)), b.append(np.array(y, np.int64))
         a_, b_ = np.concatenate(a), np.concatenate(b)
@@ -190,6 +192,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, id_col
 SIMILAR = 0.8
 SHINGLE = 5
 HASHES = 3
+#: Of a fingerprint of words: fewer than 64, since 3 of them are then more, and pairs at the least similarity differ in about one of 15.
+BITS = 56
 _MIX = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -215,8 +219,8 @@ def word_fingerprints(text: bytes, hashes: int = HASHES) -> list[int]:
     half = weight.sum() / 2
     out = []
     for k in range(hashes):
-        bits = np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out.append(int(np.packbits((weight @ bits > half).astype(np.uint8), bitorder="little").view(np.int64)[0]))
+        bits = np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :BITS]
+        out.append(int(np.packbits(np.r_[weight @ bits > half, np.zeros(64 - BITS, bool)], bitorder="little").view(np.int64)[0]))
     return out
 
 
@@ -224,12 +228,12 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> set[int]:
     return set(shingle_hashes(text, size))
 
 
-def open_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def open_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bits: int = 64) -> DataFrame:
     """(a, b): all pairs of the fingerprints (fp, c) within the radius, once each, but those with one and the same c.
 
     c: the group that all documents of a fingerprint are in, null if they are in several.
     """
-    keep, flip, mark = variant_masks(blocks)
+    keep, flip, mark = variant_masks(blocks, bits)
     variant = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("c", pa.int64()), ("several", pa.bool_())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +265,7 @@ def open_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
             other = (c[s : s + rows, None] != c[None, :]) | several[s : s + rows, None] | several[None, :]
             i, j = np.nonzero(other & (np.bitwise_count(fp[s : s + rows, None] ^ fp[None, :]) <= radius))
             i, j = i[i + s < j] + s, j[i + s < j]
-            mine = meeting_key(fp[i], fp[j], blocks).view(np.int64) == key[:1]
+            mine = meeting_key(fp[i], fp[j], blocks, bits).view(np.int64) == key[:1]
             if mine.any():
                 yield record_batch({"a": fp[i[mine]].view(np.int64), "b": fp[j[mine]].view(np.int64)}, LINKS)
 
@@ -296,7 +300,7 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
         own = fps.where(F.col("k") == k)
         lead = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
         pairs.append(own.join(lead, "fp").where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")))
-        near = links(lead)
+        near = links(lead, bits=BITS)
         pairs.append(near.join(lead.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a").join(lead.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst"))
     candidates = pairs[0]
     for p in pairs[1:]:
@@ -337,7 +341,7 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
         for k in range(hashes):
             own = left.where(F.col("k") == k).groupBy("fp").agg(F.min("c").alias("c"), F.max("c").alias("most"))
             own = own.select("fp", F.when(F.col("c") == F.col("most"), F.col("c")).alias("c"))
-            met = open_pairs(own).unionByName(own.where("c is null").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).withColumn("k", F.lit(k))
+            met = open_pairs(own, bits=BITS).unionByName(own.where("c is null").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).withColumn("k", F.lit(k))
             near = met if near is None else near.unionByName(met)
         near = cut(near)
         for few in (True, False):
