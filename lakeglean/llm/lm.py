@@ -10,8 +10,10 @@ which they have smoothed counts, and one place for words never seen. So every te
    fixed size. Gradients go back WINDOW tokens; the state goes on to a document's end.
 3. Scoring carries the state through whole documents, many side by side. Counts of words beyond the head are joined.
 
-Edge cases: a null or empty text is its end token alone; very long texts run in a lane of their own; equal texts score
-alike up to rounding; without training rows the model is uniform over classes and every word is unseen.
+Edge cases: a null or empty text is its end token alone; very long texts run in a lane of their own, in training too;
+equal texts and repeated rows score alike up to rounding, and ties in counts are ordered by the word; without training
+rows the model is uniform over classes and every word is unseen; an empty table gives no rows; extra columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +42,6 @@ WINDOW, LANES = 32, 512
 #: Words whose counts travel to the tasks at most.
 HEAD = 1 << 17
 WARM = 16
-#: In training, longer documents go on from a zero state after so many tokens; in scoring, never.
-SEGMENT = 2048
 SLICE = 24 << 20
 
 Params = dict[str, np.ndarray]
@@ -363,7 +363,7 @@ def _round(docs: DataFrame, vocab: Vocabulary, p: Params) -> Params:
         adam, n = Adam(own), 0
         for batch in slices(batches, "text", SLICE):
             rows = [_numbers(v.ids, t) for t in batch.column("text").to_pylist()]
-            n += learn(own, v, [y[s : s + SEGMENT] for y in rows for s in range(0, len(y), SEGMENT)], adam)
+            n += learn(own, v, rows, adam)
         if n:
             flat = np.concatenate([own[k].ravel() for k in names]).astype(np.float64) * n
             cuts = [flat[s : s + part] for s in range(0, len(flat), part)]
@@ -429,7 +429,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 y = np.fromiter(map(ids.__getitem__, w), np.int32)
                 docs_.append(y)
                 head, beyond = y[y >= 0], np.flatnonzero(y < 0)
-                rare.append(b" ".join([w[i] if w[i] != END else b"" for i in beyond.tolist()]))
+                rare.append(b" ".join([w[i] for i in beyond.tolist()]))
                 n.append(len(y)), known.append(len(head))
                 base.append(float(v.base[head].sum()) - len(beyond) * log_total)
                 own.append(float(v.inner[head].sum()) - float(log_tail[-1 - y[beyond]].sum()))
@@ -442,6 +442,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     # counts of one word in a row are joined once
     beyond = beyond.join(model.counts.select(F.col("word").cast("string").alias("word"), "c"), "word", "left")
     sums = beyond.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("also"))
-    joined = rows.select("key.*", "n_tokens", "n_known", "base", "own", F.length("rare").alias("size")).join(sums, "row", "left")
-    more = F.coalesce("more", F.when((F.col("n_tokens") > F.col("n_known")) & (F.col("size") == 0), F.lit(math.log10(0.5))).otherwise(0.0))
+    joined = rows.select("key.*", "n_tokens", "n_known", "base", "own").join(sums, "row", "left")
+    more = F.coalesce("more", F.lit(0.0))
     return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("own") + more).alias("score"))
