@@ -5,7 +5,9 @@ Huffman table, 8 bits) in a RIFF AVI with a movi list and an idx1 index. `read_a
 frames of a whole batch of files side by side (one sample of every frame a step), and `clips` gives a row for each shot.
 
 Edge cases: a null or empty payload is one frame of bytes 255; any length is padded to whole frames; very long payloads
-are coded by themselves; equal payloads give equal files; a file whose index is missing or broken raises ValueError.
+are coded by themselves; equal payloads, ties and repeated rows give equal files; a null file has null columns and no clips; an
+empty table gives no rows; extra columns are left out, whatever their names. Lossless grey frames of other writers are
+read by their own tables and sizes; a file of another coding, or whose index is missing or broken, raises ValueError.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -104,24 +108,77 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [HEAD + stuffed[b : b + k].replace(b"\xff", b"\xff\x00") + TAIL for b, k in zip((base * 4).tolist(), lengths.tolist(), strict=True)]
 
 
-def decode_frames(scans: list[bytes]) -> np.ndarray:
-    """Frames (n, FRAME) of the coded samples, without stuffing, of n JPEG files."""
+@dataclass(frozen=True)
+class Form:
+    """How a lossless frame is coded: sides, and the categories of its Huffman table by code length, as in its headers."""
+
+    height: int
+    width: int
+    table: bytes
+
+    @cached_property
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """By the next 16 bits: category and code length."""
+        category, length = np.zeros(1 << 16, np.uint8), np.full(1 << 16, 16, np.uint8)
+        code, at = 0, 16
+        for n in range(1, 17):
+            for k in self.table[at : at + self.table[n - 1]]:
+                category[code << (16 - n) : (code + 1) << (16 - n)], length[code << (16 - n) : (code + 1) << (16 - n)] = k, n
+                code += 1
+            at += self.table[n - 1]
+            code <<= 1
+        return category, length
+
+
+def form_of(frame: bytes) -> tuple[Form, int]:
+    """The form of a JPEG file, and where its coded samples begin; ValueError if it is not one lossless 8-bit grey scan of predictor 1."""
+    at, table, sides = 2, None, None
+    while at + 4 <= len(frame) and frame[at] == 0xFF:
+        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body = frame[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC4:
+            table = body[1 : 17 + sum(body[1:17])]
+        elif marker == 0xC3:
+            precision, height, width, n = struct.unpack_from(">BHHB", body)
+            sides = (height, width) if precision == 8 and n == 1 else None
+        elif marker == 0xDA:
+            if table is None or sides is None or body[3] != 1 or body[5] & 15:
+                break
+            return Form(*sides, table), at
+    raise ValueError("a frame is not a lossless 8-bit grey JPEG of predictor 1 with its own table")
+
+
+OWN = form_of(HEAD)[0]
+
+
+def decode_frames(scans: list[bytes], form: Form = OWN) -> np.ndarray:
+    """Frames (n, samples) of the coded samples, without stuffing, of n JPEG files of one form."""
     n = len(scans)
     lengths = np.array([len(s) for s in scans])
     raw = np.frombuffer(b"".join(scans) + bytes(8), np.uint8).astype(np.uint32)
     ahead = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     at = ((np.cumsum(lengths) - lengths) * 8).astype(np.int64)
-    out = np.empty((FRAME, n), np.int16)
+    out = np.empty((form.height * form.width, n), np.int16)
     most = len(ahead) - 1
-    for i in range(FRAME):
-        peek = (ahead[np.minimum(at >> 3, most)] >> (32 - PEEK - (at & 7)).astype(np.uint32)) & ((1 << PEEK) - 1)
-        found = LOOK[peek]
-        out[i] = found >> 4
-        at += found & 15
-    d = np.ascontiguousarray(out.T).reshape(n, SIDE, SIDE)
+    for i in range(len(out)):
+        here = ahead[np.minimum(at >> 3, most)]
+        if form == OWN:
+            found = LOOK[(here >> (32 - PEEK - (at & 7)).astype(np.uint32)) & ((1 << PEEK) - 1)]
+            out[i] = found >> 4
+            at += found & 15
+        else:
+            category, length = (t[(here >> (16 - (at & 7)).astype(np.uint32)) & 0xFFFF] for t in form.codes)
+            at += length
+            here = ahead[np.minimum(at >> 3, most)]
+            k = category.astype(np.int64)
+            bits = (here.astype(np.int64) >> (32 - k - (at & 7))) & ((1 << k) - 1)
+            out[i] = np.where((k > 0) & (bits >> np.maximum(k - 1, 0) == 0), bits - (1 << k) + 1, bits)
+            at += k
+    d = np.ascontiguousarray(out.T).reshape(n, form.height, form.width)
     d[:, 0, 0] += 128
     d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)
-    return np.cumsum(d, axis=2, dtype=np.int16).astype(np.uint8).reshape(n, FRAME)
+    return np.cumsum(d, axis=2, dtype=np.int16).astype(np.uint8).reshape(n, -1)
 
 
 def avi(frames: list[bytes]) -> bytes:
@@ -144,8 +201,8 @@ def avi(frames: list[bytes]) -> bytes:
     return chunk(b"RIFF", b"AVI " + hdrl + chunk(b"LIST", b"".join(movi)) + chunk(b"idx1", b"".join(index)))
 
 
-def frames_of(media: bytes) -> list[bytes]:
-    """The coded samples of each frame that the index names, unstuffed."""
+def frames_of(media: bytes) -> list[tuple[Form, bytes]]:
+    """Form and coded samples, unstuffed, of each frame that the index names."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     at, movi, index = 12, None, None
@@ -161,12 +218,8 @@ def frames_of(media: bytes) -> list[bytes]:
     out = []
     for _, _, offset, size in struct.iter_unpack("<4sIII", media[index[0] : index[0] + index[1]]):
         start = movi + offset + 8
-        if media[start : start + len(HEAD)] == HEAD:
-            begin = start + len(HEAD)
-        else:  # another writer's headers: go to the end of SOS
-            begin = media.index(b"\xff\xda", start, start + size) + 2
-            begin += struct.unpack_from(">H", media, begin)[0]
-        out.append(media[begin : start + size - 2].replace(b"\xff\x00", b"\xff"))
+        form, begin = (OWN, len(HEAD)) if media[start : start + len(HEAD)] == HEAD else form_of(media[start : start + size])
+        out.append((form, media[start + begin : start + size - 2].replace(b"\xff\x00", b"\xff")))
     return out
 
 
@@ -187,13 +240,21 @@ def encode(data: list[bytes]) -> list[bytes]:
 
 
 def decode(media: list[bytes]) -> Iterator[np.ndarray]:
-    """The frames of each file."""
-    scans = [frames_of(m) for m in media]
+    """The frames of each file, which has one size of frames; of a null none."""
+    scans = [frames_of(m) if m is not None else [] for m in media]
     flat = [s for x in scans for s in x]
-    found = np.concatenate([decode_frames(flat[s : s + BLOCK]) for s in range(0, len(flat), BLOCK)]) if flat else np.zeros((0, FRAME), np.uint8)
+    found: list = [None] * len(flat)
+    for form in dict.fromkeys(f for f, _ in flat):
+        own = [i for i, (f, _) in enumerate(flat) if f == form]
+        for s in range(0, len(own), BLOCK):
+            rows = own[s : s + BLOCK]
+            for i, frame in zip(rows, decode_frames([flat[i][1] for i in rows], form), strict=True):
+                found[i] = frame
     at = 0
     for x in scans:
-        yield found[at : at + len(x)]
+        if len({len(f) for f in found[at : at + len(x)]}) > 1:
+            raise ValueError("frames of several sizes in one file")
+        yield np.stack(found[at : at + len(x)]) if x else np.zeros((0, FRAME), np.uint8)
         at += len(x)
 
 
@@ -230,12 +291,17 @@ def to_avi(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def read_avi(media: DataFrame) -> DataFrame:
-    """What the stored files hold: payload sizes and digests, and shots as text, from (doc_id, n_bytes, media)."""
+    """What the stored files hold: payload sizes and digests, shots and timed clips as text, from (doc_id, n_bytes, media)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         files = batch.column("media").to_pylist()
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips")
+        out: dict[str, list] = {k: [] for k in names}
         for m, frames in zip(files, decode(files), strict=True):
+            if m is None:
+                for k in names:
+                    out[k].append(None)
+                continue
             raw = frames.tobytes()
             first, diff = shots(frames)
             out["payload_bytes"].append(len(raw))
@@ -244,9 +310,16 @@ def read_avi(media: DataFrame) -> DataFrame:
             out["media_bytes"].append(len(m))
             out["media_sha256"].append(hashlib.sha256(m).hexdigest())
             out["feature"].append(f"frames={len(frames)};shots={','.join(map(str, first))};peak={diff.max(initial=0):.4f}")
+            out["clips"].append(",".join(f"{a}-{b}" for _, _, a, b in timed(first, len(frames))))
         return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")} | out
 
-    return map_slices(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", column="media", most=2 << 20)
+    return map_slices(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips string", column="media", most=2 << 20)
+
+
+def timed(first: list[int], n: int, fps: int = FPS) -> Iterator[tuple[int, int, int, int]]:
+    """Frames [start, end) of each shot and their times in milliseconds."""
+    for a, b in zip(first, [*first[1:], n][: len(first)], strict=True):
+        yield a, b, a * 1000 // fps, b * 1000 // fps
 
 
 CLIPS = "doc_id long, clip int, start_frame long, end_frame long, start_ms long, end_ms long, mean_level double"
@@ -261,8 +334,8 @@ def clips(media: DataFrame, fps: int = FPS) -> DataFrame:
             rows = []
             for doc, frames in zip(batch.column("doc_id").to_pylist(), decode(batch.column("media").to_pylist()), strict=True):
                 first, _ = shots(frames)
-                for c, (a, b) in enumerate(zip(first, [*first[1:], len(frames)], strict=True)):
-                    rows.append((doc, c, a, b, a * 1000 // fps, b * 1000 // fps, float(frames[a:b].mean())))
+                for c, (a, b, start, end) in enumerate(timed(first, len(frames), fps)):
+                    rows.append((doc, c, a, b, start, end, float(frames[a:b].mean())))
             if rows:
                 yield record_batch(dict(zip(arrow.names, zip(*rows, strict=True), strict=True)), arrow)
 
