@@ -9,11 +9,12 @@ A task packs what it has read, window by window, so no shuffle is needed, memory
 is packed again in the same way from the same rows.
 
 Edge cases: a null text is empty and still has its end token; very long texts fill sequences of their own; equal rows are
-packed each; an empty table gives no rows; extra columns are ignored.
+packed each; an empty table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -82,11 +83,16 @@ def word_ids(path: str) -> WordIds:
 CACHES["pack"] = word_ids.cache_clear
 
 
+def borne(rate: float, start: int, size: int) -> int:
+    """Loss-bearing tokens of a piece, where every token bears its example's share: those of its pieces add up to the example's."""
+    return math.floor((start + size) * rate + 1e-9) - math.floor(start * rate + 1e-9)
+
+
 def fill(demands: np.ndarray, limits: np.ndarray) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Full bins of (example, start, tokens), and the open last bin.
 
     demands: a row (tokens, loss-bearing tokens) for each example, tokens at most the limit; limits: tokens, segments,
-    loss-bearing tokens. A piece of t tokens of an example cut has its proportion of loss-bearing tokens, rounded up.
+    loss-bearing tokens. A piece of an example has its proportion of loss-bearing tokens, see borne().
     """
     tokens, loss = demands[:, 0].astype(np.float64), demands[:, 1].astype(np.float64)
     start = np.zeros(len(tokens), np.int64)
@@ -112,11 +118,13 @@ def fill(demands: np.ndarray, limits: np.ndarray) -> tuple[list[list[tuple[int,
         if left[0] > 0 and left[1] >= 1 and left[2] >= 1 and open_.any():
             k = int(np.flatnonzero(open_)[0])  # the largest
             x = live[k]
-            take = min(int(left[0]), int(left[2] / rate[x]) if rate[x] else int(left[0]), int(tokens[x]) - 1)
+            take, s0 = min(int(left[0]), int(tokens[x]) - 1), int(start[x])
+            if borne(rate[x], s0, take) > left[2]:
+                take = math.ceil((math.floor(s0 * rate[x] + 1e-9) + left[2] + 1) / rate[x] - 1e-6) - 1 - s0
             if take > 0:
-                now.append((int(x), int(start[x]), take))
+                now.append((int(x), s0, take))
                 start[x] += take
-                loss[x] = max(0.0, loss[x] - np.ceil(take * rate[x]))
+                loss[x] -= borne(rate[x], s0, take)
                 tokens[x] -= take
                 left[0] -= take
         live = live[open_]
@@ -169,7 +177,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, seg
                     offset = 0
                     for x, start, size in part:
                         doc, before, total, ids = held[x]
-                        rows.append((doc, before + start, size, zlib.crc32(ids[start : start + size].tobytes()), total, n, offset, min(size, int(np.ceil(demands[x, 1] * size / max(1, demands[x, 0]))))))
+                        rows.append((doc, before + start, size, zlib.crc32(ids[start : start + size].tobytes()), total, n, offset, borne(demands[x, 1] / max(1, demands[x, 0]), start, size)))
                         offset += size
                     n += 1
             held = [] if last else [(held[x][0], held[x][1] + s, held[x][2], held[x][3][s : s + k]) for x, s, k in rest]
