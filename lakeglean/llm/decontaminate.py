@@ -3,8 +3,9 @@
 Texts are normalised once (A-Z lower-cased; every other ASCII character that is no digit or letter parts words), and
 scanned once; hits are mapped back to word numbers and to code points of the text as it was given.
 
-Edge cases: a null or word-less text has no hits; a null or word-less item has no windows; equal items each count;
-rows of the same id are each judged; extra columns are ignored. An empty benchmark leaves every document clean.
+Edge cases: a null or word-less text has no hits; a null or word-less item has no windows; equal and tied items each count;
+rows of the same id, repeated or not, are each judged; very long texts are scanned whole; extra columns are left out,
+whatever their names; an empty benchmark leaves every document clean, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,8 +95,9 @@ def _scan(items: Items, keyed: bool = False):
             hits.append(covered)
             ids.append(sorted({x for _, (_, names) in found for x in names}))
             spans = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))]
-            first = covered[np.r_[True, np.diff(covered) > 1]]
-            last = covered[np.r_[np.diff(covered) > 1, True]]
+            # of runs; or, where other blocks may have more of a run, of each word
+            first = covered if keyed else covered[np.r_[True, np.diff(covered) > 1]]
+            last = covered if keyed else covered[np.r_[np.diff(covered) > 1, True]]
             starts.append([spans[i][0] for i in first])
             ends.append([spans[i][1] for i in last])
         out = {"doc_id": batch.column("doc_id"), "n_words": n_words, "hits": hits, "items": ids, "starts": starts, "ends": ends, "text_md5": [hashlib.md5(t).hexdigest() for t in batch.column("text").to_pylist()]}
@@ -126,16 +128,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for p in passes[1:]:
         union = union.unionByName(p)
     # rows of one id and text have one result; each pass saw all copies
-    merged = union.groupBy("doc_id", "h").agg(
+    hit = F.arrays_zip("hits", "starts", "ends")
+    merged = union.withColumn("hit", hit).groupBy("doc_id", "h").agg(
         F.max("n_words").alias("n_words"),
         F.max("text_md5").alias("text_md5"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("starts", "ends"))), lambda x: x["starts"])).alias("starts"),
-        F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("starts", "ends"))), lambda x: x["ends"])).alias("ends"),
         (F.count("*") / blocks).cast("int").alias("copies"),
     )
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("h", "copies", "copy")
+    before, after = (lambda i: F.get("hit", i - 1)["hits"]), (lambda i: F.get("hit", i + 1)["hits"])
+    first = F.filter("hit", lambda x, i: (i == 0) | (before(i) < x["hits"] - 1))
+    last = F.filter("hit", lambda x, i: (i == F.size("hit") - 1) | (after(i) > x["hits"] + 1))
+    merged = merged.select("doc_id", "n_words", F.col("hit.hits").alias("hits"), "items", first["starts"].alias("starts"), last["ends"].alias("ends"), "text_md5", F.sequence(F.lit(1), "copies").alias("copies"))
+    return merged.withColumn("copy", F.explode("copies")).drop("copies", "copy")
 
 
 def report(found: DataFrame) -> DataFrame:
