@@ -1,15 +1,19 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer numpy network, calibrated by temperature.
 
-Word vectors: every token falls into one of BUCKETS by a hash (so no vocabulary has to be known), a bucket has a sparse
-ternary index vector by rule, and a bucket's word vector is the sum of the index vectors of the tokens next to it over
-all documents, scaled to unit length. Spark sums the partial tables of the tasks; the whole table has a fixed size.
+Word vectors: Spark counts the tokens of all documents; each of the VOCABULARY most frequent is a row of its own, the rest
+share BUCKETS rows by a hash. A row has a sparse ternary index vector by rule, and its word vector is the sum of the index
+vectors of the tokens next to it over all documents, scaled to unit length. Spark sums the partial tables of the tasks;
+the whole table has a fixed size.
 Documents are pooled as the mean, the deviation and the mean product of neighbours of their token vectors.
 
 The network is fitted on a bounded sample of labelled rows (TRAIN_ROWS, by a hash of the id), a quarter of which is held
 back to set the temperature. Labels, language, source and id are never inputs.
 
-Edge cases: null and empty texts have the zero vector and a score; rows with a null label are not learnt from; with
-no labelled rows or one class only the score is the smoothed share of label 1; equal texts have equal scores.
+Edge cases: null and empty texts have the zero vector and a score; very long texts are pooled whole; rows with a null id or
+label are not learnt from; of several labels of an id the largest counts, of several texts one chosen by its hash, so
+repeated rows are learnt once; ties in token counts are ordered by the token; with no labelled rows or one class only the
+score is the smoothed share of label 1; equal texts have equal scores; an empty table gives no rows; extra columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import CACHES, claim, hashed_share, map_slices, record_batch, slices, texts
 
-BUCKETS = 1 << 14
+#: Tokens with a word vector of their own, the most frequent ones; and vectors that all others share.
+VOCABULARY = 1 << 13
+BUCKETS = 1 << 13
+ROWS = VOCABULARY + BUCKETS
 DIM = 32
 NONZERO = 4
 #: Labelled rows that the network is fitted on, but for a tenth.
@@ -38,65 +47,100 @@ TABLE_ROWS = 256
 _TOKEN = re.compile(rb"[0-9]+|[!-/:-@\[-`{-~]+|[^\x00-\x20!-/0-9:-@\[-`{-~\x7f]+")
 
 
-class Buckets(dict):
-    """Bucket of each token, kept while there are not too many. A word in capitals counts as such, whatever the word."""
+def _key(token: bytes) -> bytes:
+    """A word in capitals counts as such, and a number, whatever it is."""
+    if len(token) > 1 and token.isupper():
+        return b"\x00capitals"
+    return b"\x00digits" if token.isdigit() else token.lower()
+
+
+class Rows(dict):
+    """Row of each token in the table, kept while there are not too many."""
+
+    def __init__(self, words: tuple[bytes, ...]):
+        self.own = {w: i for i, w in enumerate(words)}
 
     def __missing__(self, token: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        if len(token) > 1 and token.isupper():
-            key = b"\x00capitals"
-        elif token.isdigit():
-            key = b"\x00digits"
-        else:
-            key = token.lower()
-        self[token] = b = zlib.crc32(key) % BUCKETS
+        key = _key(token)
+        self[token] = b = self.own[key] if key in self.own else VOCABULARY + zlib.crc32(key) % BUCKETS
         return b
 
 
-_BUCKETS = Buckets()
-CACHES["quality"] = _BUCKETS.clear
+@lru_cache(maxsize=1)
+def rows_of(words: tuple[bytes, ...]) -> Rows:
+    return Rows(words)
+
+
+CACHES["quality"] = rows_of.cache_clear
+COUNTS = pa.schema([("key", pa.binary()), ("n", pa.int64())])
+
+
+def frequent(docs: DataFrame, most: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> tuple[bytes, ...]:
+    """The most frequent tokens of all documents, in order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            found: Counter = Counter()
+            for t, n in seen.items():
+                found[_key(t)] += n
+            seen.clear()
+            return record_batch({"key": list(found), "n": list(found.values())}, COUNTS)
+
+        for batch in slices(batches, "text", 1 << 20):
+            for t in batch.column("text").to_pylist():
+                seen.update(_TOKEN.findall(t))
+            if len(seen) > 400_000:
+                yield flush()
+        yield flush()
 
+    counts = texts(docs, id_col, text_col).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return tuple(bytes(r.key) for r in counts.orderBy(F.desc("n"), "key").limit(most).collect())
 
-def token_buckets(text: bytes) -> np.ndarray:
-    return np.fromiter(map(_BUCKETS.__getitem__, _TOKEN.findall(text)), np.int64)
+
+def token_rows(text: bytes, rows: Rows) -> np.ndarray:
+    return np.fromiter(map(rows.__getitem__, _TOKEN.findall(text)), np.int64)
 
 
 def index_vectors(seed: int = 0) -> np.ndarray:
     """Sparse ternary vectors, a rule of the seed."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, DIM), np.float32)
-    at = rng.permuted(np.tile(np.arange(DIM), (BUCKETS, 1)), axis=1)[:, :NONZERO]
-    out[np.arange(BUCKETS)[:, None], at] = rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+    out = np.zeros((ROWS, DIM), np.float32)
+    at = rng.permuted(np.tile(np.arange(DIM), (ROWS, 1)), axis=1)[:, :NONZERO]
+    out[np.arange(ROWS)[:, None], at] = rng.choice([-1.0, 1.0], (ROWS, NONZERO))
     return out
 
 
 PARTS = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
 
 
-def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """(BUCKETS, DIM) unit vectors from the neighbours, left and right, of every token of all documents."""
+def word_vectors(docs: DataFrame, words: tuple[bytes, ...], id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """(ROWS, DIM) unit vectors from the neighbours, left and right, of every token of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
         own = index_vectors()
-        sums = np.zeros(BUCKETS * DIM)
+        sums, rows = np.zeros(ROWS * DIM), rows_of(words)
         dims = np.argsort(own == 0, axis=1, kind="stable")[:, :NONZERO]
         signs = np.take_along_axis(own, dims, axis=1).astype(np.float64)
         for batch in slices(batches, "text", 1 << 20):
             pairs = []
             for t in batch.column("text").to_pylist():
-                b = token_buckets(t)
-                pairs += [b[:-1] * BUCKETS + b[1:]]
+                b = token_rows(t, rows)
+                pairs += [b[:-1] * ROWS + b[1:]]
             # equal pairs of neighbours once, with their count
             pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-            left, right = pair // BUCKETS, pair % BUCKETS
+            left, right = pair // ROWS, pair % ROWS
             for k in range(NONZERO):
-                sums += np.bincount(left * DIM + dims[right, k], signs[right, k] * n, minlength=BUCKETS * DIM)
+                sums += np.bincount(left * DIM + dims[right, k], signs[right, k] * n, minlength=ROWS * DIM)
                 # a word to the left counts with its vector turned by one place
-                sums += np.bincount(right * DIM + (dims[left, k] + 1) % DIM, signs[left, k] * n, minlength=BUCKETS * DIM)
-        rows = sums.reshape(-1, TABLE_ROWS * DIM)
-        yield record_batch({"part": np.arange(len(rows)), "sums": [r.astype(np.float32).tobytes() for r in rows]}, PARTS)
+                sums += np.bincount(right * DIM + (dims[left, k] + 1) % DIM, signs[left, k] * n, minlength=ROWS * DIM)
+        table = sums.reshape(-1, TABLE_ROWS * DIM)
+        yield record_batch({"part": np.arange(len(table)), "sums": [r.astype(np.float32).tobytes() for r in table]}, PARTS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -106,18 +150,18 @@ def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield record_batch({"part": list(found), "sums": [v.tobytes() for v in found.values()]}, PARTS)
 
     partial = texts(docs, id_col, text_col).mapInArrow(count, "part int, sums binary")
-    total = np.zeros((BUCKETS // TABLE_ROWS, TABLE_ROWS * DIM))
-    for r in partial.repartition("part").mapInArrow(add, "part int, sums binary").collect():  # BUCKETS x DIM numbers
+    total = np.zeros((ROWS // TABLE_ROWS, TABLE_ROWS * DIM))
+    for r in partial.repartition("part").mapInArrow(add, "part int, sums binary").collect():  # ROWS x DIM numbers
         total[r.part] += np.frombuffer(r.sums, np.float64)
-    out = total.reshape(BUCKETS, DIM)
+    out = total.reshape(ROWS, DIM)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(batch: list[bytes], vectors: np.ndarray) -> np.ndarray:
+def pooled(batch: list[bytes], vectors: np.ndarray, rows: Rows) -> np.ndarray:
     """(texts, 3 * DIM + 1): mean, deviation, mean product of neighbours; log of the number of tokens."""
     out = np.zeros((len(batch), 3 * DIM + 1), np.float32)
     for i, t in enumerate(batch):
-        b = token_buckets(t)
+        b = token_rows(t, rows)
         if not len(b):
             continue
         kinds, n = np.unique(b, return_counts=True)
@@ -189,26 +233,33 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = 60) -> Networ
 
 @dataclass
 class Model:
+    words: tuple[bytes, ...]
     vectors: np.ndarray
     network: Network
 
+    def features(self, batch: list[bytes]) -> np.ndarray:
+        return pooled(batch, self.vectors, rows_of(self.words))
+
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Word vectors from all of docs; the network from about `rows` of the labelled ones, chosen by a hash of the id."""
-    vectors = word_vectors(docs, id_col, text_col)
+    words = frequent(docs, id_col=id_col, text_col=text_col)
+    model = Model(words, word_vectors(docs, words, id_col, text_col), fit(np.zeros((0, 3 * DIM + 1)), np.zeros(0)))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = hashed_share(chosen, F.col("doc_id"), rows, chosen.count())
     sample = own.join(F.broadcast(chosen), "doc_id")  # `rows` ids and labels at most
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), text.alias("text"))).alias("t"), F.max("label").alias("label")).select("doc_id", "t.text", "label")
 
     def features(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": list(pooled(batch.column("text").to_pylist(), vectors))}
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": list(model.features(batch.column("text").to_pylist()))}
 
-    sample = sample.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "label")
     found = map_slices(sample, features, "doc_id long, label int, x array<float>", own="quality").toArrow().to_pydict()
-    order = np.lexsort((found["label"], found["doc_id"])) if found["doc_id"] else np.zeros(0, int)
+    order = np.argsort(found["doc_id"], kind="stable") if found["doc_id"] else np.zeros(0, int)
     x = np.array(found["x"], np.float32).reshape(-1, 3 * DIM + 1)[order]
-    return Model(vectors, fit(x, np.array(found["label"], np.float64)[order]))
+    model.network = fit(x, np.array(found["label"], np.float64)[order])
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +267,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batch: pa.RecordBatch) -> dict:
-        s = sent.value.network.score(pooled(batch.column("text").to_pylist(), sent.value.vectors).astype(np.float64))
+        s = sent.value.network.score(sent.value.features(batch.column("text").to_pylist()).astype(np.float64))
         return {"doc_id": batch.column("doc_id"), "score": s, "predicted": (s >= 0.5).astype(np.int32), "text_md5": [hashlib.md5(t).hexdigest() for t in batch.column("text").to_pylist()]}
 
     return map_slices(texts(docs, id_col, text_col), run, "doc_id long, score double, predicted int, text_md5 string", own="quality")
