@@ -5,7 +5,8 @@ up to the first that differs in role or text. The shared turns are rendered once
 the character ranges that bear loss: the texts of its assistant turns and their end marks.
 
 Edge cases: null roles and texts are empty; no common turn gives an empty prompt; equal conversations give empty
-completions and `degenerate`; a conversation is one row by nature, however long; extra columns are ignored.
+completions and `degenerate`; a conversation is one row by nature, however long its texts; ties of turns are ordered by role
+and text; repeated rows give a pair each; an empty table gives no rows; extra columns are left out, and the id may have any name.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _loss(turns: Column) -> Column:
 def format_pairs(pairs: DataFrame, id_col: str = "pair_id", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """(pair id, n_common, prompt, chosen, rejected, chosen_loss, rejected_loss, degenerate) from arrays of (role, text)."""
     plain = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<role:string,text:string>>")), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    own = pairs.select(id_col, plain(chosen).alias("c"), plain(rejected).alias("r"))
+    own = pairs.select(F.struct(id_col).alias("key"), plain(chosen).alias("c"), plain(rejected).alias("r"))
     n = F.least(F.size("c"), F.size("r"))
     same = F.zip_with(F.slice("c", 1, n), F.slice("r", 1, n), lambda a, b: a == b)
     first = F.array_position(same, F.lit(False))
@@ -48,7 +49,7 @@ def format_pairs(pairs: DataFrame, id_col: str = "pair_id", chosen: str = "chose
     k = F.col("n_common").cast("int")
     own = own.withColumns({"prompt": _joined(F.slice("c", 1, k)), "cc": F.slice("c", k + 1, F.size("c")), "rr": F.slice("r", k + 1, F.size("r"))})
     return own.select(
-        id_col, "n_common", "prompt", _joined(F.col("cc")).alias("chosen"), _joined(F.col("rr")).alias("rejected"),
+        "key.*", "n_common", "prompt", _joined(F.col("cc")).alias("chosen"), _joined(F.col("rr")).alias("rejected"),
         _loss(F.col("cc")).alias("chosen_loss"), _loss(F.col("rr")).alias("rejected_loss"), ((F.size("cc") == 0) & (F.size("rr") == 0)).alias("degenerate"),
     )
 
