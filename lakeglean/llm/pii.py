@@ -7,7 +7,8 @@ in which it lies most centrally, and spans are read off the reconciled tags, so
 of the tagger that touch no base span and hold what their kind needs are added.
 
 Edge cases: null and empty texts have no spans; very long texts are decoded in blocks of windows; base spans of different
-kinds may overlap; equal texts have equal spans; a corpus without any base span leaves the tagger untrained, adding none.
+kinds may overlap; equal texts and repeated rows have equal spans; of tied tags the first wins; a corpus without any base
+span, or an empty table, leaves the tagger untrained, adding none; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

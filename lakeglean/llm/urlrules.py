@@ -4,8 +4,10 @@ URLs that a listed rule fits are labelled by it. Spark's FP-growth mines combina
 to a label with enough support and confidence stay, unless a rule on fewer tokens is as sure. A rule is filed under its
 rarest token, so a URL is compared only with rules filed under one of its own tokens.
 
-Edge cases: a null url, or one without `://`, has empty host and path and no tokens, and is allowed; equal urls are judged
-alike; without labelled urls there are no learned rules and the method allows.
+Edge cases: a null url, or one without `://`, has empty host and path and no tokens, and is allowed; equal urls and repeated
+rows are judged alike; of tied rules the one with more tokens, then the later in order, is used; very long urls have many
+tokens; without labelled urls there are no learned rules and the method allows; an empty table gives no rows; extra
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
