@@ -292,7 +292,7 @@ def test_suffix_hot_keys_and_later_batches(spark):
     texts = {i: (r.choice(parts) + "".join(r.choice("xyz ") for _ in range(r.randrange(60))) + r.choice(parts) * r.randrange(2)).encode() for i in range(80)}
     df = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
     rows = lambda found: {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found.collect()}
-    assert rows(suffix.deduplicate(df, chunk_bytes=600, shard_bytes=500, hot=2, cell_marks=8)) == removed(texts)
+    assert rows(suffix.deduplicate(df, chunk_bytes=600, shard_bytes=500, hot=2, part=8)) == removed(texts)
     index = suffix.new_index(df, chunk_bytes=900, shard_bytes=900)
     for a, b in ((0, 40), (40, 60), (60, 70), (70, 80)):
         got = rows(index.add(df.where(f"doc_id >= {a} and doc_id < {b}")))
