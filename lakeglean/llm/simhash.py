@@ -228,49 +228,95 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> set[int]:
     return set(shingle_hashes(text, size))
 
 
-def open_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bits: int = 64) -> DataFrame:
-    """(a, b): all pairs of the fingerprints (fp, c) within the radius, once each, but those with one and the same c.
-
-    c: the group that all documents of a fingerprint are in, null if they are in several.
+#: Documents of a cloud that are compared together, on average at most, with as many others.
+TOGETHER = 256
+
+
+def alike(sets_a: list[np.ndarray], sets_b: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Jaccard similarity of each of the first sets with each of the second; two empty sets are equal."""
+    n_a, n_b = (np.array([len(x) for x in s], np.int64) for s in (sets_a, sets_b))
+    both = np.zeros((len(sets_a), len(sets_b)), np.float32)
+    a, b = (np.concatenate([*s, np.zeros(0, np.uint64)]) for s in (sets_a, sets_b))
+    shared = np.intersect1d(a, b)
+    at_a, at_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+    (a, at_a), (b, at_b) = ((x[keep], at[keep]) for x, at, keep in ((x, at, np.isin(x, shared)) for x, at in ((a, at_a), (b, at_b))))
+    a, b = np.searchsorted(shared, a), np.searchsorted(shared, b)
+    for s in range(0, len(shared), columns):  # few columns at a time
+        one = []
+        for x, at, n in ((a, at_a, len(n_a)), (b, at_b, len(n_b))):
+            here = (x >= s) & (x < s + columns)
+            m = np.zeros((n, min(columns, len(shared) - s)), np.float32)
+            m[at[here], x[here] - s] = 1
+            one.append(m)
+        both += one[0] @ one[1].T
+    every = n_a[:, None] + n_b[None, :] - both
+    return np.where(every > 0, both / np.maximum(every, 1), 1.0)
+
+
+LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("similarity", pa.float64())])
+
+
+def linked(similar: float):
+    """Of two blocks of documents (doc_id, c, set): enough pairs of at least `similar` to join what they join of the groups c."""
+
+    def link(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return LINK.empty_table()
+        sets = [[np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()] for t in (a, b)]
+        found = alike(*sets)
+        ids, groups = ([t.column(n).to_pylist() for t in (a, b)] for n in ("doc_id", "c"))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        out: list[tuple] = []
+        i, j = np.nonzero(found >= similar)
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            u, v = top(groups[0][x]), top(groups[1][y])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((ids[0][x], ids[1][y], float(found[x, y])))
+        return pa.table(dict(zip(LINK.names, zip(*out, strict=True), strict=True)), LINK) if out else LINK.empty_table()
+
+    return link
+
+
+def within_clouds(members: DataFrame, similar: float, together: int = TOGETHER) -> DataFrame:
+    """(src, dst, similarity) that join what is similar in each cloud, from (cloud, doc_id, c: group so far, set).
+
+    The documents of a cloud's largest group are not compared with each other, as they are joined; all others are, with
+    each other and with those. Blocks of about `together` documents meet in pairs, so that a task holds two blocks.
     """
-    keep, flip, mark = variant_masks(blocks, bits)
-    variant = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("c", pa.int64()), ("several", pa.bool_())])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            several = np.array(batch.column("c").is_null())
-            c = batch.column("c").fill_null(0).to_numpy(zero_copy_only=False)
-            all_ = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for s in range(0, len(all_), 2048):
-                f = all_[s : s + 2048]
-                key = ((f[:, None] & keep) ^ flip) | mark
-                own = {"fp": f.view(np.int64), "c": c[s : s + 2048], "several": several[s : s + 2048]}
-                yield record_batch({"key": key.ravel().view(np.int64)} | {n: np.repeat(x, len(keep)) for n, x in own.items()}, variant)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)]
-        for batch in batches:
-            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "fp", "c", "several")]
-            new[1] = new[1].view(np.uint64)
-            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            first = np.flatnonzero(np.r_[True, kept[0][1:] != kept[0][:-1]]) if len(kept[0]) else np.zeros(0, np.int64)
-            for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):  # the last run may go on in the next batch
-                yield from run(*(x[s:e] for x in kept))
-            if len(first) > 1:
-                kept = [x[first[-1] :] for x in kept]
-        yield from run(*kept)
-
-    def run(key: np.ndarray, fp: np.ndarray, c: np.ndarray, several: np.ndarray, rows: int = 256) -> Iterator[pa.RecordBatch]:
-        for s in range(0, len(fp) if len(fp) > 1 else 0, rows):
-            other = (c[s : s + rows, None] != c[None, :]) | several[s : s + rows, None] | several[None, :]
-            i, j = np.nonzero(other & (np.bitwise_count(fp[s : s + rows, None] ^ fp[None, :]) <= radius))
-            i, j = i[i + s < j] + s, j[i + s < j]
-            mine = meeting_key(fp[i], fp[j], blocks, bits).view(np.int64) == key[:1]
-            if mine.any():
-                yield record_batch({"a": fp[i[mine]].view(np.int64), "b": fp[j[mine]].view(np.int64)}, LINKS)
-
-    variants = fps.select("fp", "c").mapInArrow(emit, "key long, fp long, c long, several boolean")
-    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    groups = members.groupBy("cloud", "c").agg(F.count("*").alias("n"))
+    main = groups.groupBy("cloud").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / together)).cast("int")
+    sizes = main.select("cloud", F.col("m.c").alias("main"), blocks(F.col("n") - F.col("m.n")).alias("rest"), blocks(F.col("m.n")).alias("most"))
+    spread, is_main = F.xxhash64("doc_id"), F.col("c") == F.col("main")
+    own = members.join(sizes, "cloud").withColumn("block", F.when(is_main, F.col("rest") + F.pmod(spread, "most")).otherwise(F.pmod(spread, "rest")).cast("int"))
+    own = cut(own.withColumn("is_main", is_main))
+    left = own.where("not is_main").select("cloud", "doc_id", "c", "set", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("rest") + F.col("most") - 1)).alias("j"))
+    right = own.select(*(F.col(x).alias(x) for x in ("cloud", "doc_id", "c", "set")), F.explode(F.sequence(F.lit(0), F.least("block", F.col("rest") - 1))).alias("i"), F.col("block").alias("j"))
+    key = ["cloud", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(linked(similar), "src long, dst long, similarity double")
+
+
+#: Rounds in which the members of a cloud are judged against one of them.
+STARS = 2
+
+
+def hub(members: DataFrame, bits: int = BITS) -> DataFrame:
+    """(cloud, hub) of (cloud, doc_id, fp): the member whose fingerprint is nearest to the majority of each bit; combined before the shuffle."""
+    bit = lambda i: F.shiftright("fp", i).bitwiseAND(F.lit(1))
+    most = members.groupBy("cloud").agg(*(F.avg(bit(i)).alias(f"b{i}") for i in range(bits)))
+    centre = F.lit(0).cast("long")
+    for i in range(bits):
+        centre = centre + F.when(F.col(f"b{i}") > 0.5, F.lit(1 << i)).otherwise(F.lit(0))
+    most = most.select("cloud", centre.alias("centre"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+    return members.join(most, "cloud").groupBy("cloud").agg(F.min(F.struct(apart.alias("apart"), "doc_id")).alias("h")).select("cloud", F.col("h.doc_id").alias("hub"))
 
 
 def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,10 +324,11 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
 
     A row for each of docs. component_id is the smallest doc_id of the component (null if it has none), and the rows of
     the smallest doc_id and text are first; texts without words are equal. Distinct texts are told apart by a number, so
-    ids may be null or have several texts. Each link is exact. Of the pairs
-    with a fingerprint within 3 bits, those are judged that span them; where a link fails, the two groups it left apart are
-    looked at again: a pair between each two groups, and then all pairs between groups that are still apart. So only
-    pairs that verified links join are never judged.
+    ids may be null or have several texts. Each link is exact. What links of fingerprints within 3 bits join is a cloud,
+    mostly the copies of one text; its hub is the member next to the majority of its fingerprints, and every member is
+    judged against it; those apart from it have a hub of their own, STARS times. Then what is still apart in a cloud is
+    compared on whole shingle sets, block by block, and only the links that join groups are rows. So only pairs that
+    verified links join are never judged, and a cloud's pairs are never emitted.
     """
     source = texts(docs, id_col, text_col)
     keyed = cut(source.select("doc_id", F.md5("text").alias("h")))
@@ -305,8 +352,7 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
     candidates = pairs[0]
     for p in pairs[1:]:
         candidates = candidates.unionByName(p)
-    ordered = lambda p: p.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    candidates = cut(ordered(candidates))
+    candidates = cut(candidates.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     ends = candidates.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     bodies = cut(of(first.join(ends.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")))
 
@@ -325,38 +371,32 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
         return cut(map_slices(sides, judge, "src long, dst long, similarity double", column="x"))
 
     joined = F.col("similarity") >= similar
-    judged = checked(candidates)
-    component = cut(connected_components(judged.where(joined).select("src", "dst")))
 
     def grouped(rows: DataFrame, id_: str, name: str) -> DataFrame:
         """rows with the group of the document in column id_."""
         return rows.join(component.select(F.col("node").alias(id_), F.col("component").alias("_c")), id_, "left").withColumn(name, F.coalesce("_c", id_)).drop("_c")
 
-    # only groups that a failed link touches can hold a pair that is not judged, and the links of a group lie within its candidates
-    apart = grouped(grouped(judged.where(~joined), "src", "cs"), "dst", "cd").where("cs <> cd")
-    touched = cut(apart.select(F.explode(F.array("cs", "cd")).alias("c")).distinct())
-    if not touched.isEmpty():
-        left = cut(grouped(fps, "doc_id", "c").join(touched, "c", "left_semi").select("k", "fp", "doc_id", "c"))
-        near = None
-        for k in range(hashes):
-            own = left.where(F.col("k") == k).groupBy("fp").agg(F.min("c").alias("c"), F.max("c").alias("most"))
-            own = own.select("fp", F.when(F.col("c") == F.col("most"), F.col("c")).alias("c"))
-            met = open_pairs(own, bits=BITS).unionByName(own.where("c is null").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).withColumn("k", F.lit(k))
-            near = met if near is None else near.unionByName(met)
-        near = cut(near)
-        for few in (True, False):
-            now = cut(grouped(left.drop("c"), "doc_id", "c"))
-            sets = now.groupBy("k", "fp", "c").agg(F.min("doc_id").alias("doc_id"))
-            side = lambda rows, fp, c, d: rows.select("k", F.col("fp").alias(fp), F.col("c").alias(c), F.col("doc_id").alias(d))
-            met = near.join(side(sets, "a", "ca", "src"), ["k", "a"]).join(side(sets, "b", "cb", "dst"), ["k", "b"]).where("ca <> cb")
-            if few:
-                met = met.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("src", "dst")).alias("p")).select("p.*")
-            else:
-                met = met.drop("src", "dst").join(side(now, "a", "ca", "src"), ["k", "a", "ca"]).join(side(now, "b", "cb", "dst"), ["k", "b", "cb"])
-            more = checked(ordered(met.select("src", "dst")).join(judged.select("src", "dst"), ["src", "dst"], "left_anti"))
-            judged = judged.unionByName(more)
-            if not more.where(joined).isEmpty():
-                component = cut(connected_components(judged.where(joined).select("src", "dst")))
+    cloud = cut(connected_components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("cloud")))
+    members, judged = cut(cloud.join(fps.where("k = 0").select("doc_id", "fp"), "doc_id")), None
+    rest = members
+    for _ in range(STARS):
+        hubs = hub(rest)
+        stars = rest.join(hubs, "cloud").where("doc_id <> hub").select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
+        stars = stars if judged is None else stars.join(judged.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+        now = checked(stars)
+        judged = now if judged is None else judged.unionByName(now)
+        rest = cut(rest.join(hubs, "cloud").where("doc_id <> hub").join(now.where(joined).select(F.col("dst").alias("doc_id")), "doc_id", "left_anti").drop("hub"))
+    component = cut(connected_components(judged.where(joined).select("src", "dst")))
+    apart = grouped(cloud, "doc_id", "c")
+    several = apart.groupBy("cloud").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("cloud")
+    apart = cut(apart.join(several, "cloud", "left_semi"))
+
+    def shingled(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column("doc_id"), "set": [np.unique(np.array(shingle_hashes(t, size), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]}
+
+    sets = map_slices(bodies.join(apart.select("doc_id"), "doc_id", "left_semi"), shingled, "doc_id long, set binary")
+    more = within_clouds(apart.join(sets, "doc_id"), similar)
+    component = cut(connected_components(judged.where(joined).unionByName(more).select("src", "dst")))
     rows = keyed.join(grouped(first, "rep", "c").select("h", "c"), "h")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     least = rows.groupBy("c").agg(F.min(own).alias("least"))
