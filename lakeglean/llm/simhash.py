@@ -342,16 +342,12 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
         map_slices(of(first), lambda b: {"doc_id": b.column("doc_id"), "fps": [word_fingerprints(t, hashes) for t in b.column("text").to_pylist()]}, "doc_id long, fps array<long>")
         .select("doc_id", F.posexplode("fps").alias("k", "fp"))
     )
-    pairs = []
-    for k in range(hashes):
-        own = fps.where(F.col("k") == k)
-        lead = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-        pairs.append(own.join(lead, "fp").where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")))
-        near = links(lead, bits=BITS)
-        pairs.append(near.join(lead.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a").join(lead.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst"))
-    candidates = pairs[0]
-    for p in pairs[1:]:
-        candidates = candidates.unionByName(p)
+    # the number of the hash stands above a fingerprint's bits, which no variant touches there: so all are linked in one pass
+    marked = fps.select("doc_id", F.col("fp").bitwiseOR(F.shiftleft(F.col("k").cast("long"), BITS)).alias("fp"))
+    lead = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    near = links(lead, bits=BITS)
+    near = near.join(lead.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a").join(lead.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
+    candidates = marked.join(lead, "fp").where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")).unionByName(near).where("src <> dst")
     candidates = cut(candidates.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     ends = candidates.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     bodies = cut(of(first.join(ends.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")))
@@ -372,22 +368,19 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
 
     joined = F.col("similarity") >= similar
 
-    def grouped(rows: DataFrame, id_: str, name: str) -> DataFrame:
-        """rows with the group of the document in column id_."""
-        return rows.join(component.select(F.col("node").alias(id_), F.col("component").alias("_c")), id_, "left").withColumn(name, F.coalesce("_c", id_)).drop("_c")
-
     cloud = cut(connected_components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("cloud")))
-    members, judged = cut(cloud.join(fps.where("k = 0").select("doc_id", "fp"), "doc_id")), None
-    rest = members
+    # c: the hub that a member has joined, or itself; open: neither joined nor a hub yet
+    members = cloud.join(fps.where("k = 0").select("doc_id", "fp"), "doc_id").withColumns({"c": F.col("doc_id"), "open": F.lit(True)})
+    judged = None
     for _ in range(STARS):
-        hubs = hub(rest)
-        stars = rest.join(hubs, "cloud").where("doc_id <> hub").select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
-        stars = stars if judged is None else stars.join(judged.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
-        now = checked(stars)
+        members = cut(members)
+        hubs = cut(hub(members.where("open")))
+        stars = members.where("open").join(hubs, "cloud").where("doc_id <> hub").select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
+        now = checked(stars).where(joined)
         judged = now if judged is None else judged.unionByName(now)
-        rest = cut(rest.join(hubs, "cloud").where("doc_id <> hub").join(now.where(joined).select(F.col("dst").alias("doc_id")), "doc_id", "left_anti").drop("hub"))
-    component = cut(connected_components(judged.where(joined).select("src", "dst")))
-    apart = grouped(cloud, "doc_id", "c")
+        settled = now.select(F.col("dst").alias("doc_id"), F.col("src").alias("hub")).unionByName(hubs.select(F.col("hub").alias("doc_id"), "hub"))
+        members = members.join(settled, "doc_id", "left").withColumns({"c": F.coalesce("hub", "c"), "open": F.col("open") & F.col("hub").isNull()}).drop("hub")
+    apart = members.select("cloud", "doc_id", "c")
     several = apart.groupBy("cloud").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("cloud")
     apart = cut(apart.join(several, "cloud", "left_semi"))
 
@@ -396,8 +389,9 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
 
     sets = map_slices(bodies.join(apart.select("doc_id"), "doc_id", "left_semi"), shingled, "doc_id long, set binary")
     more = within_clouds(apart.join(sets, "doc_id"), similar)
-    component = cut(connected_components(judged.where(joined).unionByName(more).select("src", "dst")))
-    rows = keyed.join(grouped(first, "rep", "c").select("h", "c"), "h")
+    component = connected_components(judged.unionByName(more).select("src", "dst"))
+    of_text = first.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("c"))
+    rows = keyed.join(of_text, "h")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     least = rows.groupBy("c").agg(F.min(own).alias("least"))
     return rows.join(least, "c").select("doc_id", F.col("h").alias("text_md5"), F.col("least.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))).alias("first"))
