@@ -181,7 +181,7 @@ def ttl_cache(t):
 def stream_retain(t):
     folder = scratch(t)
     J.retain_stream(stream(t, "events"), f"{folder}/t", f"{folder}/c", "user_id", "event_id", 4).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/t/v=0").select("user_id", "event_id")
+    return J.latest(t.spark, f"{folder}/t").select("user_id", "event_id")
 
 
 @book.query("""SELECT doc_id, md5(text || chr(1) || doc_id) AS id, length(text)::INT AS n FROM documents""")
@@ -194,7 +194,7 @@ def stream_ingest(t):
         return b.select("doc_id", content_id(F.col("text"), F.col("doc_id").cast("string")).alias("id"), F.length("text").alias("n"), F.lit(1).alias("version"))
 
     J.ingest(stream(t, "documents"), build, f"{folder}/t", f"{folder}/c").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/t/v=0").select("doc_id", "id", "n")
+    return J.latest(t.spark, f"{folder}/t").select("doc_id", "id", "n")
 
 
 @book.query("""SELECT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst, count(*)::DOUBLE AS weight FROM lineitem WHERE l_quantity = 50 GROUP BY ALL""")
@@ -202,7 +202,7 @@ def stream_graph(t):
     folder = scratch(t)
     e = stream(t, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit(1.0).alias("weight"), F.col("l_orderkey").alias("source"))
     J.graph_stream(e, f"{folder}/t", f"{folder}/c").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/t/v=0").select("src", "dst", "weight")
+    return J.latest(t.spark, f"{folder}/t").select("src", "dst", "weight")
 
 
 @book.query("""SELECT item_id::VARCHAR AS query, i AS pos, w FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark), unnest(ws) WITH ORDINALITY AS u(w, o), LATERAL (SELECT (o - 1)::INT AS i)""")

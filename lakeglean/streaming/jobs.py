@@ -193,6 +193,12 @@ def graph_stream(source: DataFrame, target: str, checkpoint: str) -> StreamingQu
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The last snapshot of a stream that writes one for each micro-batch, as v=<batch>."""
+    every = spark.read.parquet(folder)
+    return every.where(F.col("v") == every.agg(F.max("v")).head()[0]).drop("v")
+
+
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there into a table in memory, and return that. For tests and small results."""
     w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
