@@ -64,20 +64,21 @@ def min_should_match(scored: DataFrame, terms: DataFrame, share: float) -> DataF
     return scored.join(need, "query_id").where("hits >= need").drop("need")
 
 
-def positions(chunks: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(chunk_id, pos, term)."""
-    return chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+def term_pairs(chunks: DataFrame, id_col: str, text: str, slop: int = 0) -> DataFrame:
+    """(chunk_id, first, second, n): how many places of a first term have the second within 1 + slop after them."""
+    t = F.col("t")
+    nexts = [F.slice(t, 2 + i, F.greatest(F.size(t), F.lit(1))).alias(f"n{i}") for i in range(1 + slop)]
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text)).alias("t")).select("chunk_id", F.explode(F.arrays_zip(t.alias("first"), *nexts)).alias("x"))
+    after = F.array_distinct(F.array_compact(F.array(*(F.col(f"x.n{i}") for i in range(1 + slop)))))
+    return rows.select("chunk_id", F.col("x.first").alias("first"), F.explode(after).alias("second")).groupBy("chunk_id", "first", "second").agg(F.count("*").alias("n"))
 
 
-def phrase_match(phrases: DataFrame, pos: DataFrame, slop: int = 0) -> DataFrame:
-    """(phrase_id, chunk_id, n) of two-term phrases (phrase_id, first, second) with the second within 1 + slop after the first.
+def phrase_match(phrases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(phrase_id, chunk_id, n) of two-term phrases (phrase_id, first, second) that chunks have as term_pairs.
 
-    A first term meets the seconds by chunk and phrase, not all positions of a term with all.
+    Phrases meet pairs by both terms at once, so a frequent term alone makes no rows.
     """
-    first = phrases.join(pos, F.col("first") == F.col("term")).select("phrase_id", "chunk_id", F.col("pos").alias("p"))
-    second = phrases.join(pos, F.col("second") == F.col("term")).select("phrase_id", "chunk_id", F.col("pos").alias("q"))
-    steps = first.withColumn("at", F.explode(F.sequence(F.col("p") + 1, F.col("p") + 1 + slop)))
-    return steps.join(second.withColumnRenamed("q", "at"), ["phrase_id", "chunk_id", "at"]).groupBy("phrase_id", "chunk_id").agg(F.countDistinct("p").alias("n"))
+    return phrases.select("phrase_id", "first", "second").join(pairs, ["first", "second"]).groupBy("phrase_id", "chunk_id").agg(F.sum("n").alias("n"))
 
 
 def bigrams(queries: DataFrame, id_col: str, text: str) -> DataFrame:

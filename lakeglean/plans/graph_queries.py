@@ -9,10 +9,12 @@ from .book import Book
 book = Book()
 r6 = lambda c: F.round(c, 6)
 
-TRADE = """WITH RECURSIVE raw AS (SELECT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 40),
+TRADE = """WITH RECURSIVE raw AS (SELECT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 edges AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*)::DOUBLE AS weight FROM raw GROUP BY ALL)
 """
-SMALL = """WITH RECURSIVE edges AS (SELECT least(l_partkey, l_suppkey * 100000) AS src, greatest(l_partkey, l_suppkey * 100000) AS dst, count(*)::DOUBLE AS weight FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.02 GROUP BY ALL)
+SUPPLY = """WITH RECURSIVE edges AS (SELECT -l_suppkey - 1 AS src, l_partkey AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL), e2 AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)
+"""
+ORDERED = """WITH edges AS (SELECT -o_custkey - 1 AS src, o_orderkey AS dst FROM orders), e2 AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)
 """
 
 
@@ -20,7 +22,7 @@ def mentions(t):
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("a"))
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("b"))
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(c, "o_custkey")
-    line = t.lineitem.where("l_quantity > 40").join(s, "l_suppkey").join(o, "l_orderkey")
+    line = t.lineitem.join(s, "l_suppkey").join(o, "l_orderkey")
     return line.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("description"), F.col("l_returnflag").alias("keywords"))
 
 
@@ -28,9 +30,9 @@ def trade(t):
     return G.canonical(mentions(t)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def sparse(t):
-    e = t.lineitem.where("l_quantity = 50 and l_discount < 0.02").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 100000).alias("dst"), F.lit(1.0).alias("weight"))
-    return G.canonical(e).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+def ordered(t):
+    """Customers (below zero) and all their orders."""
+    return t.orders.select((-F.col("o_custkey") - 1).alias("src"), F.col("o_orderkey").alias("dst"), F.lit(1.0).alias("weight"))
 
 
 def supply(t):
@@ -39,13 +41,13 @@ def supply(t):
     return G.canonical(e).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-@book.query(TRADE + "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1")
+@book.query(SUPPLY + "SELECT src AS id, count(*) AS degree FROM e2 GROUP BY 1")
 def graph_degree(t):
-    return G.degrees(trade(t))
+    return G.degrees(supply(t))
 
 
 @book.query("""SELECT least(s_nationkey, c_nationkey) AS src, greatest(s_nationkey, c_nationkey) AS dst, count(*)::DOUBLE AS weight, string_agg(DISTINCT l_linestatus, '<SEP>' ORDER BY l_linestatus) AS description, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS sources
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 40 GROUP BY ALL""")
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
 def graph_merge(t):
     return G.merge_relations(mentions(t)).select("src", "dst", "weight", "description", F.array_join("source_id", ",").alias("sources"))
 
@@ -100,28 +102,28 @@ def graph_rebuild(t):
     return G.rebuild(m, m.where("source = 'en'").select("source").distinct()).select("name", "n")
 
 
-@book.query(TRADE + """, both_ AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst), tot AS (SELECT src, sum(weight) AS t FROM both_ GROUP BY 1),
+@book.query(SUPPLY + """, both_ AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), tot AS (SELECT src, sum(weight) AS t FROM both_ GROUP BY 1),
 sh AS (SELECT b.src, b.dst, weight / t AS share FROM both_ b JOIN tot USING (src)), n AS (SELECT count(*) AS n FROM tot),
 pr AS (SELECT src AS id, 1.0::DOUBLE / n AS p, 0 AS i FROM tot, n UNION ALL SELECT sh.dst, 0.15 / max(n) + 0.85 * sum(p * share), max(i) + 1 FROM pr JOIN sh ON sh.src = pr.id, n WHERE i < 10 GROUP BY sh.dst)
 SELECT id, round(p, 6) AS pagerank FROM pr WHERE i = 10""")
 def pagerank_fixed(t):
-    return G.pagerank(trade(t), rounds=10, tol=0).withColumn("pagerank", r6("pagerank"))
+    return G.pagerank(supply(t), rounds=10, tol=0).withColumn("pagerank", r6("pagerank"))
 
 
-@book.query(SMALL + """, e2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT src AS node, src AS l FROM e2 UNION SELECT e2.dst, r.l FROM r JOIN e2 ON e2.src = r.node)
-SELECT node, min(l) AS component FROM r GROUP BY 1""")
+# labels of 30 rounds: enough where no two nodes are further apart
+@book.query(SUPPLY + """, e3 AS (SELECT src, dst FROM e2 UNION SELECT src, src FROM e2), r AS (SELECT src AS node, min(dst) AS l, 1 AS i FROM e3 GROUP BY 1 UNION ALL SELECT e3.dst, min(r.l), max(r.i) + 1 FROM r JOIN e3 ON e3.src = r.node WHERE r.i < 30 GROUP BY 1)
+SELECT node, l AS component FROM r WHERE i = 30""")
 def connected_components_(t):
-    return connected_components(sparse(t))
+    return connected_components(supply(t))
 
 
 book.queries["connected_components"] = book.queries.pop("connected_components_")
 book.oracles["connected_components"] = book.oracles.pop("connected_components_")
 
 
-@book.query(SMALL + """, e2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT src AS node, src AS l FROM e2 UNION SELECT e2.dst, r.l FROM r JOIN e2 ON e2.src = r.node), c AS (SELECT node, min(l) AS component FROM r GROUP BY 1),
-k AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT node AS id FROM c WHERE component IN (SELECT component FROM k)""")
+@book.query(ORDERED + """, k AS (SELECT src FROM edges GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1) SELECT src AS id FROM k UNION ALL SELECT dst FROM edges WHERE src IN (SELECT src FROM k)""")
 def largest_component(t):
-    return G.largest_component(sparse(t))
+    return G.largest_component(ordered(t))
 
 
 @book.query(TRADE + """, m AS (SELECT a.n_nationkey AS id, min(b.n_nationkey) AS rep FROM nation a JOIN nation b USING (n_regionkey) GROUP BY 1), x AS (SELECT p.rep AS a, q.rep AS b, weight FROM edges JOIN m p ON p.id = src JOIN m q ON q.id = dst WHERE p.rep <> q.rep)
@@ -182,10 +184,10 @@ def community_reports(t):
     return G.parse_reports(t.region.select(F.col("r_regionkey").alias("community"), body.alias("response"))).drop("summary")
 
 
-@book.query(SMALL + """, e2 AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst) SELECT src AS start, src || '>' || dst AS path FROM e2
+@book.query(ORDERED + """SELECT src AS start, src || '>' || dst AS path FROM e2
 UNION ALL SELECT a.src, a.src || '>' || a.dst || '>' || b.dst FROM e2 a JOIN e2 b ON a.dst = b.src WHERE b.dst <> a.src""")
 def nhop_paths(t):
-    return G.nhop_paths(sparse(t)).select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return G.nhop_paths(ordered(t)).select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @book.query("""SELECT lang AS type, string_agg(source, ',' ORDER BY source) AS names FROM (SELECT DISTINCT lang, source FROM documents QUALIFY dense_rank() OVER (PARTITION BY lang ORDER BY source) <= 3) GROUP BY 1""")
@@ -193,13 +195,17 @@ def type_samples(t):
     return G.type_samples(t.documents.select(F.col("lang").alias("type"), F.col("source").alias("name")), 3).select("type", F.array_join("names", ",").alias("names"))
 
 
-@book.query(TRADE + """, top AS (SELECT n_nationkey AS id FROM nation ORDER BY n_nationkey DESC LIMIT 12) SELECT src, dst, weight FROM edges WHERE src <> dst AND src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY weight DESC, src, dst LIMIT 10""")
+@book.query(SUPPLY + """, top AS (SELECT src AS id FROM e2 GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 256) SELECT src, dst, weight FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY weight DESC, src, dst LIMIT 128""")
 def graph_view(t):
-    return G.graph_view(t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("pagerank")), trade(t), 12, 10)[1]
+    """The heaviest edges between the nodes of most neighbours."""
+    e = supply(t)
+    return G.graph_view(G.degrees(e).select("id", F.col("degree").alias("pagerank")), e)[1]
 
 
 KG = TRADE + """, e2 AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst), hits AS (SELECT r_regionkey AS query_id, n_nationkey AS id, 1.0 / (n_nationkey + 2) AS sim FROM region JOIN nation ON n_regionkey = r_regionkey),
-lent AS (SELECT query_id, dst AS id, sum(sim / 2) AS lent FROM hits JOIN e2 ON src = id GROUP BY ALL), b AS (SELECT query_id, id, coalesce(sim, 0) + coalesce(lent, 0) AS s FROM hits FULL JOIN lent USING (query_id, id))
+paths AS (SELECT src AS start, dst AS one, NULL::INTEGER AS two FROM e2 UNION ALL SELECT a.src, a.dst, b.dst FROM e2 a JOIN e2 b ON a.dst = b.src WHERE (least(a.src, a.dst), greatest(a.src, a.dst)) <> (least(b.src, b.dst), greatest(b.src, b.dst))),
+hops AS (SELECT start, one AS node, 2 AS d FROM paths UNION ALL SELECT start, two, 3 FROM paths WHERE two IS NOT NULL),
+lent AS (SELECT query_id, node AS id, sum(sim / d) AS lent FROM hits JOIN hops ON start = id GROUP BY ALL), b AS (SELECT query_id, id, coalesce(sim, 0) + coalesce(lent, 0) AS s FROM hits FULL JOIN lent USING (query_id, id))
 SELECT query_id, id, round(s * (CASE WHEN n_regionkey = query_id THEN 2 ELSE 1 END) * (n_nationkey + 1), 6) AS score FROM b JOIN nation ON n_nationkey = id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s * (CASE WHEN n_regionkey = query_id THEN 2 ELSE 1 END) * (n_nationkey + 1), 9) DESC, id) <= 6"""
 
 
@@ -208,18 +214,19 @@ def kg_search(t):
     hits = t.nation.select(F.col("n_regionkey").alias("query_id"), F.col("n_nationkey").alias("id"), (1.0 / (F.col("n_nationkey") + 2)).alias("sim"))
     nodes = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("type"), (F.col("n_nationkey") + 1).alias("pagerank"))
     types = t.region.select(F.col("r_regionkey").alias("query_id"), F.col("r_regionkey").alias("type"))
-    return G.kg_search(hits, nodes, G.nhop_paths(trade(t), 1), types).withColumn("score", r6("score"))
+    return G.kg_search(hits, nodes, G.nhop_paths(trade(t), 2), types).withColumn("score", r6("score"))
 
 
-@book.query("""SELECT r_regionkey AS query_id, lang AS community FROM region, (SELECT lang, count(*) AS w FROM documents WHERE source = 'src1' GROUP BY 1) QUALIFY row_number() OVER (PARTITION BY r_regionkey ORDER BY w DESC, lang) = 1""")
+@book.query("""SELECT source AS query_id, lang AS community FROM (SELECT source, lang, count(*) AS w FROM documents GROUP BY ALL) WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, lang) = 1""")
 def community_search(t):
-    w = t.documents.where("source = 'src1'").groupBy(F.col("lang").alias("community")).agg(F.count("*").alias("weight")).withColumn("id", F.lit("src1"))
-    return G.community_search(t.region.select(F.col("r_regionkey").alias("query_id"), F.lit("src1").alias("id")), w)
+    """Languages as communities of sources, each source asked for."""
+    w = t.documents.groupBy(F.col("source").alias("id"), F.col("lang").alias("community")).agg(F.count("*").alias("weight"))
+    return G.community_search(t.documents.select(F.col("source").alias("query_id"), F.col("source").alias("id")).distinct(), w)
 
 
 @book.query()
 def node_embeddings(t):
-    return G.node_embeddings(supply(t), 8, walks=4, length=12)
+    return G.node_embeddings(supply(t))
 
 
 @book.query("""SELECT n_name AS key, r_name AS parent, 1 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, 0 FROM region""")

@@ -197,10 +197,10 @@ def stream_ingest(t):
     return J.latest(t.spark, f"{folder}/t").select("doc_id", "id", "n")
 
 
-@book.query("""SELECT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst, count(*)::DOUBLE AS weight FROM lineitem WHERE l_quantity = 50 GROUP BY ALL""")
+@book.query("""SELECT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL""")
 def stream_graph(t):
     folder = scratch(t)
-    e = stream(t, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit(1.0).alias("weight"), F.col("l_orderkey").alias("source"))
+    e = stream(t, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit(1.0).alias("weight"), F.col("l_orderkey").alias("source"))
     J.graph_stream(e, f"{folder}/t", f"{folder}/c").awaitTermination()
     return J.latest(t.spark, f"{folder}/t").select("src", "dst", "weight")
 

@@ -54,11 +54,15 @@ def boost_static(scored: DataFrame, chunks: DataFrame, column: str, scale: float
     return scored.join(chunks.select("chunk_id", F.col(column).alias("_b")), "chunk_id", "left").withColumn("score", F.col("score") + F.coalesce("_b", F.lit(0)) / scale).drop("_b")
 
 
-def rank_feature(query_tags: DataFrame, chunk_tags: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, fea): ten times the cosine of tag weights (id, tag, w), where they share a tag."""
+def rank_feature(query_tags: DataFrame, chunk_tags: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, fea): ten times the cosine of tag weights (id, tag, w) of candidates (query_id, chunk_id) that share a tag.
+
+    Only candidates are looked at: a tag that all chunks have makes no pairs of its own.
+    """
     qn = query_tags.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     cn = chunk_tags.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
-    dot = query_tags.withColumnRenamed("w", "qw").join(chunk_tags, "tag").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    asked = candidates.select("query_id", "chunk_id").distinct().join(query_tags.withColumnRenamed("w", "qw"), "query_id")
+    dot = asked.join(chunk_tags, ["chunk_id", "tag"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     return dot.join(qn, "query_id").join(cn, "chunk_id").select("query_id", "chunk_id", (10 * F.col("dot") / (F.col("qn") * F.col("cn"))).alias("fea"))
 
 
@@ -106,9 +110,9 @@ def with_fallback(queries: DataFrame, first: DataFrame, relaxed: DataFrame) -> D
 
 
 def toc_boost(hits: DataFrame, toc: DataFrame, top: int) -> DataFrame:
-    """Hits (query_id, chunk_id, doc_id, score) with the scores of the table of contents (query_id, doc_id, chunk_id, toc) of each query's best document added."""
+    """Hits (query_id, chunk_id, doc_id, score) with the scores of the table of contents (doc_id, chunk_id, toc; query_id too where they differ by query) of each query's best document added."""
     best = top_k(hits.groupBy("query_id", "doc_id").agg(F.sum("score").alias("total")), "query_id", F.round("total", 9), 1, "doc_id").select("query_id", "doc_id")
-    extra = toc.join(best, ["query_id", "doc_id"]).groupBy("query_id", "doc_id", "chunk_id").agg(F.avg("toc").alias("toc"))
+    extra = toc.join(best, [c for c in ("query_id", "doc_id") if c in toc.columns]).groupBy("query_id", "doc_id", "chunk_id").agg(F.avg("toc").alias("toc"))
     both = hits.join(extra, ["query_id", "doc_id", "chunk_id"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce("toc", F.lit(0.0))).drop("toc")
     return top_k(both, "query_id", F.round("score", 9), top, "chunk_id")
 

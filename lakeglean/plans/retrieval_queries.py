@@ -80,21 +80,22 @@ def min_should_match(t):
 
 
 POS = f"""WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents), pos AS (SELECT doc_id AS chunk_id, i, w[i] AS term FROM d, unnest(range(1, len(w) + 1)) t(i)),
-b AS (SELECT item_id, {TOK.format("text")} AS w FROM benchmark), ph AS (SELECT item_id * 1000 + i - 1 AS phrase_id, w[i] AS f, w[i + 1] AS s FROM b, unnest(range(1, least(len(w), 6))) t(i))
-SELECT phrase_id, a.chunk_id, count(DISTINCT a.i) AS n FROM ph JOIN pos a ON a.term = f JOIN pos z ON z.chunk_id = a.chunk_id AND z.term = s AND z.i - a.i BETWEEN 1 AND {{reach}} GROUP BY ALL"""
+b AS (SELECT item_id, {TOK.format("text")} AS w FROM benchmark), ph AS (SELECT item_id || ':' || (i - 1) AS phrase_id, w[i] AS f, w[i + 1] AS s FROM b, unnest(range(1, len(w))) t(i)),
+pp AS (SELECT DISTINCT a.chunk_id, a.i, a.term AS f, z.term AS s FROM pos a JOIN pos z ON z.chunk_id = a.chunk_id AND z.i IN ({{reach}}) WHERE (a.term, z.term) IN (SELECT (f, s) FROM ph))
+SELECT phrase_id, chunk_id, count(*) AS n FROM ph JOIN pp USING (f, s) GROUP BY ALL"""
 
 
 def phrases(t, slop):
-    pairs = P.bigrams(t.benchmark, "item_id", "text").where("i < 5").select((F.col("query_id") * 1000 + F.col("i")).alias("phrase_id"), "first", "second")
-    return P.phrase_match(pairs, P.positions(t.documents, "doc_id", "text"), slop)
+    pairs = P.bigrams(t.benchmark, "item_id", "text").select(F.concat_ws(":", "query_id", "i").alias("phrase_id"), "first", "second")
+    return P.phrase_match(pairs, P.term_pairs(t.documents, "doc_id", "text", slop))
 
 
-@book.query(POS.format(reach=1))
+@book.query(POS.format(reach="a.i + 1"))
 def phrase_match(t):
     return phrases(t, 0)
 
 
-@book.query(POS.format(reach=3))
+@book.query(POS.format(reach="a.i + 1, a.i + 2, a.i + 3"))
 def proximity_match(t):
     return phrases(t, 2)
 
@@ -156,11 +157,11 @@ def knn_lsh(t):
 
 def text_of_vectors(t):
     """Text hits whose chunks and queries have vectors: documents and items of like ids."""
-    q = P.query_terms(t.documents.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), most=20)
+    q = P.query_terms(t.documents.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
     return P.match(q, posts(t)).join(t.embeddings.select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi").join(t.embeddings.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
 
 
-HYB = BASE + f""", dq AS (SELECT DISTINCT doc_id AS query_id, unnest({TOK.format("text")}[1:20]) AS term FROM documents WHERE doc_id % 20 = 0),
+HYB = BASE + f""", dq AS (SELECT DISTINCT doc_id AS query_id, unnest({TOK.format("text")}[1:256]) AS term FROM documents WHERE doc_id % 20 = 0),
 tx AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS ts FROM dq JOIN p USING (term) JOIN df USING (term), st WHERE chunk_id IN (SELECT vec_id FROM v) AND query_id IN (SELECT vec_id FROM v) GROUP BY ALL),
 top AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) <= 64)
 """
@@ -255,12 +256,13 @@ def tag_queries(t):
     return R.tag_targets(hit, tags(t), R.tag_prior(tags(t)), smooth=10, floor=1)
 
 
-@book.query(BASE + TAGS + """, ct AS (SELECT chunk_id, tag, 1.0 AS w FROM tags), qt AS (SELECT chunk_id AS query_id, tag, CASE WHEN tag LIKE 'q%' THEN 2.0 ELSE 1.0 END AS w FROM tags WHERE chunk_id % 20 = 0),
-f AS (SELECT query_id, chunk_id, 10 * sum(qt.w * ct.w) / (sqrt(6.0) * sqrt(3.0)) AS fea FROM qt JOIN ct USING (tag) GROUP BY ALL) SELECT query_id, round(sum(fea), 4) AS total, count(*) AS n FROM f GROUP BY 1""")
+@book.query(HYB + TAGS + """, ct AS (SELECT chunk_id, tag, 1.0 AS w FROM tags), qt AS (SELECT chunk_id AS query_id, tag, CASE WHEN tag LIKE 'q%' THEN 2.0 ELSE 1.0 END AS w FROM tags WHERE chunk_id % 20 = 0),
+f AS (SELECT query_id, chunk_id, 10 * sum(qt.w * ct.w) / (sqrt(6.0) * sqrt(3.0)) AS fea FROM top JOIN qt USING (query_id) JOIN ct USING (chunk_id, tag) GROUP BY ALL) SELECT query_id, round(sum(fea), 4) AS total, count(*) AS n FROM f GROUP BY 1""")
 def tag_rank_feature(t):
     ct = tags(t).withColumn("w", F.lit(1.0))
     qt = ct.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "tag", F.when(F.col("tag").startswith("q"), 2.0).otherwise(1.0).alias("w"))
-    return R.rank_feature(qt, ct).groupBy("query_id").agg(F.round(F.sum("fea"), 4).alias("total"), F.count("*").alias("n"))
+    q, v = vectors(t)
+    return R.rank_feature(qt, ct, V.knn(q, v, 64)).groupBy("query_id").agg(F.round(F.sum("fea"), 4).alias("total"), F.count("*").alias("n"))
 
 
 @book.query(HYB + """, h AS (SELECT query_id, chunk_id, label AS doc_id, sim AS score FROM top JOIN embeddings ON vec_id = chunk_id), best AS (SELECT query_id, doc_id FROM h GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 9) DESC, doc_id) = 1),
@@ -270,8 +272,8 @@ def toc_boost(t):
     q, v = vectors(t)
     labels = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"))
     hits = V.knn(q, v, 64).withColumnRenamed("sim", "score").join(labels, "chunk_id")
-    toc = q.select("query_id").join(F.broadcast(labels.where("chunk_id % 3 = 0").groupBy("doc_id").agg(F.collect_list("chunk_id").alias("ids")))).select("query_id", "doc_id", F.explode("ids").alias("chunk_id"))
-    return R.toc_boost(hits, toc.withColumn("toc", (F.col("chunk_id") % 5) / 5), 8).select("query_id", "chunk_id", r6("score").alias("score"))
+    toc = labels.where("chunk_id % 3 = 0").withColumn("toc", (F.col("chunk_id") % 5) / 5)
+    return R.toc_boost(hits, toc, 8).select("query_id", "chunk_id", r6("score").alias("score"))
 
 
 @book.query()
@@ -286,12 +288,12 @@ def citation_attribution(t):
 
 
 @book.query(BASE + """, h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(presence, 6) DESC, chunk_id) AS rank FROM m QUALIFY rank <= 5),
-u AS (SELECT h.*, lang, left(text, 80) AS body, sum(length(left(text, 80))) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM h JOIN documents ON doc_id = chunk_id)
-SELECT query_id, string_agg('ID: ' || chunk_id || E'\nTitle: ' || lang || E'\nContent: ' || body, E'\n\n' ORDER BY rank) AS context FROM u WHERE used <= 250 GROUP BY 1""")
+u AS (SELECT h.*, lang, text AS body, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM h JOIN documents ON doc_id = chunk_id)
+SELECT query_id, string_agg('ID: ' || chunk_id || E'\nTitle: ' || lang || E'\nContent: ' || body, E'\n\n' ORDER BY rank) AS context FROM u WHERE used <= 8000 GROUP BY 1""")
 def assemble_context(t):
     top = C.top_k(P.match(terms(t), posts(t)), "query_id", r6("score"), 5, "chunk_id")
-    d = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("title"), F.substring("text", 1, 80).alias("text"))
-    return R.assemble_context(top.join(d, "chunk_id").withColumn("tokens", F.length("text")), 250)
+    d = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("title"), "text")
+    return R.assemble_context(top.join(d, "chunk_id").withColumn("tokens", F.length("text")), 8000)
 
 
 QRELS = """, run AS (SELECT query_id, chunk_id, presence AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(presence, 6) DESC, chunk_id) AS rank FROM m QUALIFY rank <= 30),
