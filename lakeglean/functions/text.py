@@ -267,3 +267,35 @@ def unpack_positions(c: Column, width: int = 5) -> Column:
 def not_title(c: Column) -> Column:
     """Over 12 words, or 32 characters without a space, or sentence marks within."""
     return (F.size(F.split(c, " ")) > 12) | (~c.contains(" ") & (F.length(c) >= 32)) | c.rlike("[,;，。；！!]")
+
+
+def distinct_keep(c: Column) -> Column:
+    """Each element once, at its first place."""
+    return F.array_distinct(c)
+
+
+#: The beginnings of headings in five grammars, by level, and of lines that only look like headings.
+GRAMMARS = (
+    ("第[零一二三四五六七八九十百0-9]+(分?编|部分)", "第[零一二三四五六七八九十百0-9]+章", "第[零一二三四五六七八九十百0-9]+节", "第[零一二三四五六七八九十百0-9]+条", r"[\(（][零一二三四五六七八九十百]+[\)）]"),
+    ("第[0-9]+章", "第[0-9]+节", r"[0-9]{0,2}[\. 、]", r"[0-9]{0,2}\.[0-9]{0,2}[^a-zA-Z/%~-]", r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}", r"[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}"),
+    ("第[零一二三四五六七八九十百0-9]+章", "第[零一二三四五六七八九十百0-9]+节", "[零一二三四五六七八九十百]+[ 、]", r"[\(（][零一二三四五六七八九十百]+[\)）]", r"[\(（][0-9]{0,2}[\)）]"),
+    ("PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)", "Chapter (I+V?|VI*|XI|IX|X)", "Section [0-9]+", "Article [0-9]+"),
+    ("#[^#]", "##[^#]", "###", "####", "#####", "######"),
+)
+NOT_HEADING = r"0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,}"
+
+
+def begins(c: Column, patterns) -> Column:
+    return c.rlike("^(?:" + "|".join(patterns) + ")")
+
+
+def heading_grammar(lines: Column) -> Column:
+    """Which of GRAMMARS has the most headings among the lines (array<string>), the first of equals; -1 for none."""
+    own = F.transform(lines, lambda x: F.regexp_replace(x, "^[\\s\u3000]+", ""))
+    count = lambda g: F.size(F.filter(own, lambda x: begins(x, g) & ~begins(x, [NOT_HEADING])))
+    hits = [count(g) for g in GRAMMARS]
+    most = F.greatest(*hits)
+    out = F.lit(-1)
+    for i, h in reversed(list(enumerate(hits))):
+        out = F.when((h > 0) & (h == most), i).otherwise(out)
+    return F.when(lines.isNotNull(), out).otherwise(-1)

@@ -179,3 +179,61 @@ def rows_to_text(columns: list[str]) -> Column:
 def order_by_array_mean(df: DataFrame, arr: str, *ties: str) -> DataFrame:
     mean = F.aggregate(arr, F.lit(0.0), lambda s, x: s + x) / F.size(arr)
     return df.orderBy(mean, *ties)
+
+
+def get_row(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of an id; none if there is none."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def project(df: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """The key and those of the fields that the table has, each once, in the order asked for."""
+    return df.select(*dict.fromkeys([key, *(f for f in fields if f in df.columns)]))
+
+
+def row_dicts(df: DataFrame, key: str = "id") -> DataFrame:
+    """(key, row): each row as a JSON object without its null fields."""
+    return df.select(key, F.to_json(F.struct(*df.columns)).alias("row"))
+
+
+def delete_counted(df: DataFrame, where: Column):
+    """(rows that stay, Observation whose get["deleted"] is the number of those gone, once the rows have been read)."""
+    from pyspark.sql import Observation
+
+    seen, gone = Observation(), F.coalesce(where, F.lit(False))
+    return df.observe(seen, F.count_if(gone).alias("deleted")).where(~gone), seen
+
+
+def remove_tags(df: DataFrame, col: str, tags: list[str]) -> DataFrame:
+    """Without these tags; other rows and null lists as they were."""
+    return df.withColumn(col, F.filter(col, lambda x: ~F.coalesce(x.isin(tags), F.lit(False))))
+
+
+def rename_tag(df: DataFrame, col: str, old: str, new: str) -> DataFrame:
+    """Where a list has the old tag, all of it goes and the new one is put last."""
+    return update_where(df, F.array_contains(col, old), remove={col: old.strip()}, add={col: new})
+
+
+def chunk_list(chunks: DataFrame, order: list, offset: int = 0, n: int = 128, key: str = "doc_id") -> DataFrame:
+    """A page of each document's chunks in reading order: those at offset to offset + n, with their `place` from zero."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return chunks.withColumn("place", place).where((F.col("place") >= offset) & (F.col("place") < offset + n))
+
+
+def list_chunks(chunks: DataFrame, where: Column, order: list, number: int = 1, size: int = 1024) -> DataFrame:
+    """A search without a question: a page of the rows that pass, in a total order."""
+    return page(chunks.where(F.coalesce(where, F.lit(False))), order, number, size)
+
+
+#: Names of a cited chunk's fields, and the columns that may hold them, the first that is not null.
+CITED = {
+    "id": ("chunk_id", "id"), "content": ("content", "content_with_weight"), "document_id": ("doc_id", "document_id"), "document_name": ("docnm_kwd", "document_name"),
+    "dataset_id": ("kb_id", "dataset_id"), "image_id": ("image_id", "img_id"), "positions": ("positions", "position_int"), "url": ("url",), "similarity": ("similarity",),
+    "vector_similarity": ("vector_similarity",), "term_similarity": ("term_similarity",), "doc_type": ("doc_type_kwd",),
+}
+
+
+def format_hits(df: DataFrame) -> DataFrame:
+    """Hits under the names of citations; a field that no column holds is null."""
+    held = {name: [F.col(c) for c in columns if c in df.columns] for name, columns in CITED.items()}
+    return df.select(*((F.coalesce(*c) if c else F.lit(None).cast("string")).alias(name) for name, c in held.items()))

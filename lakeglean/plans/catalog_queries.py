@@ -302,3 +302,43 @@ def history_fit(t):
     s = n.groupBy("conv_id").agg(F.sum("n").alias("total"), F.max("turn").alias("last"), F.min("turn").alias("first"))
     kept = n.join(s, "conv_id").where("total <= 2000 or turn = last or (turn = first and role = 'system')")
     return kept.select("conv_id", "turn", F.when(F.col("total") <= 2000, F.col("text")).otherwise(F.substring("text", 1, 1000)).alias("kept"))
+
+
+@book.query("""SELECT doc_id AS id, text, lang FROM documents WHERE doc_id = 7""")
+def get_row(t):
+    return C.project(C.get_row(t.documents.withColumnRenamed("doc_id", "id"), "id", 7), ["text", "lang", "gone"])
+
+
+@book.query("""SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem QUALIFY place >= 128 AND place < 256""")
+def chunk_list(t):
+    """The second page of each supplier's lines by date."""
+    return C.chunk_list(t.lineitem, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"], 128, 128, "l_suppkey").select("l_suppkey", "l_orderkey", "l_linenumber", "place")
+
+
+@book.query("""SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20""")
+def list_chunks(t):
+    return C.list_chunks(t.documents, F.col("lang") == "en", [F.col("n_chars").desc(), "doc_id"], 2, 20).select("doc_id", "lang", "n_chars")
+
+
+TAGGED = """WITH l AS (SELECT doc_id, ['q' || quality, 't' || toxic, 'q1'] AS tags FROM labels)
+"""
+
+
+def tagged(t):
+    return t.labels.select("doc_id", F.array(F.concat(F.lit("q"), "quality"), F.concat(F.lit("t"), "toxic"), F.lit("q1")).alias("tags"))
+
+
+@book.query(TAGGED + """SELECT doc_id, array_to_string(CASE WHEN list_contains(tags, 't1') THEN list_append(list_filter(tags, lambda x: x <> 't1'), 'harm') ELSE tags END, ',') AS tags FROM l""")
+def rename_tag(t):
+    return C.rename_tag(tagged(t), "tags", "t1", "harm").withColumn("tags", F.array_join("tags", ","))
+
+
+@book.query(TAGGED + """SELECT doc_id, array_to_string(list_filter(tags, lambda x: x NOT IN ('q1', 't0')), ',') AS tags FROM l""")
+def remove_tags(t):
+    return C.remove_tags(tagged(t), "tags", ["q1", "t0"]).withColumn("tags", F.array_join("tags", ","))
+
+
+@book.query("""SELECT doc_id AS id, text AS content, source AS document_name, coalesce(lang, source) AS dataset_id, NULL::VARCHAR AS url FROM documents""")
+def format_hits(t):
+    d = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content_with_weight"), F.col("source").alias("docnm_kwd"), F.col("lang").alias("kb_id"), F.col("source").alias("dataset_id"))
+    return C.format_hits(d).select("id", "content", "document_name", "dataset_id", "url")

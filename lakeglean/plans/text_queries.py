@@ -120,3 +120,21 @@ def clean_html_text(t):
 @book.query("""SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'system' WHEN bool_or(role = 'assistant') THEN 'assistant' ELSE 'user' END AS top FROM conversations GROUP BY conv_id""")
 def top_role(t):
     return t.conversations.groupBy("conv_id").agg(T.max_category(F.collect_set("role"), ["user", "assistant", "system"]).alias("top"))
+
+
+@book.query("""SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: lpad(list_position(w, x)::VARCHAR, 9, '0') || x)), lambda y: y[10:]), ' ') AS words FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)""")
+def distinct_words(t):
+    return t.benchmark.select("item_id", F.array_join(T.distinct_keep(F.split("text", " ")), " ").alias("words"))
+
+
+def _begins(patterns):
+    return "regexp_matches(s, '^(?:" + "|".join(patterns) + ")')"
+
+
+GRAMMAR_HITS = ", ".join(f"len(list_filter(ls, lambda s: {_begins(g)} AND NOT {_begins([T.NOT_HEADING])})) AS h{i}" for i, g in enumerate(T.GRAMMARS))
+
+
+@book.query(f"""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\\s\u3000]+', '')) AS ls FROM documents), h AS (SELECT doc_id, greatest({", ".join(f"h{i}" for i in range(5))}) AS m, * EXCLUDE doc_id FROM (SELECT doc_id, {GRAMMAR_HITS} FROM d))
+SELECT doc_id, CASE WHEN coalesce(m, 0) = 0 THEN -1 WHEN h0 = m THEN 0 WHEN h1 = m THEN 1 WHEN h2 = m THEN 2 WHEN h3 = m THEN 3 ELSE 4 END AS grammar FROM h""")
+def heading_grammar(t):
+    return t.documents.select("doc_id", T.heading_grammar(F.split("text", "\n")).alias("grammar"))

@@ -177,3 +177,52 @@ def test_summary_tree_has_every_text(spark, monkeypatch):
         sizes[x.cluster] = sizes.get(x.cluster, 0) + 1
     assert len(few) == 200 and max(sizes.values()) <= 30
     assert M.gmm_clusters.__defaults__[0] == 64
+
+
+def test_lsh_recall(spark, sf):
+    from lakeglean.operators import vectors as V
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id as chunk_id", "embedding as vector")
+    q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    pairs = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
+    exact, near = pairs(V.knn(q, v, 10)), pairs(V.knn_lsh(q, v, 10))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_phrases_against_brute_force(spark):
+    from lakeglean.operators import postings as P
+
+    texts = {1: "a b a b b c", 2: "b a", 3: "", 4: None, 5: "a x b b"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    asked = [("p", "a", "b"), ("q", "b", "b"), ("r", "c", "a")]
+    for slop in (0, 2):
+        want = set()
+        for i, text in texts.items():
+            w = (text or "").split()
+            for name, x, y in asked:
+                n = sum(w[p] == x and y in w[p + 1 : p + 2 + slop] for p in range(len(w)))
+                want |= {(name, i, n)} if n else set()
+        got = P.phrase_match(spark.createDataFrame(asked, "phrase_id string, first string, second string"), P.term_pairs(docs, "id", "text", slop))
+        assert {tuple(r) for r in got.select("phrase_id", "chunk_id", "n").collect()} == want
+
+
+def test_store_verbs(spark):
+    from lakeglean.operators import catalog as C
+
+    df = spark.createDataFrame([(1, ["a", "b", "a"], None), (2, None, "x"), (3, ["c"], "y")], "id long, tags array<string>, z string")
+    by = lambda d: {r.id: r.tags for r in d.collect()}
+    assert by(C.rename_tag(df, "tags", "a", "n")) == {1: ["b", "n"], 2: None, 3: ["c"]}
+    assert by(C.remove_tags(df, "tags", ["a", "c"])) == {1: ["b"], 2: None, 3: []}
+    assert C.project(df, ["z", "id", "none"]).columns == ["id", "z"]
+    assert [r.row for r in C.row_dicts(df.drop("tags")).orderBy("id").collect()] == ['{"id":1}', '{"id":2,"z":"x"}', '{"id":3,"z":"y"}']
+    assert C.get_row(df, "id", 9).count() == 0
+    kept, seen = C.delete_counted(df, F.col("z") == "x")
+    assert {r.id for r in kept.collect()} == {1, 3} and seen.get["deleted"] == 1
+
+
+def test_heading_grammar(spark):
+    from lakeglean.functions import text as T
+
+    rows = [(0, "第一章 x\n第二条 y\n# z"), (1, "1. a\n2. b\n3 4"), (3, "PART ONE\nSection 2\n0 x"), (4, "  # a\n## b"), (-1, "plain"), (-1, None), (-1, "")]
+    df = spark.createDataFrame(rows, "want int, text string")
+    assert all(r.want == r.got for r in df.select("want", T.heading_grammar(F.split("text", "\n")).alias("got")).collect())
