@@ -85,10 +85,10 @@ def graph_union(t):
     return G.union_edges(e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("b").alias("source"))).select("src", "dst", "weight")
 
 
-@book.query("""SELECT n_nationkey AS id, CASE WHEN n_regionkey = 0 THEN 'added' ELSE 'kept' END AS change FROM nation""")
+@book.query("""SELECT c_custkey AS id, CASE WHEN c_nationkey = 0 THEN 'added' ELSE 'kept' END AS change FROM customer""")
 def graph_changes(t):
-    n = t.nation.select(F.col("n_nationkey").alias("id"), "n_regionkey")
-    return G.changes(n.where("n_regionkey > 0"), n)
+    n = t.customer.select(F.col("c_custkey").alias("id"), "c_nationkey")
+    return G.changes(n.where("c_nationkey > 0"), n)
 
 
 @book.query("""SELECT DISTINCT lang AS source, source AS id FROM documents""")
@@ -159,10 +159,10 @@ def communities(t):
     return G.communities(supply(t))
 
 
-@book.query("""WITH w AS (SELECT n_regionkey AS community, count(*) AS n, sum(n_nationkey) AS w FROM nation GROUP BY 1) SELECT 0 AS level, community, n, round(w / max(w) OVER (), 6) AS weight FROM w""")
+@book.query("""WITH w AS (SELECT c_nationkey AS community, count(*) AS n, sum(c_custkey) AS w FROM customer GROUP BY 1) SELECT 0 AS level, community, n, round(w / max(w) OVER (), 6) AS weight FROM w""")
 def community_weight(t):
-    m = t.nation.select(F.lit(0).alias("level"), F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("community"))
-    return G.community_weights(m, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("rank"))).withColumn("weight", r6("weight"))
+    m = t.customer.select(F.lit(0).alias("level"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    return G.community_weights(m, t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("rank"))).withColumn("weight", r6("weight"))
 
 
 @book.query(TRADE + """, i AS (SELECT a.n_regionkey AS community, src, dst, weight FROM edges JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey = b.n_regionkey)
@@ -178,10 +178,11 @@ def community_inputs(t):
     return G.community_inputs(m, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("description")), trade(t)).select("community", "entities")
 
 
-@book.query("""SELECT r_regionkey AS community, r_name AS title, r_regionkey::DOUBLE AS rating, 'a' || chr(10) || 'b' AS evidences FROM region WHERE r_regionkey > 0""")
+@book.query("""SELECT c_custkey AS community, c_name AS title, c_nationkey::DOUBLE AS rating, 'a' || chr(10) || 'b' AS evidences FROM customer WHERE c_nationkey > 0""")
 def community_reports(t):
-    body = F.when(F.col("r_regionkey") > 0, F.to_json(F.struct(F.col("r_name").alias("title"), F.lit("s").alias("summary"), F.col("r_regionkey").cast("double").alias("rating"), F.array(F.struct(F.lit("a").alias("summary"), F.lit("b").alias("explanation"))).alias("findings")))).otherwise('{"title": "x"}')
-    return G.parse_reports(t.region.select(F.col("r_regionkey").alias("community"), body.alias("response"))).drop("summary")
+    whole = F.struct(F.col("c_name").alias("title"), F.lit("s").alias("summary"), F.col("c_nationkey").cast("double").alias("rating"), F.array(F.struct(F.lit("a").alias("summary"), F.lit("b").alias("explanation"))).alias("findings"))
+    body = F.when(F.col("c_nationkey") > 0, F.to_json(whole)).otherwise('{"title": "x"}')
+    return G.parse_reports(t.customer.select(F.col("c_custkey").alias("community"), body.alias("response"))).drop("summary")
 
 
 @book.query(ORDERED + """SELECT src AS start, src || '>' || dst AS path FROM e2
@@ -229,7 +230,9 @@ def node_embeddings(t):
     return G.node_embeddings(supply(t))
 
 
-@book.query("""SELECT n_name AS key, r_name AS parent, 1 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, 0 FROM region""")
+@book.query("""WITH x AS (SELECT r_name, n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT c_name AS key, n_name AS parent, 2 AS depth FROM x UNION ALL SELECT DISTINCT n_name, r_name, 1 FROM x UNION ALL SELECT DISTINCT r_name, NULL, 0 FROM x""")
 def merge_outlines(t):
-    p = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("seq"), F.array("r_name", "n_name").alias("path"))
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    p = t.customer.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("seq"), F.array("r_name", "n_name", "c_name").alias("path"))
     return G.merge_outlines(p)
