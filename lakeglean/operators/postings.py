@@ -44,8 +44,10 @@ def bm25_score(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) ->
 
 def match(terms: DataFrame, postings: DataFrame, how: str = "presence", boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, chunk_id, field, hits, score) of queries (query_id, term) against postings, each field by its boost."""
-    df, totals = statistics(postings)
-    joined = terms.join(postings, "term").join(df, ["field", "term"]).join(F.broadcast(totals), "field")  # a row for each field
+    _, totals = statistics(postings)
+    own = postings.join(terms.select("term").distinct(), "term", "left_semi")  # only what is asked for is counted and shuffled
+    df, _ = statistics(own)
+    joined = terms.join(own, "term").join(df, ["field", "term"]).join(F.broadcast(totals), "field")  # a row for each field
     score = presence_score(F.col("df"), F.col("n")) if how == "presence" else bm25_score(*map(F.col, ("tf", "dl", "df", "n", "avgdl")))
     if boosts:
         names = F.create_map(*(x for f, b in boosts.items() for x in (F.lit(f), F.lit(float(b)))))
@@ -102,10 +104,17 @@ def term_weights(terms: DataFrame, freq: DataFrame) -> DataFrame:
     return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy("query_id"))).drop("raw")
 
 
-def token_similarity(weights: DataFrame, presence: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, tksim): the share of the query's weight that the chunk's terms (term, chunk_id) have."""
+def token_similarity(weights: DataFrame, presence: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, tksim): the share of the query's weight that the chunk's terms (term, chunk_id) have.
+
+    With candidates (query_id, chunk_id) only those are looked at, so that frequent terms make no rows for other chunks.
+    """
     total = weights.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    hit = weights.join(presence, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("hit"))
+    if candidates is None:
+        met = weights.join(presence, "term")
+    else:
+        met = candidates.select("query_id", "chunk_id").join(weights, "query_id").join(presence, ["term", "chunk_id"])
+    hit = met.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("hit"))
     return hit.join(total, "query_id").select("query_id", "chunk_id", ((F.col("hit") + 1e-9) / (F.col("total") + 1e-9)).alias("tksim"))
 
 

@@ -99,7 +99,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, cfg: Config | None = None, f
     first = top_k(fuse(text, sim, cfg.vector_weight), "query_id", F.round("score", 9), cfg.window * cfg.page, "chunk_id")
     df, _ = P.statistics(posts)
     freq = posts.groupBy("term").agg(F.sum("tf").alias("freq")).join(df.groupBy("term").agg(F.max("df").alias("df")), "term")
-    tk = P.token_similarity(P.term_weights(terms, freq), posts.select("term", "chunk_id").distinct())
+    tk = P.token_similarity(P.term_weights(terms, freq), posts.select("term", "chunk_id").distinct(), first)
     return paged(rerank(first, tk, sim, None), cfg).select("query_id", "rank", "chunk_id", "score", "tksim", "vsim")
 
 
