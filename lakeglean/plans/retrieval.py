@@ -12,6 +12,7 @@ from ..functions.text import cosine, norm, strip_question_words, tokens
 from ..operators import postings as P
 from ..operators import vectors as V
 from ..operators.catalog import rank_within, top_k
+from ..operators.components import cut
 
 
 @dataclass
@@ -96,7 +97,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, cfg: Config | None = None, f
     text = P.min_should_match(P.combine_fields(P.match(terms, posts, "presence", cfg.boosts)), terms, cfg.min_share)
     text = top_k(text, "query_id", F.round("score", 9), cfg.text_candidates, "chunk_id")
     sim = V.knn(queries, chunks, cfg.vector_candidates, cfg.min_sim)
-    first = top_k(fuse(text, sim, cfg.vector_weight), "query_id", F.round("score", 9), cfg.window * cfg.page, "chunk_id")
+    first = cut(top_k(fuse(text, sim, cfg.vector_weight), "query_id", F.round("score", 9), cfg.window * cfg.page, "chunk_id"))  # read twice below
     df, _ = P.statistics(posts)
     freq = posts.groupBy("term").agg(F.sum("tf").alias("freq")).join(df.groupBy("term").agg(F.max("df").alias("df")), "term")
     tk = P.token_similarity(P.term_weights(terms, freq), posts.select("term", "chunk_id").distinct(), first)
