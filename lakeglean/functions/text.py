@@ -41,26 +41,41 @@ def escape_query(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r'([:{}/\[\]\-*"()|+~^])', r"\\$1"))
 
 
-WORD_BREAK = "[^a-z0-9à-öø-ÿ]+"
+WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 
 
-def tokens(c: Column) -> Column:
-    """Lower-cased half-width words of ASCII letters, digits and Latin-1 letters, in order; no stemming."""
+def _words(c: Column) -> Column:
     return F.filter(F.split(F.lower(to_half_width(F.coalesce(c, F.lit("")))), WORD_BREAK), lambda x: x != "")
 
 
+def tokens(c: Column) -> Column:
+    """Lower-cased half-width words of letters, marks and digits of any script, in order; no stemming.
+
+    A run of a script without blanks (Chinese, Japanese) is its overlapping pairs of characters; a single one is itself.
+    """
+    apart = F.regexp_replace(c, f"([{UNSPACED}]+)", " $1 ")
+    pairs = F.regexp_replace(apart, f"(?<=[{UNSPACED}])[{UNSPACED}](?![{UNSPACED}])|([{UNSPACED}])(?=([{UNSPACED}]))", "$1$2 ")
+    return _words(F.when(c.rlike(f"[{UNSPACED}]"), pairs).otherwise(c))
+
+
+def units(c: Column) -> Column:
+    """Words, and each character of a script without blanks apart."""
+    return _words(F.regexp_replace(c, f"([{UNSPACED}])", " $1 "))
+
+
 def fine_tokens(c: Column) -> Column:
     """Tokens, with those joined by / apart."""
     return F.flatten(F.transform(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""), lambda x: F.filter(F.split(x, "/"), lambda y: y != "")))
 
 
 def n_tokens(c: Column) -> Column:
-    """Words, and each CJK character."""
-    return (F.size(tokens(c)) + F.regexp_count(c, F.lit(f"[{CJK}]"))).cast("long")
+    """Words, and each character of a script without blanks."""
+    return F.size(units(c)).cast("long")
 
 
 def truncate_tokens(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(tokens(c), 1, n), " ")
+    return F.array_join(F.slice(units(c), 1, n), " ")
 
 
 def is_english(c: Column) -> Column:
@@ -299,3 +314,36 @@ def heading_grammar(lines: Column) -> Column:
     for i, h in reversed(list(enumerate(hits))):
         out = F.when((h > 0) & (h == most), i).otherwise(out)
     return F.when(lines.isNotNull(), out).otherwise(-1)
+
+
+def heading_level(line: Column, grammar: Column) -> Column:
+    """The place, from 1, of the first pattern of the line's grammar that it begins with; else null."""
+    own = F.regexp_replace(line, "^[\\s\u3000]+", "")
+    out = F.lit(None).cast("int")
+    for g, patterns in enumerate(GRAMMARS):
+        level = F.lit(None).cast("int")
+        for i, pattern in reversed(list(enumerate(patterns, 1))):
+            level = F.when(begins(own, [pattern]), i).otherwise(level)
+        out = F.when(grammar == g, level).otherwise(out)
+    return out
+
+
+def without_contents(lines: Column, reach: int = 128) -> Column:
+    """Lines without tables of contents.
+
+    A line that names one goes, with what follows up to the place, within `reach` lines, where the first entry's
+    beginning (its first two words, or three characters without a blank) comes again; else only that entry goes.
+    """
+    blank = lambda x: F.regexp_replace(x, "[\\s\u3000]+", "")
+    is_mark = lambda x: F.lower(blank(x)).rlike("^(contents|tableofcontents|目录|目次|致谢|acknowledge)$")
+    head = lambda x: F.regexp_extract(F.trim(x), r"^(\S+\s+\S+|.{1,3})", 1)
+    at = lambda ok: F.filter(F.transform(lines, lambda x, i: F.when(ok(x, i), i)), lambda i: i.isNotNull())
+
+    def span(m: Column) -> Column:
+        first = F.get(at(lambda x, i: (i > m) & (blank(x) != "")), 0)
+        again = F.get(at(lambda x, i: (i > first) & (i <= first + reach) & F.startswith(F.trim(x), head(F.get(lines, first)))), 0)
+        return F.struct(m.alias("start"), F.coalesce(again, first + 1, m + 1).alias("stop"))
+
+    spans = F.transform(at(lambda x, i: is_mark(x)), span)
+    kept = F.filter(lines, lambda x, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["stop"])))
+    return F.when(F.exists(lines, is_mark), kept).otherwise(lines)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_page, content_id, domain, n_tokens, page_description, page_language, page_title
+from ..functions.text import GRAMMARS, clean_page, content_id, domain, heading_grammar, heading_level, n_tokens, page_description, page_language, page_title, without_contents
 
 DELIMITERS = "\n。；！？"
 
@@ -121,8 +121,8 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return own.withColumn("level", level)
 
 
-def heading_path(own: DataFrame, max_level: int = 6) -> DataFrame:
-    """Lines with `path`: the headings over each line, outermost first. A heading ends those as deep or deeper."""
+def open_headings(own: DataFrame, max_level: int = 6) -> DataFrame:
+    """Lines with `open`: the headings (line, text) over and with each line, outermost first. A heading ends those as deep or deeper."""
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     for k in range(1, max_level + 1):
         own = own.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.struct("line", "text")), ignorenulls=True).over(w))
@@ -130,8 +130,14 @@ def heading_path(own: DataFrame, max_level: int = 6) -> DataFrame:
     for k in range(1, max_level + 1):
         shallower = [F.coalesce(F.col(f"h{j}.line"), F.lit(-1)) for j in range(1, k)]
         ok = F.col(f"h{k}").isNotNull() & (F.col(f"h{k}.line") > F.greatest(F.lit(-1), *shallower) if shallower else F.lit(True))
-        alive.append(F.when(ok, F.trim(F.regexp_replace(F.col(f"h{k}.text"), r"^#+\s*", ""))))
-    return own.withColumn("path", F.array_compact(F.array(*alive))).drop(*(f"h{k}" for k in range(1, max_level + 1)))
+        alive.append(F.when(ok, F.col(f"h{k}")))
+    return own.withColumn("open", F.array_compact(F.array(*alive))).drop(*(f"h{k}" for k in range(1, max_level + 1)))
+
+
+def heading_path(own: DataFrame, max_level: int = 6) -> DataFrame:
+    """Lines with `path`: the texts of their open headings, without marks."""
+    title = lambda h: F.trim(F.regexp_replace(h["text"], r"^#+\s*", ""))
+    return open_headings(own, max_level).withColumn("path", F.transform("open", title)).drop("open")
 
 
 def _body(own: DataFrame, *keys: str) -> DataFrame:
@@ -228,6 +234,77 @@ def chunk_sections(own: DataFrame, small: int = 32, large: int = 1024) -> DataFr
     return exploded(per.withColumn("g", ids(F.transform("p", lambda x: n_tokens(x).cast("int")))), joined_groups("p", "g", "\n"))
 
 
+#: Level of a line that is no heading of its document's grammar, below all of those.
+BODY = max(map(len, GRAMMARS)) + 1
+
+
+def graded_lines(docs: DataFrame, contents: bool = True) -> DataFrame:
+    """(doc_id, grammar, line, text, level) of the lines with over one character that are no bare number, by the document's heading grammar.
+
+    contents: tables of contents stay.
+    """
+    ls = F.split("text", "\n")
+    d = docs.select("doc_id", ls.alias("ls"))
+    if not contents:
+        d = d.withColumn("ls", without_contents(F.col("ls")))
+    own = d.select("doc_id", heading_grammar(F.col("ls")).alias("grammar"), F.posexplode("ls").alias("line", "text"))
+    own = own.withColumn("text", F.trim(F.translate("text", "\u3000\r", "  "))).where((F.length("text") > 1) & ~F.col("text").rlike("^[0-9]+$"))
+    return own.withColumn("level", F.coalesce(heading_level(F.col("text"), F.col("grammar")), F.lit(BODY)))
+
+
+def chunk_tree(docs: DataFrame, depth: int = 2) -> DataFrame:
+    """(doc_id, seq, text, n_tokens) as for laws: headings down to the depth-th level in use are nodes, what is below them is their text.
+
+    Each leaf is a chunk, after the texts of the nodes over it; text before any node is one too. Tables of contents go.
+    Without headings each line is a chunk. A document without lines (null or empty text) has none.
+    """
+    own = graded_lines(docs, contents=False)
+    used = own.groupBy("doc_id").agg(F.array_sort(F.collect_set("level")).alias("used"))
+    target = F.get("used", F.least(F.lit(depth), F.size("used")) - 1)
+    target = F.when((target == BODY) & (F.size("used") > 1), F.get("used", F.size("used") - 2)).otherwise(target)
+    own = own.join(used.select("doc_id", target.alias("target")), "doc_id")
+    w = Window.partitionBy("doc_id").orderBy("line")
+    own = own.withColumn("node", F.sum((F.col("level") <= F.col("target")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
+    nodes = own.groupBy("doc_id", "node").agg(F.array_join(texts, "\n").alias("text"), F.min("line").alias("line"), F.min_by("level", "line").alias("level"))
+    nodes = nodes.withColumn("level", F.when(F.col("node") > 0, F.col("level")).otherwise(0))
+    after = F.lead("level").over(w)
+    leaves = open_headings(nodes, BODY).withColumn("after", after).where("level = 0 or after is null or after <= level")
+    whole = F.when(F.col("level") == 0, F.col("text")).otherwise(F.array_join(F.transform("open", lambda h: h["text"]), "\n"))
+    out = leaves.select("doc_id", (F.row_number().over(w) - 1).alias("seq"), whole.alias("text"))
+    return out.withColumn("n_tokens", n_tokens(F.col("text")))
+
+
+def chunk_book(docs: DataFrame, depth: int = 5, n: int = 218) -> DataFrame:
+    """(doc_id, seq, text, n_tokens) as for books: each line under its open headings, and the deeper headings that have no line of their own.
+
+    Lines without headings are packed while under n tokens. `depth` counts levels from the lines up, with one for titles
+    by layout, of which plain text has none. Documents without a grammar are cut as chunk_merge does, to 256 tokens.
+    """
+    graded = graded_lines(docs)
+    own = open_headings(graded, BODY - 1)
+    body = own.where(F.col("level") == BODY)
+    size = F.create_map(*(x for g, p in enumerate(GRAMMARS) for x in (F.lit(g), F.lit(len(p)))))[F.col("grammar")]
+    # a heading is told with the lines under it; a bare one, with no line below, on its own
+    used = body.select("doc_id", F.explode(F.transform("open", lambda h: h["line"])).alias("line")).distinct()
+    bare = own.where((F.col("grammar") >= 0) & (F.col("level") < BODY) & (F.col("level") > size + 2 - depth))
+    bare = bare.join(used, ["doc_id", "line"], "left_anti")
+    # or with the bare ones deeper under it
+    inner = bare.select("doc_id", F.col("line").alias("own"), F.explode(F.transform("open", lambda h: h["line"])).alias("line")).where("own <> line").select("doc_id", "line").distinct()
+    bare = bare.join(inner, ["doc_id", "line"], "left_anti")
+    # fixed rule: a bare heading of the second level stands without the first
+    over = F.when(F.col("level") == 2, F.array("text")).otherwise(F.transform("open", lambda h: h["text"]))
+    cols = ["doc_id", "level", "line", "parts"]
+    said = body.where("grammar >= 0").withColumn("parts", F.concat(F.transform("open", lambda h: h["text"]), F.array("text"))).select(cols)
+    said = said.unionByName(bare.withColumn("parts", over).select(cols))
+    per = said.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("o"), "line", "parts"))).alias("c"))
+    text = F.transform("c", lambda x: F.array_join(x["parts"], "\n"))
+    sizes = F.transform("c", lambda x: F.when(F.size(x["parts"]) == 1, n_tokens(x["parts"][0]).cast("int")).otherwise(n))
+    per = per.select("doc_id", text.alias("p"), group_ids(sizes, n - 1).alias("g"))
+    plain = docs.select("doc_id", "text").where(heading_grammar(F.split("text", "\n")) < 0)
+    return exploded(per, joined_groups("p", "g", "\n")).unionByName(chunk_merge(plain, 256, "\n。；！？"))
+
+
 def chunk_one(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lit(0).alias("seq"), "text", n_tokens(F.col("text")).alias("n_tokens"))
 
@@ -326,7 +403,7 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {
     "naive": chunk_merge, "text": chunk_text, "fixed": chunk_fixed, "regex": chunk_regex, "title": chunk_title, "smart": chunk_smart, "outline": chunk_outline,
-    "one": chunk_one, "html": chunk_html, "json": chunk_json,
+    "one": chunk_one, "html": chunk_html, "json": chunk_json, "tree": chunk_tree, "book": chunk_book,
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import is_cjk_query, space_latin_cjk, strip_question_words, to_half_width, tokens
 
 K1, B = 1.2, 0.75
 
@@ -93,15 +93,47 @@ def idf10(s: Column, n: float) -> Column:
     return F.log10(10 + (n - s + 0.5) / (s + 0.5))
 
 
-def term_weights(terms: DataFrame, freq: DataFrame) -> DataFrame:
-    """(query_id, term, weight), summing to 1 for each query, from (term, freq, df) of the corpus.
+def term_weights(terms: DataFrame, freq: DataFrame, *within: str) -> DataFrame:
+    """terms (query_id, term, ...) with `weight`, summing to 1 for each query (and `within`), from (term, freq, df) of the corpus.
 
     Numbers weigh double, one or two letters a hundredth; unknown words have count 10 and 3 documents.
     """
     kind = F.when(F.col("term").rlike("^[0-9,.]{2,}$"), 2.0).when(F.col("term").rlike("^[a-z]{1,2}$"), 0.01).otherwise(1.0)
     w = (0.3 * idf10(F.greatest(F.coalesce("freq", F.lit(10)), F.lit(10)), 1e7) + 0.7 * idf10(F.coalesce(F.col("df") + 3, F.lit(3)), 1e9)) * kind
-    raw = terms.join(freq, "term", "left").select("query_id", "term", w.alias("raw"))
-    return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy("query_id"))).drop("raw")
+    raw = terms.join(freq, "term", "left").select(*terms.columns, w.alias("raw"))
+    return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy("query_id", *within))).drop("raw")
+
+
+def query_rows(queries: DataFrame, freq: DataFrame, synonyms: DataFrame, most: int = 256, short: int = 32) -> DataFrame:
+    """(query_id, kind, text, weight) of queries (query_id, text): what a full-text search looks for, as rows.
+
+    Questions in words: each of the first `most` tokens is a term by its weight, its synonyms (term, synonym) weigh a
+    quarter of it, and two terms in turn are a phrase of twice the greater weight; single letters and digits go. Others
+    (three words or fewer, or mostly not of Latin letters): the first `short` tokens are terms, weighed within their
+    segment (a word, or Latin words in turn), synonyms weigh a fifth, and the terms of a segment of several are looked
+    for near each other (kind near, within two places) by 1.5. A null or empty text has no rows.
+    """
+    plain = F.trim(F.regexp_replace(to_half_width(F.lower(space_latin_cjk(F.col("text")))), r"[ :|\r\n\t,，。？?/`!！&^%()\[\]{}<>]+", " "))
+    d = queries.select("query_id", strip_question_words(plain).alias("t"))
+    d = d.withColumn("cjk", is_cjk_query(F.trim("t"))).withColumn("t", strip_question_words(F.col("t")))
+    words = d.select("query_id", "cjk", F.posexplode(F.filter(F.split("t", " "), lambda x: x != "")).alias("p", "word"))
+    w = Window.partitionBy("query_id").orderBy("p")
+    latin = F.col("word").rlike("[a-z]$")
+    words = words.withColumn("joins", F.coalesce(latin & F.lag(latin).over(w), F.lit(False)))
+    words = words.withColumn("seg", F.sum((~F.col("joins")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = words.select("query_id", "cjk", "p", F.when(F.col("cjk"), F.col("seg")).otherwise(0).alias("seg"), F.posexplode(tokens(F.col("word"))).alias("q", "term"))
+    own = own.where(F.col("cjk") | ~F.col("term").rlike("^[a-z0-9]$"))
+    by = Window.partitionBy("query_id").orderBy("p", "q")
+    own = own.withColumn("i", F.row_number().over(by)).where(F.col("i") <= F.when(F.col("cjk"), short).otherwise(most)).drop("p", "q")
+    own = term_weights(own, freq, "seg")
+    ordered = Window.partitionBy("query_id").orderBy("i")
+    paired = own.where("not cjk").select("query_id", "weight", "term", F.lead("term").over(ordered).alias("next"), F.lead("weight").over(ordered).alias("w2"))
+    phrases = paired.where("next is not null").select("query_id", F.lit("phrase").alias("kind"), F.concat_ws(" ", "term", "next").alias("text"), (2 * F.greatest("weight", "w2")).alias("weight"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ")
+    near = own.where("cjk").groupBy("query_id", "seg").agg(F.count("*").alias("n"), texts.alias("text")).where("n > 1")
+    syn = own.join(synonyms, "term").select("query_id", F.lit("syn").alias("kind"), F.col("synonym").alias("text"), (F.col("weight") / F.when(F.col("cjk"), 5).otherwise(4)).alias("weight"))
+    terms = own.select("query_id", F.lit("term").alias("kind"), F.col("term").alias("text"), "weight")
+    return terms.unionByName(syn).unionByName(phrases).unionByName(near.select("query_id", F.lit("near").alias("kind"), "text", F.lit(1.5).alias("weight")))
 
 
 def token_similarity(weights: DataFrame, presence: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from ..operators import chunking as K
 from .book import Book
 
 book = Book()
-TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9à-öø-ÿ]+'), lambda x: x <> '')"
+TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\pL\\pM\\pN]+'), lambda x: x <> '')"
 
 
 def pages(t):
@@ -72,6 +72,16 @@ def chunk_sections(t):
     return K.chunk_sections(K.lines(pages(t)))
 
 
+@book.query()
+def chunk_tree(t):
+    return K.chunk_tree(pages(t))
+
+
+@book.query()
+def chunk_book(t):
+    return K.chunk_book(pages(t))
+
+
 @book.query(f"SELECT doc_id, 0 AS seq, text, len({TOK.format('text')})::BIGINT AS n_tokens FROM documents")
 def chunk_one(t):
     return K.chunk_one(t.documents)

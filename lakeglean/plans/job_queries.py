@@ -61,7 +61,7 @@ def auto_fields(t):
     return X.apply_auto_fields(c, r).select("chunk_id", F.array_join("important_kwd", "|").alias("kw"), F.size("question_kwd").cast("long").alias("questions"))
 
 
-@book.query("SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(lower(text), '[a-z0-9à-öø-ÿ]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
+@book.query("SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(lower(text), '[\\pL\\pM\\pN]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def hashed_embeddings(t):
     from ..functions.text import norm
 

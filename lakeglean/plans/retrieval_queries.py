@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, tokens
+from ..functions.text import QUESTION_STOPS, QUESTION_WORDS, cosine, tokens
 from ..operators import catalog as C
 from ..operators import postings as P
 from ..operators import vectors as V
@@ -11,7 +11,7 @@ from . import retrieval as R
 from .book import Book
 
 book = Book()
-TOK = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9à-öø-ÿ]+'), lambda x: x <> '')"
+TOK = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\pL\\pM\\pN]+'), lambda x: x <> '')"
 r6 = lambda c: F.round(c, 6)
 BASE = f"""WITH w AS (SELECT doc_id AS chunk_id, unnest({TOK.format("text")}) AS term FROM documents), p AS (SELECT chunk_id, term, count(*) AS tf FROM w GROUP BY ALL),
 dl AS (SELECT chunk_id, sum(tf) AS dl FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
@@ -136,6 +136,31 @@ def synonyms(t):
     return P.expand_synonyms(q, q.where(F.length("term") > 3).select("term", F.substring("term", 1, 3).alias("synonym")).distinct())
 
 
+def _stripped(c):
+    once = f"regexp_replace(regexp_replace({c}, '(?i)(^| )({QUESTION_WORDS})(''re|''s)? ', ' ', 'g'), '(?i)(^| )({STOPS}) ', ' ', 'g')"
+    return f"CASE WHEN {once} = '' THEN {c} ELSE {once} END"
+
+
+STOPS = QUESTION_STOPS.replace("'", "''")
+PLAIN = r"trim(regexp_replace(lower(text), '[ :|\r\n\t,，。？?/`!！&^%()\[\]{}<>]+', ' ', 'g'))"
+# items of over three words, mostly of letters: only the path of questions in words
+BUILT = f""", fr AS (SELECT term, sum(tf) AS freq, count(*) AS df FROM p GROUP BY 1), b1 AS (SELECT item_id AS query_id, {PLAIN} AS t FROM benchmark), b2 AS (SELECT query_id, {_stripped("t")} AS t FROM b1), b3 AS (SELECT query_id, {_stripped("t")} AS t FROM b2),
+bt AS (SELECT query_id, list_filter({TOK.format("t")}, lambda x: NOT regexp_full_match(x, '[a-z0-9]'))[1:256] AS w FROM b3), bi AS (SELECT query_id, i, w[i] AS term FROM bt, unnest(range(1, len(w) + 1)) u(i)),
+bx AS (SELECT query_id, i, term, (0.3 * log10(10 + (1e7 - greatest(coalesce(freq, 10), 10) + 0.5) / (greatest(coalesce(freq, 10), 10) + 0.5)) + 0.7 * log10(10 + (1e9 - coalesce(df + 3, 3) + 0.5) / (coalesce(df + 3, 3) + 0.5)))
+ * CASE WHEN regexp_full_match(term, '[0-9,.]{{2,}}') THEN 2 WHEN regexp_full_match(term, '[a-z]{{1,2}}') THEN 0.01 ELSE 1 END AS raw FROM bi LEFT JOIN fr USING (term)),
+bw AS (SELECT query_id, i, term, raw / sum(raw) OVER (PARTITION BY query_id) AS weight FROM bx), b4 AS (SELECT *, lead(term) OVER o AS nxt, lead(weight) OVER o AS w2 FROM bw WINDOW o AS (PARTITION BY query_id ORDER BY i))
+SELECT query_id, kind, text, round(weight, 6) AS weight FROM (SELECT query_id, 'term' AS kind, term AS text, weight FROM bw UNION ALL SELECT query_id, 'syn', left(term, 3), weight / 4 FROM bw WHERE length(term) > 3
+UNION ALL SELECT query_id, 'phrase', term || ' ' || nxt, 2 * greatest(weight, w2) FROM b4 WHERE nxt IS NOT NULL)"""
+
+
+@book.query(BASE + BUILT)
+def query_rows(t):
+    p = posts(t)
+    freq = p.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
+    syn = terms(t).where(F.length("term") > 3).select("term", F.substring("term", 1, 3).alias("synonym")).distinct()
+    return P.query_rows(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), freq, syn).withColumn("weight", r6("weight"))
+
+
 @book.query(BASE + "SELECT query_id, chunk_id, round(sim, 6) AS sim FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) <= 10")
 def knn_exact(t):
     q, v = vectors(t)

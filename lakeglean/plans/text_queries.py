@@ -6,7 +6,7 @@ from ..functions import text as T
 from .book import Book
 
 book = Book()
-TOK = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9à-öø-ÿ]+'), lambda x: x <> '')"
+TOK = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\pL\\pM\\pN]+'), lambda x: x <> '')"
 
 
 @book.query(f"SELECT doc_id, len({TOK.format('text')})::BIGINT AS n_tokens, array_to_string({TOK.format('text')}[1:8], ' ') AS head FROM documents")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lakeglean.functions import text as T
 from lakeglean.operators import catalog as C
 from lakeglean.operators import chunking as K
 from lakeglean.operators import graph as G
+from lakeglean.operators import postings as P
 from lakeglean.operators.components import connected_components
 from lakeglean.plans import retrieval as R
 from lakeglean.sources import io as S
@@ -226,3 +228,90 @@ def test_heading_grammar(spark):
     rows = [(0, "第一章 x\n第二条 y\n# z"), (1, "1. a\n2. b\n3 4"), (3, "PART ONE\nSection 2\n0 x"), (4, "  # a\n## b"), (-1, "plain"), (-1, None), (-1, "")]
     df = spark.createDataFrame(rows, "want int, text string")
     assert all(r.want == r.got for r in df.select("want", T.heading_grammar(F.split("text", "\n")).alias("got")).collect())
+
+
+LAW = """Preface line
+Contents
+1. First part
+2. Second part
+1. First part
+text under one
+1.1 Inner heading
+inner text
+42
+2. Second part
+2.1 Bare heading
+2.2 Another heading
+last text"""
+
+
+def by_hand_tree(rows, depth):
+    """Chunks of (level, text) rows by a stack of nodes."""
+    used = sorted({lv for lv, _ in rows})
+    target = used[min(depth, len(used)) - 1]
+    if target == max(used) and target == 7 and len(used) > 1:
+        target = used[-2]
+    nodes = [[0, []]]
+    for lv, text in rows:
+        if lv <= target:
+            nodes.append([lv, [text]])
+        else:
+            nodes[-1][1].append(text)
+    out, path = (["\n".join(nodes[0][1])] if nodes[0][1] else []), []
+    for i, (lv, texts) in enumerate(nodes[1:], 1):
+        while path and path[-1][0] >= lv:
+            path.pop()
+        path.append((lv, texts))
+        if i + 1 == len(nodes) or nodes[i + 1][0] <= lv:
+            out.append("\n".join(x for _, t in path for x in t))
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_chunk_tree(spark, depth):
+    rng = random.Random(depth)
+    heads = ["PART ONE", "Chapter IV", "Section 3", "Article 9"]
+    docs, want = [], {}
+    for i in range(30):
+        levels = [rng.choice([1, 2, 3, 4, 7, 7, 7]) for _ in range(rng.randint(1, 14))] + [1]
+        rows = [(lv, f"{heads[lv - 1]} h{j}" if lv < 7 else f"body {j}") for j, lv in enumerate(levels)]
+        docs.append((i, "\n".join(t for _, t in rows)))
+        want[i] = by_hand_tree(rows, depth)
+    docs += [(98, None), (99, "")]
+    got = {}
+    for r in K.chunk_tree(spark.createDataFrame(docs, "doc_id long, text string"), depth).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == want
+
+
+def test_contents_go_and_books_tell_paths(spark):
+    novel = "Preface line\nPART ONE\ntext a\nChapter IV\nSection 1\ntext b\n42\nSection 2\nPART TWO\nChapter V"
+    d = spark.createDataFrame([(1, LAW), (2, "plain words\nmore words"), (3, None), (4, novel)], "doc_id long, text string")
+    kept = d.where("doc_id < 3").select("doc_id", T.without_contents(F.split("text", "\n")).alias("ls")).orderBy("doc_id").collect()
+    assert kept[0].ls == ["Preface line", *LAW.split("\n")[4:]] and kept[1].ls == ["plain words", "more words"]
+    book = {}
+    for r in K.chunk_book(d.where("doc_id > 1")).orderBy("doc_id", "seq").collect():
+        book.setdefault(r.doc_id, []).append(r.text)
+    bare = ["PART ONE\nChapter IV\nSection 2", "Chapter V"]
+    assert book == {2: ["plain words\nmore words"], 4: ["Preface line", "PART ONE\ntext a", "PART ONE\nChapter IV\nSection 1\ntext b", *bare]}
+
+
+def test_tokens_of_other_scripts(spark):
+    d = spark.createDataFrame([("iPhone手机壳 привет Ωmega x1",), ("猫",), ("コーヒー",), (None,)], "s string")
+    got = [(r.t, r.n) for r in d.select(T.tokens(F.col("s")).alias("t"), T.n_tokens(F.col("s")).alias("n")).collect()]
+    assert got == [(["iphone", "手机", "机壳", "привет", "ωmega", "x1"], 7), (["猫"], 1), (["コー", "ーヒ", "ヒー"], 4), ([], 0)]
+
+
+def test_query_rows(spark):
+    q = spark.createDataFrame([(1, "What is the Quick brown fox jump of b 42"), (2, "手机壳 价格"), (3, None)], "query_id long, text string")
+    freq = spark.createDataFrame([("quick", 5, 2), ("fox", 100000, 5000)], "term string, freq long, df long")
+    syn = spark.createDataFrame([("fox", "vixen"), ("手机", "电话")], "term string, synonym string")
+    rows = P.query_rows(q, freq, syn).collect()
+    of = lambda i, kind: {r.text: round(r.weight, 6) for r in rows if (r.query_id, r.kind) == (i, kind)}
+    terms, phrases = of(1, "term"), of(1, "phrase")
+    assert set(terms) == {"quick", "brown", "fox", "jump", "42"} and terms["42"] > terms["brown"] > terms["fox"]
+    assert phrases["jump 42"] == pytest.approx(2 * terms["42"], abs=2e-6) and len(phrases) == 4
+    assert of(1, "syn") == {"vixen": pytest.approx(terms["fox"] / 4, abs=2e-6)} and not of(1, "near")
+    assert set(of(2, "term")) == {"手机", "机壳", "价格"} and of(2, "near") == {"手机 机壳": 1.5} and not of(2, "phrase")
+    assert of(2, "syn") == {"电话": pytest.approx(of(2, "term")["手机"] / 5, abs=2e-6)} and of(2, "term")["价格"] == 1.0
+    assert not [r for r in rows if r.query_id == 3]
