@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, lm, pack, pii, preference, quality, simhash, suffix, urlrules, whiten
+from . import avi, decontaminate, lm, merkle, pack, pii, preference, quality, simhash, suffix, urlrules, whiten
 from .common import fold, table
 
 
@@ -57,6 +57,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(fold(F.col("doc_id"), 2) == 0, F.translate("text", "\n", ""))
+    return merkle.prove(table(spark, sf_dir, "documents"), changed)
+
+
 def op13_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return whiten.whiten(rows, whiten.train(rows))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_spans": op8_pii_spans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_midstate_manifest": op11_midstate_manifest,
     "op13_refined_whitening": op13_refined_whitening,
 }
-ORACLES: dict[str, str] = {"op7_preference_pairs": preference.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op7_preference_pairs": preference.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op11_midstate_manifest": merkle.ORACLE}
