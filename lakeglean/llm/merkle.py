@@ -128,16 +128,16 @@ class Steps:
     children: np.ndarray
     others: np.ndarray
 
-    RECORD = np.dtype([("state", ">u4", 8), ("slot", "u1"), ("children", "u1"), ("others", "u1", (2, 32))])
+    RECORD = np.dtype([("state", "u1", 32), ("slot", "u1"), ("children", "u1"), ("others", "u1", (2, 32))])
 
     def rows(self) -> np.ndarray:
         out = np.zeros(len(self.slot), self.RECORD)
-        out["state"], out["slot"], out["children"], out["others"] = self.state, self.slot, self.children, self.others
+        out["state"], out["slot"], out["children"], out["others"] = self.state.astype(">u4").view(np.uint8), self.slot, self.children, self.others
         return out
 
     @classmethod
     def of(cls, rows: np.ndarray) -> Steps:
-        return cls(rows["state"].astype(np.uint32), rows["slot"].astype(np.int64), rows["children"].astype(np.int64), rows["others"])
+        return cls(np.ascontiguousarray(rows["state"]).view(">u4").astype(np.uint32), rows["slot"].astype(np.int64), rows["children"].astype(np.int64), rows["others"])
 
     def fold(self, values: np.ndarray) -> np.ndarray:
         """The parents' digests if the nodes had these digests: each resumes the state of the slot, then right siblings."""
