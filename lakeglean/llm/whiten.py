@@ -17,7 +17,7 @@ deviation past 64 bits is null; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -87,22 +87,47 @@ def exact_products(y: np.ndarray) -> np.ndarray:
     return big.T @ big
 
 
-ENTRY = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("v", pa.string())])
+PART = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
+#: Numbers of a table that travel together, and tasks that first add up each part of it.
+PART_NUMBERS, ADDERS = 1 << 14, 16
+#: A whole number travels as three limbs of so many bits, the last one signed.
+LIMB = 40
 
 
-def summed(fit: DataFrame, of: object) -> dict[tuple[int, int], int]:
-    """Exact sums by place over all rows of (x): `of` gives the (i, j) -> whole number of a block of vectors; d^2 rows reach the driver."""
+def table_sum(fit: DataFrame, numbers: int, kind: str, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum of the tasks' tables of so many numbers of dtype kind, as bytes in parts: added in some tasks for each part, then in one, one table to the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: np.ndarray | int = 0
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = of(batches).astype(kind, copy=False)
+        starts = range(0, numbers, PART_NUMBERS)
+        yield record_batch({"part": list(range(len(starts))), "sums": [table[s : s + PART_NUMBERS].tobytes() for s in starts]}, PART)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, raw in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                found[p] = found.get(p, 0) + np.frombuffer(raw, kind)
+        yield record_batch({"part": list(found), "sums": [v.tobytes() for v in found.values()]}, PART)
+
+    schema, out = "part int, sums binary", np.zeros(numbers, kind)
+    sums = fit.select("x").mapInArrow(partial, schema).repartition("part", F.spark_partition_id() % ADDERS).mapInArrow(add, schema)
+    for r in sums.repartition("part").mapInArrow(add, schema).collect():
+        out[r.part * PART_NUMBERS :][:PART_NUMBERS] += np.frombuffer(r.sums, kind)
+    return out
+
+
+def exact_sum(fit: DataFrame, numbers: int, of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> list[int]:
+    """The sum of all whole-number tables that `of` makes of the rows of fit."""
+
+    def limbs(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total: np.ndarray = np.zeros(numbers, object)
         for got in of(batches):
-            found = found + got
-        if not isinstance(found, int):
-            i, j = np.nonzero(found)
-            yield record_batch({"i": i, "j": j, "v": [str(v) for v in found[i, j]]}, ENTRY)
+            total = total + got.ravel()
+        mask = (1 << LIMB) - 1
+        return np.concatenate([total & mask, (total >> LIMB) & mask, total >> 2 * LIMB])
 
-    total = fit.select("x").mapInArrow(run, "i int, j int, v string").groupBy("i", "j").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("string").alias("v"))
-    return {(r.i, r.j): int(r.v) for r in total.collect()}
+    found = table_sum(fit, 3 * numbers, "<i8", limbs).reshape(3, numbers).tolist()
+    return [a + (b << LIMB) + (c << 2 * LIMB) for a, b, c in zip(*found, strict=True)]
 
 
 def covariance(fit: DataFrame, d: int, n: int) -> tuple[list[int], np.ndarray]:
@@ -111,21 +136,20 @@ def covariance(fit: DataFrame, d: int, n: int) -> tuple[list[int], np.ndarray]:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, y in blocks(batches, d):
             most = int(np.abs(y).max(initial=0))
-            yield (y if most * len(y) < 2**62 else y.astype(object)).sum(0)[None].astype(object)
+            yield (y if most * len(y) < 2**62 else y.astype(object)).sum(0)
 
-    s = summed(fit, sums)
-    total = [s.get((0, j), 0) for j in range(d)]
+    total = exact_sum(fit, d, sums)
     middle = np.array([(2 * t + n) // (2 * n) for t in total], np.int64)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, y in blocks(batches, d):
-            yield np.triu(exact_products(y - middle))
+            yield exact_products(y - middle)
 
-    p, rest = summed(fit, products), [t - n * int(m) for t, m in zip(total, middle, strict=True)]
+    p, rest = exact_sum(fit, d * d, products), [t - n * int(m) for t, m in zip(total, middle, strict=True)]
     v = np.zeros((d, d), HIGH)
     for i in range(d):
         for j in range(i, d):
-            exact = Fraction(n * p.get((i, j), 0) - rest[i] * rest[j], n * n)
+            exact = Fraction(n * p[i * d + j] - rest[i] * rest[j], n * n)
             high = float(exact)
             v[i, j] = v[j, i] = HIGH(high) + HIGH(float(exact - Fraction(high)))
     return total, v
@@ -209,26 +233,20 @@ class Whitening:
         return [t if t < 2**63 else None for t in totals]
 
 
-PRODUCTS = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
-
-
 def identity_error(fit: DataFrame, model: Whitening) -> float:
     """Largest absolute entry of the covariance of the whitened vectors of fit, less the identity, over components with variance."""
     k = int((model.values > 0).sum())
     if not k:
         return 0.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def products(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((k + 1, k))  # the last row: plain sums
         for _, y in blocks(batches, model.d):
             w = model.whiten(model.centred(y))[:, :k]
             total += np.vstack([w.T @ w, w.sum(0)])
-        i, j = np.indices(total.shape)
-        yield record_batch({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()}, PRODUCTS)
+        return total.ravel()
 
-    found = np.zeros((k + 1, k))
-    for r in fit.select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        found[r.i, r.j] = r.v
+    found = table_sum(fit, (k + 1) * k, "<f8", products).reshape(k + 1, k)
     mean = found[-1] / model.n
     return float(np.abs(found[:-1] / model.n - np.outer(mean, mean) - np.eye(k)).max())
 
