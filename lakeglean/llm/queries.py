@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, lm, merkle, pack, pii, preference, quality, simhash, suffix, urlrules, whiten
+from . import avi, decontaminate, langid, lm, merkle, pack, pii, preference, quality, simhash, suffix, urlrules, whiten
 from .common import fold, table
 
 
@@ -62,6 +62,12 @@ def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(table(spark, sf_dir, "documents"), changed)
 
 
+def op12_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs.where(fold(F.col("doc_id"), 4) != 2)))
+    return found.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
+
+
 def op13_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return whiten.whiten(rows, whiten.train(rows))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_midstate_manifest": op11_midstate_manifest,
+    "op12_kneser_ney_langid": op12_kneser_ney_langid,
     "op13_refined_whitening": op13_refined_whitening,
 }
 ORACLES: dict[str, str] = {"op7_preference_pairs": preference.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE, "op11_midstate_manifest": merkle.ORACLE}
