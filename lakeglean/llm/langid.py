@@ -193,7 +193,7 @@ class Models:
         size = 0
         for i, text in enumerate(batch):
             c, letters[i] = characters(text)
-            if not letters[i]:
+            if not letters[i] or not self.langs:
                 continue
             p = padded(c)
             for s in range(0, len(p) - ORDER, WINDOW):
