@@ -23,6 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +47,17 @@ def coded(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, d, x = [], [], []
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v"), strict=True):
-                if not v.is_valid:
-                    continue
-                c = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)  # a null entry is NaN
-                if np.isfinite(c).all():
-                    y = np.clip(np.floor(SCALE * c), -MOST, MOST)
-                    ids.append(i)
-                    d.append(len(c))
-                    x.append(y.astype("<i2" if np.abs(y).max(initial=0) < 32768 else "<i8").tobytes())
-            yield record_batch({"vec_id": ids, "d": d, "x": x}, CODED)
+            v = batch.column("v")
+            d = pc.fill_null(pc.list_value_length(v), 0).to_numpy().astype(np.int32)
+            row, c = np.repeat(np.arange(len(v)), d), pc.fill_null(v.flatten(), float("nan")).to_numpy()
+            left_out = np.bincount(row, ~np.isfinite(c), len(v)) + v.is_null().to_numpy(zero_copy_only=False) > 0
+            y = np.clip(np.floor(SCALE * np.where(left_out[row], 0, c)), -MOST, MOST)
+            wide = np.bincount(row, np.abs(y) >= 32768, len(v)) > 0
+            for kind, chosen in (("<i2", ~left_out & ~wide), ("<i8", ~left_out & wide)):
+                own = d[chosen]
+                ends = np.concatenate([[0], np.cumsum(own)]).astype(np.int32) * np.dtype(kind).itemsize
+                x = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(y[chosen[row]].astype(kind).tobytes())])
+                yield record_batch({"vec_id": batch.column("vec_id").filter(pa.array(chosen)), "d": own, "x": x}, CODED)
 
     own = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     return own.mapInArrow(run, "vec_id long, d int, x binary")
@@ -64,6 +65,8 @@ def coded(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
 
 def decoded(x: list[bytes], d: int) -> np.ndarray:
     """(len(x), d) whole numbers."""
+    if all(len(raw) == 2 * d for raw in x):
+        return np.frombuffer(b"".join(x), "<i2").reshape(len(x), d).astype(np.int64)
     out = np.empty((len(x), d), np.int64)
     for i, raw in enumerate(x):
         out[i] = np.frombuffer(raw, "<i2" if len(raw) == 2 * d else "<i8")
