@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a question is stripped of, and the words and marks read as yes and no.
+QUESTION_PHRASES_ZH = (
+    "怎么办|什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个"
+)
 QUESTION_WORDS = "what|who|how|which|where|why"
 QUESTION_STOPS = (
     "'s|'re|is|are|were|was|do|does|did|don't|doesn't|didn't|has|have|be|there|you|me|your|my|mine|just|please|may|i|should|would|wouldn't|"
@@ -18,15 +22,19 @@ NO = r"(?i)(false|no|否|⍻|×)"
 CJK = "一-龥"
 
 
+WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
+NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
+
+
 def to_half_width(c: Column) -> Column:
     """Full-width ASCII forms and the wide space as plain ASCII."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
-    return F.translate(c, wide, "".join(chr(0x21 + i) for i in range(94)) + " ")
+    return F.translate(c, WIDE, NARROW)
 
 
 def strip_question_words(c: Column) -> Column:
-    """Question and stop words before a space, out; the text as it was if nothing is left."""
-    s = F.regexp_replace(c, rf"(?i)(^| )({QUESTION_WORDS})('re|'s)? ", " ")
+    """Chinese question words, and question and stop words before a space, out; the text as it was if nothing is left."""
+    s = F.regexp_replace(c, f"是*({QUESTION_PHRASES_ZH})是*", "")
+    s = F.regexp_replace(s, rf"(?i)(^| )({QUESTION_WORDS})('re|'s)? ", " ")
     s = F.regexp_replace(s, rf"(?i)(^| )({QUESTION_STOPS}) ", " ")
     return F.when(s == "", c).otherwise(s)
 
@@ -42,26 +50,38 @@ def escape_query(c: Column) -> Column:
 
 
 WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
+#: Scripts without blanks between words, and the code points from which they (and full-width forms) start: plain texts skip what is for these.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNSPACED_RUN = f"([{UNSPACED}]+)"
+UNSPACED_PAIR = f"(?<=[{UNSPACED}])[{UNSPACED}](?![{UNSPACED}])|([{UNSPACED}])(?=([{UNSPACED}]))"
+BEYOND_PLAIN = "[\u0e00-\u1fff\u2e80-\uffef\U00020000-\U0003ffff]"
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(to_half_width(F.coalesce(c, F.lit("")))), WORD_BREAK), lambda x: x != "")
+    return F.filter(F.split(F.lower(c), WORD_BREAK), lambda x: x != "")
+
+
+def _by_script(c: Column, unspaced: Callable[[Column], Column]) -> Column:
+    """Words of a text; where it has characters beyond the plain ones, in half width and after `unspaced`."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(c.rlike(BEYOND_PLAIN), _words(unspaced(to_half_width(c)))).otherwise(_words(c))
 
 
 def tokens(c: Column) -> Column:
     """Lower-cased half-width words of letters, marks and digits of any script, in order; no stemming.
 
-    A run of a script without blanks (Chinese, Japanese) is its overlapping pairs of characters; a single one is itself.
+    A run of a script without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is its overlapping pairs of characters; a single one is itself.
     """
-    apart = F.regexp_replace(c, f"([{UNSPACED}]+)", " $1 ")
-    pairs = F.regexp_replace(apart, f"(?<=[{UNSPACED}])[{UNSPACED}](?![{UNSPACED}])|([{UNSPACED}])(?=([{UNSPACED}]))", "$1$2 ")
-    return _words(F.when(c.rlike(f"[{UNSPACED}]"), pairs).otherwise(c))
+
+    def pairs(c: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, UNSPACED_RUN, " $1 "), UNSPACED_PAIR, "$1$2 ")
+
+    return _by_script(c, pairs)
 
 
 def units(c: Column) -> Column:
     """Words, and each character of a script without blanks apart."""
-    return _words(F.regexp_replace(c, f"([{UNSPACED}])", " $1 "))
+    return _by_script(c, lambda t: F.regexp_replace(t, f"([{UNSPACED}])", " $1 "))
 
 
 def fine_tokens(c: Column) -> Column:

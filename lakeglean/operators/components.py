@@ -25,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an input that is dealt out to all cores at most.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that lies in few splits, over as many tasks as there are cores; a larger one as it is read."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import BEYOND_PLAIN, NARROW, UNSPACED_PAIR, UNSPACED_RUN, WIDE, WORD_BREAK
 from ..operators.catalog import with_cache
 from ..operators.chunking import CHUNKERS, chunk_merge
 from ..operators.embed import embed
@@ -57,8 +58,20 @@ def for_each(df: DataFrame, key: str, items: str, flow: Callable[[DataFrame], Da
 
 
 def register_sql(spark) -> None:
-    """token_match and cosine for SQL."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION token_match(t STRING, q STRING, f DOUBLE) RETURNS BOOLEAN RETURN size(array_intersect(split(lower(t), '[^a-z0-9à-öø-ÿ]+'), filter(split(lower(q), '[^a-z0-9à-öø-ÿ]+'), x -> x <> ''))) >= greatest(floor(size(array_distinct(filter(split(lower(q), '[^a-z0-9à-öø-ÿ]+'), x -> x <> ''))) * f), 1)")
+    """text_tokens, token_match and vector_cosine for SQL; text_tokens are those of functions.text.tokens."""
+
+    def literal(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def words(t: str) -> str:
+        return f"filter(split(lower({t}), {literal(WORD_BREAK)}), x -> x <> '')"
+
+    half = f"translate(t, {literal(WIDE)}, {literal(NARROW)})"
+    apart = f"regexp_replace({half}, {literal(UNSPACED_RUN)}, ' $1 ')"
+    pairs = f"regexp_replace({apart}, {literal(UNSPACED_PAIR)}, '$1$2 ')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION text_tokens(t STRING) RETURNS ARRAY<STRING> RETURN CASE WHEN t rlike {literal(BEYOND_PLAIN)} THEN {words(pairs)} ELSE {words("coalesce(t, '')")} END")
+    asked = "array_distinct(text_tokens(q))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION token_match(t STRING, q STRING, f DOUBLE) RETURNS BOOLEAN RETURN size(array_intersect(text_tokens(t), {asked})) >= greatest(floor(size({asked}) * f), 1)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x) / sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x)) * aggregate(b, 0D, (s, x) -> s + double(x) * double(x)))")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import QUESTION_STOPS, QUESTION_WORDS, cosine, tokens
 from ..operators import catalog as C
 from ..operators import postings as P
+from ..operators import search as S
 from ..operators import vectors as V
 from ..operators.components import cut
 from . import retrieval as R
@@ -32,6 +33,19 @@ def terms(t):
     return P.query_terms(t.benchmark.withColumnRenamed("item_id", "query_id"))
 
 
+def chunks(t):
+    return t.documents.withColumnRenamed("doc_id", "chunk_id")
+
+
+def content():
+    return {"content": F.col("text")}
+
+
+def found(t, q, k=10, how="presence", **kw):
+    """Hits of the terms of q in whole documents."""
+    return S.search(S.term_rows(q), chunks(t), content(), k, how, **kw)
+
+
 def vectors(t):
     v = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     return v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v
@@ -39,12 +53,12 @@ def vectors(t):
 
 @book.query(BASE + "SELECT query_id, chunk_id, round(presence, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(presence, 6) DESC, chunk_id) <= 10")
 def text_topk_presence(t):
-    return C.top_k(P.match(terms(t), posts(t)), "query_id", r6("score"), 10, "chunk_id").select("query_id", "chunk_id", r6("score").alias("score"))
+    return found(t, terms(t)).select("query_id", "chunk_id", r6("score").alias("score"))
 
 
 @book.query(BASE + "SELECT query_id, chunk_id, round(bm25, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, chunk_id) <= 10")
 def text_topk_bm25(t):
-    return C.top_k(P.match(terms(t), posts(t), "bm25"), "query_id", r6("score"), 10, "chunk_id").select("query_id", "chunk_id", r6("score").alias("score"))
+    return found(t, terms(t), how="bm25").select("query_id", "chunk_id", r6("score").alias("score"))
 
 
 TWO = f"""WITH f AS (SELECT doc_id AS chunk_id, 'content' AS field, text AS x FROM documents UNION ALL SELECT doc_id, 'title', left(text, 60) FROM documents),
@@ -57,9 +71,8 @@ SELECT query_id, chunk_id, score FROM c QUALIFY row_number() OVER (PARTITION BY
 
 
 def two_fields(t, mode):
-    p = cut(P.build_postings(t.documents, "doc_id", {"content": F.col("text"), "title": F.substring("text", 1, 60)}))
-    c = P.combine_fields(P.match(terms(t), p, "presence", {"title": 10, "content": 2}), mode)
-    return C.top_k(c, "query_id", r6("score"), 10, "chunk_id").select("query_id", "chunk_id", r6("score").alias("score"))
+    fields = content() | {"title": F.substring("text", 1, 60)}
+    return S.search(S.term_rows(terms(t)), chunks(t), fields, 10, boosts={"title": 10, "content": 2}, mode=mode).select("query_id", "chunk_id", r6("score").alias("score"))
 
 
 @book.query(TWO.format(agg="max"))
@@ -74,9 +87,7 @@ def multi_field_sum(t):
 
 @book.query(BASE + ", need AS (SELECT query_id, greatest(floor(count(*) * 0.5), 1) AS need FROM q GROUP BY 1) SELECT query_id, count(*) AS n, min(chunk_id) AS first FROM m JOIN need USING (query_id) WHERE hits >= need GROUP BY 1")
 def min_should_match(t):
-    q = terms(t)
-    kept = P.min_should_match(P.combine_fields(P.match(q, posts(t))), q, 0.5)
-    return kept.groupBy("query_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"))
+    return found(t, terms(t), None, share=0.5).groupBy("query_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"))
 
 
 POS = f"""WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents), pos AS (SELECT doc_id AS chunk_id, i, w[i] AS term FROM d, unnest(range(1, len(w) + 1)) t(i)),
@@ -120,8 +131,8 @@ def term_weights(t):
 
 @book.query(BASE + WEIGHTS + "SELECT query_id, chunk_id, round((sum(weight) + 1e-9) / (1 + 1e-9), 6) AS tksim FROM tw JOIN p USING (term) GROUP BY query_id, chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tksim DESC, chunk_id) <= 10")
 def token_similarity(t):
-    s = P.token_similarity(weights(t), posts(t).select("term", "chunk_id")).withColumn("tksim", r6("tksim"))
-    return C.top_k(s, "query_id", F.col("tksim"), 10, "chunk_id").drop("rank")
+    rows = weights(t).select("query_id", F.lit("term").alias("kind"), F.col("term").alias("text"), "weight")  # weights of a query add up to 1
+    return S.search(rows, chunks(t), content(), 10, "weight").select("query_id", "chunk_id", r6((F.col("score") + 1e-9) / (1 + 1e-9)).alias("tksim"))
 
 
 @book.query(BASE + WEIGHTS + "SELECT query_id, term, round(weight, 6) AS weight FROM tw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 9) DESC, term) <= 5")
@@ -180,10 +191,11 @@ def knn_lsh(t):
     return V.knn_lsh(q, v, 10)
 
 
-def text_of_vectors(t):
+def text_of_vectors(t, k, keep=None, digits=6):
     """Text hits whose chunks and queries have vectors: documents and items of like ids."""
-    q = P.query_terms(t.documents.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
-    return P.match(q, posts(t)).join(t.embeddings.select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi").join(t.embeddings.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    q = P.query_terms(t.documents.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")).join(t.embeddings.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    own = chunks(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
+    return S.search(S.term_rows(q), own, content(), k, corpus=chunks(t), keep=keep, digits=digits)
 
 
 HYB = BASE + f""", dq AS (SELECT DISTINCT doc_id AS query_id, unnest({TOK.format("text")}[1:256]) AS term FROM documents WHERE doc_id % 20 = 0),
@@ -195,7 +207,8 @@ top AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDE
 @book.query(HYB + "SELECT query_id, chunk_id, round(coalesce(ts, 0) * 0.05 + coalesce(sim, 0) * 0.95, 6) AS score FROM tx FULL JOIN top USING (query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10")
 def hybrid_fusion(t):
     q, v = vectors(t)
-    f = R.fuse(text_of_vectors(t), V.knn(q, v, 64), 0.95).withColumn("score", r6("score"))
+    sim = V.knn(q, v, 64)
+    f = R.fuse(text_of_vectors(t, 64 + 10, sim), sim, 0.95).withColumn("score", r6("score"))
     return C.top_k(f, "query_id", F.col("score"), 10, "chunk_id").drop("rank")
 
 
@@ -203,7 +216,7 @@ def hybrid_fusion(t):
 SELECT query_id, chunk_id, round(ts * 0.5 + list_cosine_similarity(a.e, b.e) * 0.5, 6) AS score FROM cap JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = chunk_id WHERE list_cosine_similarity(a.e, b.e) >= 0.1""")
 def text_first_fusion(t):
     q, v = vectors(t)
-    return R.fuse_text_first(text_of_vectors(t), v, q, 0.5, 100, 0.1).withColumn("score", r6("score"))
+    return R.fuse_text_first(text_of_vectors(t, 100, digits=9), v, q, 0.5, 100, 0.1).withColumn("score", r6("score"))
 
 
 @book.query(HYB + """, s AS (SELECT query_id, chunk_id, sim + coalesce(label, 0) / 100 AS score, label FROM top LEFT JOIN embeddings ON vec_id = chunk_id)
@@ -220,9 +233,9 @@ def boosted_group_best(t):
 SELECT query_id, chunk_id, round(score, 6) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) BETWEEN 11 AND 20""")
 def rerank_page2(t):
     q, v = vectors(t)
-    text = text_of_vectors(t)
-    tk = text.join(text.groupBy("query_id").agg(F.max("score").alias("mx")), "query_id").select("query_id", "chunk_id", (F.col("score") / F.col("mx")).alias("tksim"))
     sim = V.knn(q, v, 64)
+    text = text_of_vectors(t, 1, sim)
+    tk = text.join(text.groupBy("query_id").agg(F.max("score").alias("mx")), "query_id").select("query_id", "chunk_id", (F.col("score") / F.col("mx")).alias("tksim"))
     s = R.rerank(sim, tk, sim, None).withColumn("score", r6("score"))
     return R.paged(s, R.Config(page=2, page_size=10, threshold=-9.0)).select("query_id", "chunk_id", "score")
 
@@ -248,14 +261,14 @@ def retrieve_hybrid(t):
 b AS (SELECT query_id, chunk_id FROM m JOIN need USING (query_id) WHERE hits >= greatest(floor(k * 0.5), 1) AND query_id NOT IN (SELECT query_id FROM a)) SELECT query_id, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
 def retrieve_fallback(t):
     q = terms(t)
-    scored = P.combine_fields(P.match(q, posts(t)))
+    scored = found(t, q, None, share=0.5)
     both = R.with_fallback(q, P.min_should_match(scored, q, 0.9), P.min_should_match(scored, q, 0.5))
     return both.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @book.query(BASE + """, h AS (SELECT query_id, chunk_id, source, presence FROM m JOIN documents ON doc_id = chunk_id WHERE hits >= 8) SELECT query_id, source, count(*) AS n FROM h GROUP BY ALL""")
 def doc_aggs(t):
-    h = P.combine_fields(P.match(terms(t), posts(t))).where("hits >= 8").join(t.documents.select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
+    h = found(t, terms(t), None, least=8).join(t.documents.select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
     return h.groupBy("query_id", "source").agg(F.count("*").alias("n"))
 
 
@@ -277,7 +290,7 @@ def tag_prior(t):
 s AS (SELECT query_id, tag, round_even(0.1 * (c + 1) / (sum(c) OVER (PARTITION BY query_id) + 10) / greatest(prior, 1e-6), 0) AS score FROM c JOIN pr USING (tag))
 SELECT query_id, replace(tag, '.', '_') AS tag, greatest(score, 1) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tag) <= 3""")
 def tag_queries(t):
-    hit = P.match(terms(t), posts(t)).where("hits >= 6").select("query_id", "chunk_id")
+    hit = found(t, terms(t), None, least=6).select("query_id", "chunk_id")
     return R.tag_targets(hit, tags(t), R.tag_prior(tags(t)), smooth=10, floor=1)
 
 
@@ -316,7 +329,7 @@ def citation_attribution(t):
 u AS (SELECT h.*, lang, text AS body, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM h JOIN documents ON doc_id = chunk_id)
 SELECT query_id, string_agg('ID: ' || chunk_id || E'\nTitle: ' || lang || E'\nContent: ' || body, E'\n\n' ORDER BY rank) AS context FROM u WHERE used <= 8000 GROUP BY 1""")
 def assemble_context(t):
-    top = C.top_k(P.match(terms(t), posts(t)), "query_id", r6("score"), 5, "chunk_id")
+    top = C.rank_within(found(t, terms(t), 5), "query_id", r6("score"), "chunk_id")
     d = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("title"), "text")
     return R.assemble_context(top.join(d, "chunk_id").withColumn("tokens", F.length("text")), 8000)
 
@@ -330,8 +343,8 @@ ideal AS (SELECT query_id, sum(rel / log2(r + 1)) AS idcg FROM (SELECT query_id,
 
 def run_and_qrels(t):
     q = terms(t)
-    m = P.match(q, posts(t)).join(q.groupBy("query_id").agg(F.count("*").alias("k")), "query_id")
-    run = C.top_k(m, "query_id", r6("score"), 30, "chunk_id").select("query_id", "chunk_id", "rank")
+    run = C.rank_within(found(t, q, 30), "query_id", r6("score"), "chunk_id").select("query_id", "chunk_id", "rank")
+    m = found(t, q, None, share=0.6).join(q.groupBy("query_id").agg(F.count("*").alias("k")), "query_id")
     qrels = m.where("hits >= 0.6 * k").select("query_id", "chunk_id", F.when(F.col("hits") >= 0.9 * F.col("k"), 2).otherwise(1).alias("rel"))
     return run, qrels
 
