@@ -66,13 +66,19 @@ def min_should_match(scored: DataFrame, terms: DataFrame, share: float) -> DataF
     return scored.join(need, "query_id").where("hits >= need").drop("need")
 
 
-def term_pairs(chunks: DataFrame, id_col: str, text: str, slop: int = 0) -> DataFrame:
-    """(chunk_id, first, second, n): how many places of a first term have the second within 1 + slop after them."""
+def term_pairs(chunks: DataFrame, id_col: str, text: str, slop: int = 0, asked: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, first, second, n): how many places of a first term have the second within 1 + slop after them.
+
+    With asked (first, second, ...) only those pairs are counted and shuffled.
+    """
     t = F.col("t")
     nexts = [F.slice(t, 2 + i, F.greatest(F.size(t), F.lit(1))).alias(f"n{i}") for i in range(1 + slop)]
     rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text)).alias("t")).select("chunk_id", F.explode(F.arrays_zip(t.alias("first"), *nexts)).alias("x"))
     after = F.array_distinct(F.array_compact(F.array(*(F.col(f"x.n{i}") for i in range(1 + slop)))))
-    return rows.select("chunk_id", F.col("x.first").alias("first"), F.explode(after).alias("second")).groupBy("chunk_id", "first", "second").agg(F.count("*").alias("n"))
+    pairs = rows.select("chunk_id", F.col("x.first").alias("first"), F.explode(after).alias("second"))
+    if asked is not None:
+        pairs = pairs.join(asked.select("first", "second").distinct(), ["first", "second"], "left_semi")
+    return pairs.groupBy("chunk_id", "first", "second").agg(F.count("*").alias("n"))
 
 
 def phrase_match(phrases: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -243,7 +243,7 @@ def search(
     """(query_id, chunk_id, score, hits) of query rows (query_id, kind, text, weight) on chunks (chunk_id and what `fields` are made of).
 
     Rows are as query_rows makes them: kinds term and syn score by weight and idf of the term, phrase (terms in turn) and
-    near (in turn, within NEAR places) by weight and the sum of the idfs. A hit has at least `least` and share * (terms of
+    near (in turn, within NEAR places) by weight and the sum of the idfs; a sequence lifts a hit and makes none. A hit has at least `least` and share * (terms of
     its query) terms, in one field. k best by score, rounded to `digits`, and chunk_id; k = None: all hits. `corpus`: the
     chunks that document frequencies are counted over, if not those searched (which may be filtered). `keep`: pairs (query_id,
     chunk_id) that are returned with their score whatever their rank, if they hit at all; a few for each query.
@@ -282,6 +282,28 @@ def search(
     return best if keep is None else best.unionByName(out.where("kept").drop("kept")).dropDuplicates(["query_id", "chunk_id"])
 
 
+def frequencies(terms: DataFrame, chunks: DataFrame, text: Column, most: int = BLOCK_CLAUSES) -> DataFrame:
+    """(term, freq, df) of the asked terms in all chunks: how often, and in how many. Terms go to the tasks in blocks; only counts are shuffled."""
+    asked_for = cut(terms.select("term").distinct())
+    parts = max(1, -(-asked_for.count() // most))
+    words, out = spread(chunks).select("chunk_id", tokens(text).alias("_0")), None
+    for i in range(parts):
+        block = sorted(r.term for r in asked_for.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect())
+        asked = pa.array(block, pa.string())
+
+        def count(batches: Iterator[pa.RecordBatch], asked: pa.Array = asked) -> Iterator[pa.RecordBatch]:
+            found = np.zeros((2, len(asked)), np.int64)
+            for _, (own,) in pieces(batches, 1):
+                p = Postings(own, asked)
+                found += np.stack([np.diff(p.place_starts), np.diff(p.starts)])
+            at = np.flatnonzero(found[0])
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(at)), pa.array(found[0, at]), pa.array(found[1, at])], names=["term", "freq", "df"])
+
+        now = words.mapInArrow(count, "term string, freq long, df long")
+        out = now if out is None else out.unionByName(now)
+    return out.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("df").alias("df"))
+
+
 def planned(rows: list, names: list[str], boosts: dict[str, float], how: str, mode: str, k: int | None, share: float, least: int, digits: int, also: dict) -> Block:
     by: dict = {}
     for r in rows:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine, norm, strip_question_words, tokens
 from ..operators import postings as P
+from ..operators import search as S
 from ..operators import vectors as V
 from ..operators.catalog import rank_within, top_k
 from ..operators.components import cut
@@ -25,6 +26,8 @@ class Config:
     min_share: float = 0.3
     min_sim: float = 0.1
     threshold: float = 0.0
+    #: Share of terms and least similarity of the second pass.
+    relaxed: tuple[float, float] = (0.1, 0.17)
     boosts: dict[str, float] = field(default_factory=lambda: {"title": 10.0, "content": 2.0})
 
     @property
@@ -89,19 +92,47 @@ def paged(scored: DataFrame, cfg: Config) -> DataFrame:
     return ranked.where((F.col("rank") > (cfg.page - 1) * cfg.page_size) & (F.col("rank") <= cfg.page * cfg.page_size))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, cfg: Config | None = None, fields: dict[str, Column] | None = None) -> DataFrame:
-    """(query_id, rank, chunk_id, score, tksim, vsim) of queries (query_id, text, vector) on chunks (chunk_id, text, vector)."""
+NO_SYNONYMS = "term string, synonym string"
+
+
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, cfg: Config | None = None, fields: dict[str, Column] | None = None, where: Column | None = None, payload: tuple[str, ...] = (), synonyms: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, rank, chunk_id, score, tksim, vsim, total, payload columns) of queries (query_id, text, vector) on chunks (chunk_id, text, vector).
+
+    Queries become weighted terms, synonyms and phrases, which run against the chunks that `where` admits (document
+    frequencies are of all chunks), beside the nearest vectors. A query that finds nothing is asked again with a smaller
+    share of terms and the similarity of cfg.relaxed. What both find is fused, the best are scored again by the weight of
+    the query's terms they have and by cosine. total: the re-ranked hits at or over the threshold, of which a page is returned.
+    """
     cfg = cfg or Config()
-    posts = P.build_postings(chunks, "chunk_id", fields or {"content": F.col("text")})
-    terms = P.query_terms(queries)
-    text = P.min_should_match(P.combine_fields(P.match(terms, posts, "presence", cfg.boosts)), terms, cfg.min_share)
-    text = top_k(text, "query_id", F.round("score", 9), cfg.text_candidates, "chunk_id")
-    sim = V.knn(queries, chunks, cfg.vector_candidates, cfg.min_sim)
-    first = cut(top_k(fuse(text, sim, cfg.vector_weight), "query_id", F.round("score", 9), cfg.window * cfg.page, "chunk_id"))  # read twice below
-    df, _ = P.statistics(posts)
-    freq = posts.groupBy("term").agg(F.sum("tf").alias("freq")).join(df.groupBy("term").agg(F.max("df").alias("df")), "term")
-    tk = P.token_similarity(P.term_weights(terms, freq), posts.select("term", "chunk_id").distinct(), first)
-    return paged(rerank(first, tk, sim, None), cfg).select("query_id", "rank", "chunk_id", "score", "tksim", "vsim")
+    pool = chunks if where is None else chunks.where(where)
+    fields = fields or {"content": F.col("text")}
+    terms = cut(P.query_terms(queries))
+    freq = cut(S.frequencies(terms, chunks, F.col("text")))
+    rows = cut(P.query_rows(queries.select("query_id", "text"), freq, synonyms if synonyms is not None else queries.sparkSession.createDataFrame([], NO_SYNONYMS)))
+
+    def once(queries: DataFrame, rows: DataFrame, share: float, least_sim: float) -> tuple[DataFrame, DataFrame]:
+        sim = cut(V.knn(queries, pool, cfg.vector_candidates, least_sim))
+        text = S.search(rows, pool, fields, cfg.text_candidates, boosts=cfg.boosts, share=share, digits=9, corpus=chunks if where is not None else None, keep=sim)
+        return cut(top_k(fuse(text, sim, cfg.vector_weight), "query_id", F.round("score", 9), cfg.window * cfg.page, "chunk_id").drop("rank")), sim
+
+    first, sim = once(queries, rows, cfg.min_share, cfg.min_sim)
+    missed = cut(queries.join(first.select("query_id").distinct(), "query_id", "left_anti"))
+    if not missed.isEmpty():
+        more, near = once(missed, rows.join(missed.select("query_id"), "query_id", "left_semi"), *cfg.relaxed)
+        first, sim = first.unionByName(more), sim.unionByName(near)
+    own = P.build_postings(chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", {"content": F.col("text")})  # of candidates only
+    tk = P.token_similarity(P.term_weights(terms, freq), own.select("term", "chunk_id"), first)
+    scored = rerank(first, tk, sim, None).where(F.col("score") >= cfg.threshold)
+    page = paged(scored.join(scored.groupBy("query_id").agg(F.count("*").alias("total")), "query_id"), cfg)
+    page = page.join(chunks.select("chunk_id", *payload), "chunk_id") if payload else page
+    return page.select("query_id", "rank", "chunk_id", "score", "tksim", "vsim", "total", *payload)
+
+
+def doc_aggs(hits: DataFrame, chunks: DataFrame, doc_col: str) -> DataFrame:
+    """(query_id, doc_col, n): hits (query_id, chunk_id) by document, or whatever column says where a chunk comes from."""
+    return hits.join(chunks.select("chunk_id", doc_col), "chunk_id").groupBy("query_id", doc_col).agg(F.count("*").alias("n"))
 
 
 def with_fallback(queries: DataFrame, first: DataFrame, relaxed: DataFrame) -> DataFrame:

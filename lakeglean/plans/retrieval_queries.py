@@ -24,11 +24,6 @@ sims AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_si
 """
 
 
-def posts(t):
-    """The index, stored once: scores, document frequencies and totals all read it."""
-    return cut(P.build_postings(t.documents, "doc_id", {"content": F.col("text")}))
-
-
 def terms(t):
     return P.query_terms(t.benchmark.withColumnRenamed("item_id", "query_id"))
 
@@ -98,7 +93,7 @@ SELECT phrase_id, chunk_id, count(*) AS n FROM ph JOIN pp USING (f, s) GROUP BY
 
 def phrases(t, slop):
     pairs = P.bigrams(t.benchmark, "item_id", "text").select(F.concat_ws(":", "query_id", "i").alias("phrase_id"), "first", "second")
-    return P.phrase_match(pairs, P.term_pairs(t.documents, "doc_id", "text", slop))
+    return P.phrase_match(pairs, P.term_pairs(t.documents, "doc_id", "text", slop, pairs))
 
 
 @book.query(POS.format(reach="a.i + 1"))
@@ -119,9 +114,7 @@ tw AS (SELECT query_id, term, raw / sum(raw) OVER (PARTITION BY query_id) AS wei
 
 
 def weights(t):
-    p = posts(t)
-    freq = p.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
-    return P.term_weights(terms(t), freq)
+    return P.term_weights(terms(t), S.frequencies(terms(t), chunks(t), F.col("text")))
 
 
 @book.query(BASE + WEIGHTS + "SELECT query_id, term, round(weight, 6) AS weight FROM tw")
@@ -166,12 +159,30 @@ UNION ALL SELECT query_id, 'phrase', term || ' ' || nxt, 2 * greatest(weight, w2
 
 @book.query(BASE + BUILT)
 def query_rows(t):
-    p = posts(t)
-    freq = p.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
+    freq = S.frequencies(terms(t), chunks(t), F.col("text"))
     syn = terms(t).where(F.length("term") > 3).select("term", F.substring("term", 1, 3).alias("synonym")).distinct()
     return P.query_rows(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), freq, syn).withColumn("weight", r6("weight"))
 
 
+RUN = BASE + BUILT.replace("SELECT query_id, kind, text, round(weight, 6) AS weight FROM (", ", rows AS (").replace("WHERE nxt IS NOT NULL)", "WHERE nxt IS NOT NULL)") + f""",
+idf AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5) AS idf FROM df, st),
+dw AS (SELECT doc_id AS chunk_id, {TOK.format("text")} AS w FROM documents), pos AS (SELECT chunk_id, i, w[i] AS f, w[i + 1] AS s FROM dw, unnest(range(1, len(w))) t(i)),
+ph AS (SELECT query_id, split_part(text, ' ', 1) AS f, split_part(text, ' ', 2) AS s, weight FROM rows WHERE kind = 'phrase'),
+pp AS (SELECT DISTINCT chunk_id, f, s FROM pos WHERE (f, s) IN (SELECT (f, s) FROM ph)),
+one AS (SELECT query_id, chunk_id, weight * idf AS x FROM rows JOIN p ON term = text JOIN idf USING (term) WHERE kind IN ('term', 'syn')
+UNION ALL SELECT query_id, chunk_id, weight * (a.idf + b.idf) FROM ph JOIN pp USING (f, s) JOIN idf a ON a.term = f JOIN idf b ON b.term = s)
+SELECT query_id, chunk_id, round(sum(x), 6) AS score FROM one GROUP BY query_id, chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10"""
+
+
+@book.query(RUN)
+def search_query_rows(t):
+    """Built rows (terms, synonyms, phrases) run against the positions of all documents."""
+    asked = terms(t)
+    syn = asked.where(F.length("term") > 3).select("term", F.substring("term", 1, 3).alias("synonym")).distinct()
+    rows = cut(P.query_rows(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), S.frequencies(asked, chunks(t), F.col("text")), syn))
+    return S.search(rows, chunks(t), content(), 10, least=0).select("query_id", "chunk_id", r6("score").alias("score"))
+
+
 @book.query(BASE + "SELECT query_id, chunk_id, round(sim, 6) AS sim FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) <= 10")
 def knn_exact(t):
     q, v = vectors(t)
@@ -250,11 +261,11 @@ def rerank_external(t):
 
 @book.query()
 def retrieve_hybrid(t):
-    """The whole path: documents with vectors as chunks, every 20th as a query."""
+    """The whole path: documents with vectors as chunks, every 20th as a query, in any language but that of no source."""
     e = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    c = t.documents.join(e, "doc_id").select(F.col("doc_id").alias("chunk_id"), "text", "vector")
+    c = t.documents.join(e, "doc_id").select(F.col("doc_id").alias("chunk_id"), "text", "vector", "lang", "source")
     q = c.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "text", "vector")
-    return R.retrieve(q, c)
+    return R.retrieve(q, c, where=F.col("source").isNotNull(), payload=("lang",))
 
 
 @book.query(BASE + """, need AS (SELECT query_id, count(*) AS k FROM q GROUP BY 1), a AS (SELECT query_id, chunk_id FROM m JOIN need USING (query_id) WHERE hits >= greatest(floor(k * 0.9), 1)),
@@ -268,8 +279,7 @@ def retrieve_fallback(t):
 
 @book.query(BASE + """, h AS (SELECT query_id, chunk_id, source, presence FROM m JOIN documents ON doc_id = chunk_id WHERE hits >= 8) SELECT query_id, source, count(*) AS n FROM h GROUP BY ALL""")
 def doc_aggs(t):
-    h = found(t, terms(t), None, least=8).join(t.documents.select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
-    return h.groupBy("query_id", "source").agg(F.count("*").alias("n"))
+    return R.doc_aggs(found(t, terms(t), None, least=8), chunks(t), "source")
 
 
 TAGS = """, tags AS (SELECT doc_id AS chunk_id, unnest(['q.' || quality, 't.' || toxic, lang]) AS tag FROM labels JOIN documents USING (doc_id)), tc AS (SELECT tag, count(*) AS c FROM tags GROUP BY 1), pr AS (SELECT tag, (c + 1) / (sum(c) OVER () + 1000) AS prior FROM tc)
