@@ -202,6 +202,13 @@ def knn_lsh(t):
     return V.knn_lsh(q, v, 10)
 
 
+@book.query()
+def knn_index(t):
+    """Ten nearest by a list index: 128 lists of which 64 are probed by code, the 100 best by code compared exactly."""
+    q, v = vectors(t)
+    return V.ListIndex(v, 128).knn(q, 10, 64, 100)
+
+
 def text_of_vectors(t, k, keep=None, digits=6):
     """Text hits whose chunks and queries have vectors: documents and items of like ids."""
     q = P.query_terms(t.documents.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")).join(t.embeddings.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
