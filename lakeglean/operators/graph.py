@@ -94,9 +94,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, every: int = 5, start: DataFrame | None = None) -> DataFrame:
     """(id, pagerank) of an undirected weighted graph; dangling mass and jumps are uniform.
 
+    start (id, pagerank): ranks to begin with, such as those before some edges came; other nodes begin with the uniform rank.
+
     A round is one join on the source and one sum by target, which combines in each task first, so a node with very many
     edges is a skewed join at most. The frame is cut from its lineage every few rounds, and there compared with the last.
     """
@@ -108,6 +110,9 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: floa
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
     rank = ids.withColumn("pr", F.lit(1.0 / n))
+    if start is not None:
+        known = ids.join(start, "id", "left").select("id", F.coalesce("pagerank", F.lit(1.0 / n)).alias("pr"))
+        rank = known.join(known.agg(F.sum("pr").alias("all"))).select("id", (F.col("pr") / F.col("all")).alias("pr"))  # of one row
     for i in range(rounds):
         flow = share.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") * F.col("share")).alias("in"))
         new = ids.join(flow, "id", "left").select("id", (F.coalesce("in", F.lit(0.0)) * alpha + (1 - alpha) / n).alias("new"))

@@ -10,6 +10,7 @@ from ..operators import extract as X
 from ..operators.components import checkpoint_dir
 from ..sources import io as S
 from ..streaming import jobs as J
+from ..streaming.snapshots import Snapshots
 from . import registry as D
 from .book import Book
 
@@ -161,7 +162,7 @@ def progress_fold(t):
 
 @book.query(UPDATES)
 def stream_progress(t):
-    return J.drain_files(J.progress_stream(updates(stream(t, "events"))), scratch(t), "update").select("task_id", r6("progress").alias("progress"))
+    return J.drain_files(J.progress_stream(updates(stream(t, "events"))), scratch(t), "update", ["task_id"]).select("task_id", r6("progress").alias("progress"))
 
 
 @book.query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT user_id AS worker, max(ts) >= any_value(now) - INTERVAL 2 HOURS AS alive, count(*) FILTER (ts >= now - INTERVAL 1 DAY) AS recent FROM events, m GROUP BY 1""")
@@ -180,8 +181,9 @@ def ttl_cache(t):
 @book.query("""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 4""")
 def stream_retain(t):
     folder = scratch(t)
-    J.retain_stream(stream(t, "events"), f"{folder}/t", f"{folder}/c", "user_id", "event_id", 4).awaitTermination()
-    return J.latest(t.spark, f"{folder}/t").select("user_id", "event_id")
+    table = Snapshots(t.spark, f"{folder}/t", "user_id long, event_id long", ["user_id"])
+    J.retain_stream(stream(t, "events"), table, f"{folder}/c", "event_id", 4).awaitTermination()
+    return table.read()
 
 
 @book.query("""SELECT doc_id, md5(text || chr(1) || doc_id) AS id, length(text)::INT AS n FROM documents""")
@@ -193,16 +195,18 @@ def stream_ingest(t):
     def build(b):
         return b.select("doc_id", content_id(F.col("text"), F.col("doc_id").cast("string")).alias("id"), F.length("text").alias("n"), F.lit(1).alias("version"))
 
-    J.ingest(stream(t, "documents"), build, f"{folder}/t", f"{folder}/c").awaitTermination()
-    return J.latest(t.spark, f"{folder}/t").select("doc_id", "id", "n")
+    table = Snapshots(t.spark, f"{folder}/t", "doc_id long, id string, n int, version int", ["id"])
+    J.ingest(stream(t, "documents"), build, table, f"{folder}/c").awaitTermination()
+    return table.read().select("doc_id", "id", "n")
 
 
 @book.query("""SELECT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL""")
 def stream_graph(t):
     folder = scratch(t)
     e = stream(t, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit(1.0).alias("weight"), F.col("l_orderkey").alias("source"))
-    J.graph_stream(e, f"{folder}/t", f"{folder}/c").awaitTermination()
-    return J.latest(t.spark, f"{folder}/t").select("src", "dst", "weight")
+    graph = J.GraphTables.at(t.spark, f"{folder}/t")
+    J.graph_stream(e, graph, f"{folder}/c").awaitTermination()
+    return graph.edges.read()
 
 
 @book.query("""SELECT item_id::VARCHAR AS query, i AS pos, w FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark), unnest(ws) WITH ORDINALITY AS u(w, o), LATERAL (SELECT (o - 1)::INT AS i)""")

@@ -6,6 +6,7 @@ Each takes a streaming DataFrame (or a batch one, where the operator allows both
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.catalog import keep_latest, upsert
+from ..operators.catalog import keep_latest, top_k, upsert
+from .snapshots import Snapshots
 
 
 def read_files(spark: SparkSession, path: str, schema: str, per_batch: int = 1000) -> DataFrame:
@@ -25,16 +27,16 @@ def order_batch(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions(F.col("priority").desc(), "created")
 
 
-def ingest(source: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "id", version: str = "version") -> StreamingQuery:
-    """Chunks of each micro-batch upserted into snapshots target/v=<batch>; a batch that is run again writes the same one."""
+def ingest(source: DataFrame, build: Callable[[DataFrame], DataFrame], table: Snapshots, checkpoint: str, version: str = "version") -> StreamingQuery:
+    """Chunks of each micro-batch upserted by the table's key; only the buckets they fall into are written again."""
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = build(batch)
-        if n > 0:
-            new = upsert(spark.read.parquet(f"{target}/v={n - 1}"), new, key, version)
-        new.write.mode("overwrite").parquet(f"{target}/v={n}")
+        table.merge(build(batch), n, lambda old, new: upsert(old, new, table.keys[0], version))
 
+    return started(source, write, checkpoint)
+
+
+def started(source: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -139,21 +141,22 @@ def liveness(beats: DataFrame, now, timeout: str = "120 seconds", history: str =
 
 
 class Cache(StatefulProcessor):
-    """The latest value of each key, for a time to live."""
+    """The latest value of each key (of equal times the smallest), for a time to live since its last write."""
 
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "value string", self.ttl)
+        self.value = handle.getValueState("value", "value string, at timestamp", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         hit = self.value.exists()
-        latest = None
-        for part in rows:
-            latest = part.sort_values("ts").iloc[-1]["value"]
-        self.value.update((latest,))
-        yield pd.DataFrame({"key": [key[0]], "value": [latest], "hit": [hit]})
+        held = [(self.value.get()[1], self.value.get()[0])] if hit else []
+        found = held + [(pd.Timestamp(t), v) for part in rows for t, v in zip(part["ts"], part["value"], strict=True)]
+        at = max(pd.Timestamp(t) for t, _ in found)
+        value = min(v for t, v in found if pd.Timestamp(t) == at)
+        self.value.update((value, at.to_pydatetime()))
+        yield pd.DataFrame({"key": [key[0]], "value": [value], "hit": [hit]})
 
     def close(self) -> None:
         pass
@@ -169,34 +172,47 @@ def valid_cache(writes: DataFrame, now, ttl: str) -> DataFrame:
     return keep_latest(writes, "key", "ts", 1, "value").where(F.col("ts") >= now - F.expr(f"INTERVAL {ttl}"))
 
 
-def retain_stream(source: DataFrame, target: str, checkpoint: str, key: str, ts: str, n: int) -> StreamingQuery:
-    """Snapshots target/v=<batch> with the newest n rows of each key."""
+def retain_stream(source: DataFrame, table: Snapshots, checkpoint: str, ts: str, n: int) -> StreamingQuery:
+    """The newest n rows of each of the table's keys."""
 
     def write(batch: DataFrame, i: int) -> None:
-        all_ = batch if i == 0 else batch.sparkSession.read.parquet(f"{target}/v={i - 1}").unionByName(batch)
-        keep_latest(all_, key, ts, n).write.mode("overwrite").parquet(f"{target}/v={i}")
+        table.merge(batch, i, lambda old, new: keep_latest(old.unionByName(new.select(old.columns)), table.keys[0], ts, n))
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(source, write, checkpoint)
 
 
-def graph_stream(source: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Edges of arriving documents (src, dst, weight, source) merged into snapshots of one graph."""
-    from ..operators.graph import canonical
+EDGES, SOURCES, RANKS = "src long, dst long, weight double", "src long, dst long, source long", "id long, pagerank double"
 
-    def write(batch: DataFrame, i: int) -> None:
-        new = canonical(batch).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.collect_set("source").alias("source_id"))
-        if i > 0:
-            new = new.unionByName(batch.sparkSession.read.parquet(f"{target}/v={i - 1}"))
-        merged = new.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_id")))).alias("source_id"))
-        merged.write.mode("overwrite").parquet(f"{target}/v={i}")
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+@dataclass
+class GraphTables:
+    """One graph in a folder: edges with their weights, the sources of each edge as rows, and ranks of the nodes."""
+
+    edges: Snapshots
+    sources: Snapshots
+    ranks: Snapshots
+
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str, buckets: int = 32) -> GraphTables:
+        return cls(*(Snapshots(spark, f"{folder}/{name}", schema, keys, buckets) for name, schema, keys in (("edges", EDGES, ["src", "dst"]), ("sources", SOURCES, ["src", "dst"]), ("ranks", RANKS, ["id"]))))
 
 
-def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The last snapshot of a stream that writes one for each micro-batch, as v=<batch>."""
-    every = spark.read.parquet(folder)
-    return every.where(F.col("v") == every.agg(F.max("v")).head()[0]).drop("v")
+def graph_stream(source: DataFrame, graph: GraphTables, checkpoint: str, rank: bool = False, tol: float = 1e-6) -> StreamingQuery:
+    """Edges of arriving documents (src, dst, weight, source) merged into one graph, in the buckets of the edges they touch.
+
+    With rank, each micro-batch ends with PageRank, started from the ranks before it, which a small batch hardly moves.
+    """
+    from ..operators.graph import canonical, pagerank
+
+    def write(batch: DataFrame, i: int) -> None:
+        new = canonical(batch)
+        graph.edges.merge(new.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), i, lambda old, b: old.unionByName(b).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+        graph.sources.merge(new.select("src", "dst", "source").distinct(), i, lambda old, b: old.unionByName(b).distinct())
+        if rank:
+            found = pagerank(graph.edges.read(i + 1), tol=tol, start=graph.ranks.read(i))
+            graph.ranks.merge(found, i, lambda old, b: b)
+
+    return started(source, write, checkpoint)
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -206,8 +222,13 @@ def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None
     return df.sparkSession.table(name)
 
 
-def drain_files(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there into snapshots in a shared folder, and read them: all in append mode, else the last."""
+def drain_files(df: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there into a shared folder, and read the result.
+
+    All rows in append mode, those of the last micro-batch in complete mode; in update mode the last row of each of the keys.
+    """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     out = f"{folder}/out"
     last = {"i": -1}
 
@@ -219,4 +240,7 @@ def drain_files(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     if last["i"] < 0:
         return spark.createDataFrame([], df.schema)
-    return spark.read.schema(df.schema).parquet(*(f"{out}/v={i}" for i in ([last["i"]] if mode == "complete" else range(last["i"] + 1))))
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(f"{out}/v={last['i']}")
+    rows = spark.read.schema(df.schema.add("v", "long") if "v" not in df.columns else df.schema).option("basePath", out).parquet(out)
+    return (top_k(rows, keys, F.col("v"), 1).drop("rank") if mode == "update" else rows).drop("v")
