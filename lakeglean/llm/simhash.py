@@ -228,8 +228,8 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> set[int]:
     return set(shingle_hashes(text, size))
 
 
-#: Documents of a cloud that are compared together, on average at most, with as many others.
-TOGETHER = 256
+#: Documents of a cloud that are compared together, on average at most, with as many others; and bytes of their shingle sets.
+TOGETHER, TOGETHER_BYTES = 1024, 16 << 20
 
 
 def alike(sets_a: list[np.ndarray], sets_b: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
@@ -288,12 +288,13 @@ def within_clouds(members: DataFrame, similar: float, together: int = TOGETHER)
     """(src, dst, similarity) that join what is similar in each cloud, from (cloud, doc_id, c: group so far, set).
 
     The documents of a cloud's largest group are not compared with each other, as they are joined; all others are, with
-    each other and with those. Blocks of about `together` documents meet in pairs, so that a task holds two blocks.
+    each other and with those. Blocks of about `together` documents or TOGETHER_BYTES meet in pairs, so that a task holds two
+    blocks; a set is shipped once for each block that its own meets, so a cloud of one block's size ships it once a side.
     """
-    groups = members.groupBy("cloud", "c").agg(F.count("*").alias("n"))
-    main = groups.groupBy("cloud").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / together)).cast("int")
-    sizes = main.select("cloud", F.col("m.c").alias("main"), blocks(F.col("n") - F.col("m.n")).alias("rest"), blocks(F.col("m.n")).alias("most"))
+    groups = members.groupBy("cloud", "c").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes"))
+    main = groups.groupBy("cloud").agg(F.max(F.struct("n", "c", "bytes")).alias("m"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / together), F.ceil(size / TOGETHER_BYTES)).cast("int")
+    sizes = main.select("cloud", F.col("m.c").alias("main"), blocks(F.col("n") - F.col("m.n"), F.col("bytes") - F.col("m.bytes")).alias("rest"), blocks(F.col("m.n"), F.col("m.bytes")).alias("most"))
     spread, is_main = F.xxhash64("doc_id"), F.col("c") == F.col("main")
     own = members.join(sizes, "cloud").withColumn("block", F.when(is_main, F.col("rest") + F.pmod(spread, "most")).otherwise(F.pmod(spread, "rest")).cast("int"))
     own = cut(own.withColumn("is_main", is_main))
