@@ -18,45 +18,63 @@ def own_md5() -> Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row: all columns of docs, whatever their names; id; md5 of the text, null as empty)."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), own_md5().alias("md5"))
+
+
 def chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """docs with (left_semi) or without (left_anti) those whose id and text are in rows (doc_id, text_md5); ids may be null."""
-    own = docs.withColumn("_own", own_md5())
-    keys = rows.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
-    return own.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_md5")), how).select(docs.columns)
+    keys = rows.select(F.col("doc_id").alias("other"), F.col("text_md5").alias("other_md5")).distinct()
+    return keyed(docs).join(keys, F.col("id").eqNullSafe(F.col("other")) & (F.col("md5") == F.col("other_md5")), how).select("row.*")
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go, by id and text; rows alike in both share the decision, ids may be null.
+
+    Null and empty texts are scored as texts without words; an empty table stays empty; columns keep their names and order.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return chosen(docs, quality.score(docs, model).where("predicted = 0"), "left_anti")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the text of the smallest doc_id stays, once."""
+    """Of each component the text of the smallest doc_id stays, once (of texts with that id, the one of the smallest md5).
+
+    Null and empty texts, and those without words, are copies of one another; a component whose ids are all null keeps one
+    row; of rows repeated with id and text any one stays; an empty table stays empty; columns keep their names and order.
+    """
     groups = cut(simhash.near_duplicate_texts(docs))
     kept = chosen(docs, groups.where("not first"), "left_anti")
     twice = cut(groups.where("first").groupBy("doc_id", "text_md5").agg(F.count("*").alias("n")).where("n > 1"))
     if twice.isEmpty():
         return kept
-    one = chosen(docs, twice, "left_semi").withColumn("_own", own_md5()).dropDuplicates(["doc_id", "_own"]).drop("_own")
+    one = keyed(chosen(docs, twice, "left_semi")).dropDuplicates(["id", "md5"]).select("row.*")
     return chosen(kept, twice, "left_anti").unionByName(one)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go, by id and text.
+
+    Null and empty texts have no words and stay; an empty table or benchmark drops nothing; columns keep their names and order.
+    """
     hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return chosen(docs, hit.where("size(hits) > 0"), "left_anti")
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is named, not shown; n_chars follows the text. A document without any is as it was."""
-    found = pii.find(docs, pii.train(docs)).where("spans <> ''").select("doc_id", F.col("redacted").alias("_pii_text"), F.col("text_md5").alias("_pii_md5")).dropDuplicates(["doc_id", "_pii_md5"])
-    own = docs.withColumn("_pii_own", own_md5())
-    both = own.join(found.withColumnRenamed("doc_id", "_pii_id"), F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_own") == F.col("_pii_md5")), "left")
-    text = F.coalesce("_pii_text", "text")
-    return both.withColumns({"text": text, "n_chars": F.when(F.col("_pii_text").isNull(), F.col("n_chars")).otherwise(F.length("_pii_text").cast("long"))}).select(docs.columns)
+    """Personal data is named, not shown; n_chars follows the text. A document without any is as it was.
+
+    Null texts stay null; rows alike in id and text get the same text; an empty table stays empty; columns keep their names and order.
+    """
+    found = pii.find(docs, pii.train(docs)).where("spans <> ''").select(F.col("doc_id").alias("other"), F.col("redacted").alias("shown"), F.col("text_md5").alias("other_md5")).dropDuplicates(["other", "other_md5"])
+    both = keyed(docs).join(found, F.col("id").eqNullSafe(F.col("other")) & (F.col("md5") == F.col("other_md5")), "left")
+    new = {"text": F.coalesce("shown", "row.text"), "n_chars": F.when(F.col("shown").isNull(), F.col("row.n_chars")).otherwise(F.length("shown").cast("long"))}
+    return both.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences, as op5 returns them; null texts are empty, an empty table has no pieces."""
     return pack.pack(docs)
 
 
