@@ -14,7 +14,7 @@ from .common import fold, table
 def op1_gru_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = lm.score(docs, lm.train(docs.where(fold(F.col("doc_id"), 5) != 1)))
-    return found.withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
+    return found.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False)))  # a null id is in neither part
 
 
 def op2_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
-    return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))  # a null id is in neither part
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
