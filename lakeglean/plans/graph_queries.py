@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import kgsearch as K
 from ..operators.components import connected_components
 from .book import Book
 
@@ -218,6 +219,48 @@ def kg_search(t):
     return G.kg_search(hits, nodes, G.nhop_paths(trade(t), 2), types).withColumn("score", r6("score"))
 
 
+SEARCH = SUPPLY + """, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e FROM v WHERE vec_id % 20 = 0),
+deg AS (SELECT src AS id, count(*) AS pagerank FROM e2 GROUP BY 1),
+nodes AS (SELECT p_partkey AS id, p_brand AS type, pagerank, p_name AS description, e FROM part JOIN deg ON id = p_partkey LEFT JOIN v ON vec_id = p_partkey
+UNION ALL SELECT -s_suppkey - 1, 'supplier', pagerank, s_name, NULL FROM supplier JOIN deg ON id = -s_suppkey - 1),
+rels AS (SELECT dst * 1000000 - src AS rel, src, dst, weight, 'supplies' AS description, e FROM edges LEFT JOIN v ON vec_id = (dst * 31 - src) % 1000),
+types AS (SELECT query_id, p_brand AS type FROM q JOIN part ON p_partkey = query_id),
+ents AS (SELECT query_id, id, round(list_cosine_similarity(q.e, nodes.e), 9) AS sim FROM q, nodes WHERE nodes.e IS NOT NULL AND round(list_cosine_similarity(q.e, nodes.e), 9) >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= 56),
+txt AS (SELECT query_id, rel, src AS f, dst AS t, round(list_cosine_similarity(q.e, rels.e), 9) AS sim FROM q, rels WHERE rels.e IS NOT NULL AND round(list_cosine_similarity(q.e, rels.e), 9) >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, rel) <= 56),
+one AS (SELECT query_id, sim, id AS s, dst AS m FROM ents JOIN e2 ON src = id), two AS (SELECT query_id, sim, s, m, dst AS z FROM one JOIN e2 ON src = m WHERE dst <> s),
+lent AS (SELECT query_id, f, t, sum(x) AS lent FROM (SELECT query_id, s AS f, m AS t, sim / 2 AS x FROM one UNION ALL SELECT query_id, s, m, sim / 2 FROM two UNION ALL SELECT query_id, m, z, sim / 3 FROM two) GROUP BY ALL),
+ent AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank, id AS a, s AS score, description FROM
+ (SELECT query_id, id, sim * (CASE WHEN types.type IS NOT NULL THEN 2 ELSE 1 END) * pagerank AS s, description FROM ents JOIN nodes USING (id) LEFT JOIN types USING (query_id, type)) QUALIFY rank <= 6),
+b AS (SELECT query_id, f, t, sim, lent FROM txt FULL JOIN lent USING (query_id, f, t)),
+bb AS (SELECT b.query_id, f, t, sim, lent, (CASE WHEN x.type IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN y.type IS NOT NULL THEN 1 ELSE 0 END) AS ends FROM b JOIN nodes nf ON nf.id = f JOIN nodes nt ON nt.id = t
+ LEFT JOIN types x ON x.query_id = b.query_id AND x.type = nf.type LEFT JOIN types y ON y.query_id = b.query_id AND y.type = nt.type),
+rel AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, f, t) AS rank, f AS a, t AS b, s AS score, description FROM
+ (SELECT bb.query_id, f, t, (CASE WHEN sim IS NULL THEN lent * (1 + ends) ELSE sim * (1 + coalesce(lent, 0) + ends) END) * weight AS s, description FROM bb JOIN rels ON src = least(f, t) AND dst = greatest(f, t)) QUALIFY rank <= 6),
+al AS (SELECT query_id, 'entity' AS kind, 0 AS place, rank, a, NULL::BIGINT AS b, score, description FROM ent UNION ALL SELECT query_id, 'relation', 1, rank, a, b, score, description FROM rel),
+tok AS (SELECT *, len(list_filter(regexp_split_to_array(lower(concat_ws(', ', a, b, printf('%.2f', score), description)), '[^\\pL\\pM\\pN]+'), lambda x: x <> '')) AS n FROM al),
+kept AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY place, rank) AS used FROM tok QUALIFY used < 90),
+rep AS (SELECT type AS community, count(*) AS weight FROM nodes GROUP BY 1), best AS (SELECT DISTINCT query_id, type AS community, weight FROM ent JOIN nodes ON id = a JOIN rep ON community = type)
+SELECT query_id, kind, rank, a, b, round(score, 6) AS score FROM kept UNION ALL SELECT query_id, 'report', 1, NULL, NULL, weight FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, community) = 1"""
+
+
+@book.query(SEARCH)
+def graph_search(t):
+    """Parts and suppliers by the vectors of parts and of their relations; brands as types, and as communities with reports."""
+    e = supply(t)
+    rank = G.degrees(e).withColumnRenamed("degree", "pagerank")
+    v = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("description")).join(v.withColumnRenamed("vec_id", "id"), "id", "left")
+    makers = t.supplier.select((-F.col("s_suppkey") - 1).alias("id"), F.lit("supplier").alias("type"), F.col("s_name").alias("description"), F.lit(None).cast("array<float>").alias("vector"))
+    nodes = parts.unionByName(makers).join(rank, "id")
+    rels = e.select((F.col("dst") * 1_000_000 - F.col("src")).alias("rel"), "src", "dst", "weight", F.lit("supplies").alias("description"), ((F.col("dst") * 31 - F.col("src")) % 1000).alias("vec_id")).join(v, "vec_id", "left")
+    queries = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    types = queries.join(t.part, F.col("p_partkey") == F.col("query_id")).select("query_id", F.col("p_brand").alias("type"))
+    sizes = nodes.groupBy("type").agg(F.count("*").cast("double").alias("weight"))
+    reports = nodes.join(sizes, "type").select(F.col("type").alias("community"), "id", "weight", F.concat(F.lit("Parts of "), "type").alias("text"))
+    found = K.search_graph(queries, types, nodes, rels, reports, K.GraphSearch(budget=90))
+    return found.select("query_id", "kind", "rank", "a", "b", r6("score").alias("score"))
+
+
 @book.query("""SELECT source AS query_id, lang AS community FROM (SELECT source, lang, count(*) AS w FROM documents GROUP BY ALL) WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, lang) = 1""")
 def community_search(t):
     """Languages as communities of sources, each source asked for."""

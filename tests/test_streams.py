@@ -47,34 +47,40 @@ def test_liveness_stream_and_its_batch_twin(spark, tmp_path):
     assert twin == last == {1: False, 2: False, 3: True}
 
 
-def test_cache_stream_expires(spark, tmp_path):
-    schema, source, got = "key string, value string, ts timestamp", tmp_path / "in", []
-    at = lambda s: T0 + dt.timedelta(seconds=s)
-    put(spark, source, [("a", "old", at(1)), ("a", "new", at(5)), ("a", "mew", at(5)), ("b", "x", at(2))], schema)
-    q = running(J.ttl_cache(J.read_files(spark, str(source), schema, 1), 60_000), tmp_path, "update", got)
+def cached(spark, folder, ttl_ms, files, pause=0.0):
+    """Rows of a cache over files that come one by one. A stream by processing time has always more to do, so it is stopped once they are in."""
+    schema, got = "key string, value string, ts timestamp", []
+    put(spark, folder / "in", files[0], schema)
+    out = J.ttl_cache(J.read_files(spark, str(folder / "in"), schema, 1), ttl_ms)
+    q = out.writeStream.foreachBatch(lambda b, i: got.extend(tuple(r) for r in b.collect())).outputMode("update").option("checkpointLocation", f"{folder}/c").trigger(processingTime="500 milliseconds").start()
     try:
-        q.processAllAvailable()
-        put(spark, source, [("a", "late", at(3)), ("c", "y", at(9))], schema)
-        q.processAllAvailable()
+        for i in range(len(files)):
+            want = sum(len({k for k, *_ in f}) for f in files[: i + 1])
+            end = time.time() + 60
+            while len(got) < want and time.time() < end:
+                time.sleep(0.2)
+            time.sleep(pause)
+            if i + 1 < len(files):
+                put(spark, folder / "in", files[i + 1], schema)
     finally:
         q.stop()
-    assert sorted(r for b in got for r in b) == [("a", "mew", False), ("a", "mew", True), ("b", "x", False), ("c", "y", False)]
-    twin = J.valid_cache(spark.createDataFrame([("a", "old", at(1)), ("a", "new", at(5)), ("a", "mew", at(5)), ("b", "x", at(2)), ("a", "late", at(3))], schema), F.lit(at(10)), "60 seconds")
-    assert {(r.key, r.value) for r in twin.collect()} == {("a", "mew"), ("b", "x")}
+    return got
+
+
+def at(s):
+    return T0 + dt.timedelta(seconds=s)
+
+
+def test_cache_stream_and_its_batch_twin(spark, tmp_path):
+    files = [[("a", "old", at(1)), ("a", "new", at(5)), ("a", "mew", at(5)), ("b", "x", at(2))], [("a", "late", at(3)), ("c", "y", at(9))]]
+    assert sorted(cached(spark, tmp_path, 600_000, files)) == [("a", "mew", False), ("a", "mew", True), ("b", "x", False), ("c", "y", False)]
+    twin = J.valid_cache(spark.createDataFrame([r for f in files for r in f], "key string, value string, ts timestamp"), F.lit(at(10)), "60 seconds")
+    assert {(r.key, r.value) for r in twin.collect()} == {("a", "mew"), ("b", "x"), ("c", "y")}
 
 
 def test_cache_stream_forgets(spark, tmp_path):
-    schema, source, got = "key string, value string, ts timestamp", tmp_path / "in", []
-    put(spark, source, [("a", "1", T0)], schema)
-    q = running(J.ttl_cache(J.read_files(spark, str(source), schema, 1), 1000), tmp_path, "update", got)
-    try:
-        q.processAllAvailable()
-        time.sleep(2)
-        put(spark, source, [("a", "2", T0)], schema)  # the first value is gone: no hit
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert [r for b in got for r in b] == [("a", "1", False), ("a", "2", False)]
+    got = cached(spark, tmp_path, 1000, [[("a", "1", T0)], [("a", "2", T0)]], pause=2.5)
+    assert got == [("a", "1", False), ("a", "2", False)]  # the first value was gone: no hit
 
 
 def size(folder):
