@@ -6,8 +6,11 @@ resets depend on its running state, is a small vectorised helper over an array o
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from functools import partial
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,25 +37,43 @@ def groups(sizes: list[int], limit: float, over: bool, least: int = 0) -> list[i
     return out
 
 
-def group_ids(sizes: Column, limit: float, over: bool = False, least: int = 0) -> Column:
-    """array<int> of group numbers for array<int> sizes."""
+def group_ends(sizes: Column, rule: Callable[[list[int]], list[int]]) -> Column:
+    """array<int> of the ends of the groups that a rule numbers array<int> sizes by."""
+
+    def ends(x: list[int] | None) -> list[int] | None:
+        if x is None:
+            return None
+        ids = rule(list(x))
+        return [i + 1 for i, g in enumerate(ids) if i + 1 == len(ids) or ids[i + 1] != g]
 
     @F.pandas_udf("array<int>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else groups(list(x), limit, over, least))
+        return s.map(ends)
 
     return run(sizes)
 
 
-def joined_groups(parts: str, ids: str, sep: str) -> Column:
-    """The parts (array<string>) of each group, joined."""
-    of = lambda g: F.filter(F.arrays_zip(F.col(parts).alias("p"), F.col(ids).alias("g")), lambda x: x["g"] == g)
-    last = F.array_max(ids)
-    return F.when(last.isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda g: F.array_join(F.transform(of(g), lambda x: x["p"]), sep)))
+def packed(
+    d: DataFrame, parts: Column, sep: str, limit: float = 0, over: bool = False, least: int = 0, sizes: Column | None = None, rule: Callable[[list[int]], list[int]] | None = None
+) -> DataFrame:
+    """d with `chunks`, array<struct<text, n>>: its parts (array<string>) in turn by their tokens (or `sizes`), each looked at once, in groups() or those of a rule."""
+    d = d.withColumn("_p", parts).withColumn("_n", sizes if sizes is not None else F.transform("_p", lambda x: n_tokens(x).cast("int")))
+    d = d.withColumn("_e", group_ends(F.col("_n"), rule or partial(groups, limit=limit, over=over, least=least)))
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("_e", i - 1))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+    one = lambda e, i: F.struct(F.array_join(F.slice("_p", start(i) + 1, e - start(i)), sep).alias("text"), total(F.slice("_n", start(i) + 1, e - start(i))).alias("n"))
+    return d.withColumn("chunks", F.transform("_e", one)).drop("_p", "_n", "_e")
+
+
+def unpacked(d: DataFrame, *keys: str, counted: bool = True) -> DataFrame:
+    """(keys, seq, text, n_tokens) of `chunks`, blank ones out; counted: the sizes of the parts were their tokens."""
+    # outer: else Spark would make the chunks twice, once to see that there are any
+    out = d.select(*keys, F.posexplode_outer("chunks").alias("seq", "c")).where(F.trim("c.text") != "")
+    return out.select(*keys, "seq", "c.text", (F.col("c.n") if counted else n_tokens(F.col("c.text"))).alias("n_tokens"))
 
 
 def exploded(df: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
-    out = df.select(id_col, F.posexplode(chunks).alias("seq", "text")).where(F.trim("text") != "")
+    out = df.select(id_col, F.posexplode_outer(chunks).alias("seq", "text")).where(F.trim("text") != "")
     return out.withColumn("n_tokens", n_tokens(F.col("text")))
 
 
@@ -65,22 +86,18 @@ def _sections(text: Column, delims: str, n: int) -> Column:
 
 def chunk_merge(docs: DataFrame, n: int = 128, delims: str = DELIMITERS, overlap: int = 0) -> DataFrame:
     """Sections in turn until a chunk is over n * (100 - overlap) / 100 tokens; the next begins with the last `overlap` percent of its characters."""
-    d = docs.select("doc_id", _sections(F.col("text"), delims, n).alias("p"))
-    d = d.withColumn("g", group_ids(F.transform("p", lambda x: n_tokens(x).cast("int")), n * (100 - overlap) / 100, over=True))
-    chunks = joined_groups("p", "g", "\n")
-    if overlap:
-        size = lambda c: F.floor(F.length(c) * overlap / 100).cast("int")
-        tail = lambda c: F.when(size(c) > 0, F.substring(c, -size(c), size(c))).otherwise("")
-        d = d.withColumn("c", chunks)
-        chunks = F.transform("c", lambda x, i: F.when(i == 0, x).otherwise(F.concat(tail(F.get("c", i - 1)), x)))
-    return exploded(d, chunks)
+    d = packed(docs.select("doc_id", "text"), _sections(F.col("text"), delims, n), "\n", n * (100 - overlap) / 100, over=True).drop("text")
+    if not overlap:
+        return unpacked(d, "doc_id")
+    size = lambda c: F.floor(F.length(c) * overlap / 100).cast("int")
+    tail = lambda c: F.when(size(c) > 0, F.substring(c, -size(c), size(c))).otherwise("")
+    return exploded(d, F.transform("chunks", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.concat(tail(F.get("chunks", i - 1)["text"]), x["text"]))))
 
 
 def chunk_text(docs: DataFrame, n: int = 128, delims: str = "\n!?;。；！？") -> DataFrame:
     """As chunk_merge without overlap, for plain text: all sections are parted at the delimiters."""
     parts = F.filter(F.split("text", f"[{re.escape(delims)}]"), lambda x: F.trim(x) != "")
-    d = docs.select("doc_id", parts.alias("p"))
-    return exploded(d.withColumn("g", group_ids(F.transform("p", lambda x: n_tokens(x).cast("int")), n, over=True)), joined_groups("p", "g", "\n"))
+    return unpacked(packed(docs.select("doc_id", "text"), parts, "\n", n, over=True), "doc_id")
 
 
 def chunk_fixed(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -104,11 +121,40 @@ def chunk_fixed(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFr
     return exploded(d, F.transform("s", lambda x: F.trim(F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]))))
 
 
-def chunk_regex(docs: DataFrame, pattern: str, n: int = 256, least: int = 128) -> DataFrame:
-    """Parts that end with a match of the pattern, packed to at most n tokens; a last chunk under `least` joins the one before."""
-    parts = F.filter(F.regexp_extract_all("text", F.lit(rf"(?s).*?(?:{pattern})|(?s).+\z"), F.lit(0)), lambda x: x != "")
-    d = docs.select("doc_id", parts.alias("p"))
-    return exploded(d.withColumn("g", group_ids(F.transform("p", lambda x: n_tokens(x).cast("int")), n, False, least)), joined_groups("p", "g", ""))
+#: What a pattern never cuts: formulas, fenced code, and HTML blocks, to their end or to the end of the text.
+PROTECTED = (
+    r"(?s)```.*?(?:```|\z)|\$\$.*?(?:\$\$|\z)|\$[^$\n]+\$|\\\(.*?(?:\\\)|\z)|\\\[.*?(?:\\\]|\z)|<table\b.*?(?:</table>|\z)"
+    r"|<div\b.*?(?:</div>|\z)|<p\b.*?(?:</p>|\z)|<pre\b.*?(?:</pre>|\z)|<code\b.*?(?:</code>|\z)|<blockquote\b.*?(?:</blockquote>|\z)"
+)
+#: Marks a cut while parts are made (characters for private use).
+CUT = "\ue000\ue001\ue000"
+
+
+def parts_outside(text: Column, pattern: str) -> Column:
+    """array<string>: the text cut after each match of the pattern that lies outside PROTECTED."""
+    plain = F.transform(F.split(text, PROTECTED), lambda x: F.regexp_replace(x, f"({pattern})", f"$0{CUT}"))
+    kept = F.regexp_extract_all(text, F.lit(PROTECTED), F.lit(0))
+    whole = F.array_join(F.transform(plain, lambda x, i: F.concat(x, F.coalesce(F.get(kept, i), F.lit("")))), "")
+    return F.filter(F.split(whole, CUT), lambda x: x != "")
+
+
+def chunk_regex(docs: DataFrame, pattern: str, n: int = 256, least: int = 128, protect: bool = False, delims: str = "") -> DataFrame:
+    """Parts that end with a match of the pattern, packed to at most n tokens; a last chunk under `least` joins the one before.
+
+    With protect, matches in formulas, code and HTML blocks do not cut. Parts over n tokens are cut after each of `delims`
+    (outside of those, with protect). The pattern has no groups of its own.
+    """
+    if protect:
+        parts = parts_outside(F.col("text"), pattern)
+    else:
+        parts = F.filter(F.regexp_extract_all("text", F.lit(rf"(?s).*?(?:{pattern})|(?s).+\z"), F.lit(0)), lambda x: x != "")
+    d = docs.select("doc_id", parts.alias("parts"))
+    own = F.col("parts")
+    if delims:
+        any_of = f"[{re.escape(delims)}]"
+        smaller = (lambda x: parts_outside(x, any_of)) if protect else (lambda x: F.filter(F.split(F.regexp_replace(x, any_of, f"$0{CUT}"), CUT), lambda y: y != ""))
+        own = F.flatten(F.transform("parts", lambda x: F.when(n_tokens(x) > n, smaller(x)).otherwise(F.array(x))))
+    return unpacked(packed(d, own, "", n, False, least), "doc_id")
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -146,50 +192,106 @@ def _body(own: DataFrame, *keys: str) -> DataFrame:
     return own.groupBy("doc_id", *keys).agg(F.array_join(texts, "\n").alias("text"), F.min("line").alias("line"), F.min_by("path", "line").alias("path"))
 
 
-def chunk_title(docs: DataFrame, level: int = 3, n: int = 256) -> DataFrame:
-    """A chunk from each heading of `level` or above to the next; long ones packed by lines with the title repeated; bare titles go."""
+def joined_ids(sizes: Column, least: int, most: float) -> Column:
+    """array<int>: chunks of under `least` tokens join the one before, while both have no more than `most`."""
+
+    def ids(x: list[int] | None) -> list[int] | None:
+        out: list[int] = []
+        now = 0
+        for n in x if x is not None else ():
+            joins = bool(out) and n < least and now + n <= most
+            out.append(out[-1] + (not joins) if out else 0)
+            now = now + n if joins else n
+        return out
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(ids)
+
+    return run(sizes)
+
+
+def told(rows: DataFrame, sep: str) -> DataFrame:
+    """(doc_id, m, title: the first, text) of rows (doc_id, m, section, part, title, text) joined by m; a title that changes within a chunk is said again."""
+    w = Window.partitionBy("doc_id", "m").orderBy("section", "part")
+    before = F.lag("title").over(w)
+    own = rows.withColumn("said", F.when(before.isNotNull() & (before != F.col("title")) & (F.col("title") != ""), F.concat("title", F.lit("\n"), "text")).otherwise(F.col("text")))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("section", "part", "said"))), lambda x: x["said"])
+    return own.groupBy("doc_id", "m").agg(F.min_by("title", F.struct("section", "part")).alias("title"), F.array_join(line, sep).alias("text"))
+
+
+def chunk_title(docs: DataFrame, level: int = 3, n: int = 256, least: int = 0) -> DataFrame:
+    """A chunk from each heading of `level` or above to the next; long ones packed by lines with the title repeated; bare titles go.
+
+    Chunks of under `least` tokens join the one before, while both fit n, under their own title if it differs.
+    """
     own = heading_path(lines(docs))
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("section", F.sum(F.when(F.col("level").between(1, level), 1).otherwise(0)).over(w))
     body = _body(own.where("level = 0 or level > %d" % level), "section").where(F.trim("text") != "")
-    d = body.select("doc_id", "section", F.array_join("path", " > ").alias("title"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("p"))
-    d = d.withColumn("g", group_ids(F.transform("p", lambda x: n_tokens(x).cast("int")), n))
-    out = d.select("doc_id", "section", "title", F.posexplode(joined_groups("p", "g", "\n")).alias("part", "text"))
-    return out.select("doc_id", "section", "part", "title", "text", n_tokens(F.col("text")).alias("n_tokens"))
+    d = packed(body.select("doc_id", "section", F.array_join("path", " > ").alias("title"), "text"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), "\n", n)
+    out = d.select("doc_id", "section", "title", F.posexplode_outer("chunks").alias("part", "c")).where("c is not null")
+    out = out.select("doc_id", "section", "part", "title", "c.text", F.col("c.n").alias("n_tokens"))
+    if not least:
+        return out
+    per = out.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "part", "title", "text", "n_tokens"))).alias("c"))
+    ids = joined_ids(F.transform("c", lambda x: x["n_tokens"].cast("int")), least, n)
+    rows = per.withColumn("m", ids).select("doc_id", F.explode(F.arrays_zip("c", "m")).alias("z")).select("doc_id", "z.m", "z.c.*")
+    return told(rows, "\n").select("doc_id", F.col("m").alias("section"), F.lit(0).alias("part"), "title", "text", n_tokens(F.col("text")).alias("n_tokens"))
+
+
+def block_kind() -> Column:
+    """Of lines()."""
+    t = F.col("text")
+    return (
+        F.when(F.col("fence") | F.col("mark"), "fence").when(F.col("level") > 0, "header").when(t.rlike(r"^\s*\|.*\|\s*$"), "table")
+        .when(t.rlike(r"^\s*([-*+]|[0-9]+[.)])\s"), "list").when(t.rlike(r"^\s*>"), "quote").when(F.trim("text") == "", "blank").otherwise("paragraph")
+    )
+
+
+def fresh_block(by) -> Column:
+    """Whether a block begins with a line."""
+    before, opens = F.lag("kind").over(by), F.col("mark") & F.col("fence")
+    return before.isNull() | (before != F.col("kind")) | (F.col("kind") == "header") | opens
 
 
 def markdown_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, block, kind, text): runs of header, fence, table, list, quote and paragraph lines."""
     own = lines(docs)
-    t = F.col("text")
-    kind = (
-        F.when(F.col("fence") | F.col("mark"), "fence").when(F.col("level") > 0, "header").when(t.rlike(r"^\s*\|.*\|\s*$"), "table")
-        .when(t.rlike(r"^\s*([-*+]|[0-9]+[.)])\s"), "list").when(t.rlike(r"^\s*>"), "quote").when(F.trim("text") == "", "blank").otherwise("paragraph")
-    )
     by = Window.partitionBy("doc_id").orderBy("line")
-    own = own.withColumn("kind", kind)
-    before, opens = F.lag("kind").over(by), F.col("mark") & F.col("fence")
-    fresh = before.isNull() | (before != F.col("kind")) | (F.col("kind") == "header") | opens
-    own = own.withColumn("block", F.sum(fresh.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("kind", block_kind())
+    own = own.withColumn("block", F.sum(fresh_block(by).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
     return own.where("kind <> 'blank'").groupBy("doc_id", "block", "kind").agg(F.array_join(texts, "\n").alias("text"))
 
 
-def chunk_smart(docs: DataFrame, n: int = 256, least: int = 64) -> DataFrame:
-    """Blocks whole, packed to n tokens within a heading, the heading path first; blocks over 1.5 n stand alone."""
-    own = heading_path(lines(docs))
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(w))
-    # a paragraph, list or table is a run without blank lines; a fence is one whatever is in it
+def chunk_smart(docs: DataFrame, n: int = 256, least: int = 64, delims: str = DELIMITERS) -> DataFrame:
+    """(doc_id, part, text, n_tokens): typed blocks packed to n tokens within a heading, the heading path first.
+
+    Tables and fences are never cut. Other blocks over 1.5 n tokens go by lines, and lines over n by sentences. A chunk of
+    under `least` tokens joins the one before, of whatever heading, while both have 1.2 n at most; its own path is said then.
+    """
+    own = heading_path(lines(docs)).withColumn("kind", block_kind())
     by = Window.partitionBy("doc_id").orderBy("line")
-    breaks = (F.trim("text") == "") & ~F.col("fence")
-    own = own.withColumn("run", F.sum(breaks.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("level = 0").where(~breaks)
-    blocks = _body(own, "section", "run").where(F.trim("text") != "")
-    per = blocks.groupBy("doc_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("p"), F.first("path").alias("path"))
-    per = per.withColumn("g", group_ids(F.transform("p", lambda x: n_tokens(x).cast("int")), n, False, least))
+    running = by.rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(running)).withColumn("block", F.sum(fresh_block(by).cast("int")).over(running))
+    blocks = own.where("kind not in ('blank', 'header')").groupBy("doc_id", "section", "block", "kind").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("rows"), F.min_by("path", "line").alias("path")
+    )
+    text = F.array_join("rows", "\n")
+    sentence = lambda x: F.filter(F.split(F.regexp_replace(x, f"[{re.escape(delims)}]|(?<=[.!?]) ", f"$0{CUT}"), CUT), lambda y: F.trim(y) != "")
+    finer = F.flatten(F.transform("rows", lambda x: F.when(n_tokens(x) > n, sentence(x)).otherwise(F.array(x))))
+    pieces = F.when(~F.col("kind").isin("table", "fence") & (n_tokens(text) > 1.5 * n), finer).otherwise(F.array(text))
     title = F.array_join("path", " > ")
-    out = per.select("doc_id", "section", title.alias("title"), F.posexplode(joined_groups("p", "g", "\n\n")).alias("part", "text"))
-    return out.select("doc_id", "section", "part", F.when(F.col("title") == "", F.col("text")).otherwise(F.concat("title", F.lit("\n"), "text")).alias("text"))
+    pieces = blocks.select("doc_id", "section", title.alias("title"), "block", F.posexplode(pieces).alias("i", "piece"))
+    per = pieces.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("block", "i", "piece"))).alias("p"), F.first("title").alias("title"))  # of one section
+    per = packed(per, F.transform("p", lambda x: x["piece"]), "\n\n", n)
+    chunks = per.select("doc_id", "section", "title", F.posexplode_outer("chunks").alias("part", "c")).where("c is not null").select("doc_id", "section", "part", "title", "c.text", F.col("c.n").alias("n_tokens"))
+    whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "part", "title", "text", "n_tokens"))).alias("c"))
+    ids = joined_ids(F.transform("c", lambda x: x["n_tokens"].cast("int")), least, 1.2 * n)
+    rows = whole.withColumn("m", ids).select("doc_id", F.explode(F.arrays_zip("c", "m")).alias("z")).select("doc_id", "z.m", "z.c.*")
+    out = told(rows, "\n\n")
+    return out.select("doc_id", F.col("m").alias("part"), F.when(F.col("title") == "", F.col("text")).otherwise(F.concat("title", F.lit("\n"), "text")).alias("text")).withColumn("n_tokens", n_tokens(F.col("text")))
 
 
 def chunk_outline(docs: DataFrame, levels: list[str], hierarchy: int) -> DataFrame:
@@ -218,20 +320,16 @@ def chunk_sections(own: DataFrame, small: int = 32, large: int = 1024) -> DataFr
     p = p.withColumn("section", F.sum(((F.col("level") > 0) & (F.col("level") <= F.col("pivot"))).cast("int")).over(w)).withColumn("path", F.array().cast("array<string>"))
     per = _body(p, "section").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]).alias("p"))
 
-    @F.pandas_udf("array<int>")
-    def ids(sizes: pd.Series) -> pd.Series:
-        def one(row: list[int]) -> list[int]:
-            out, g, now = [], 0, 0
-            for n in row:
-                if out and not (now < small and now + n < large):
-                    g, now = g + 1, 0
-                out.append(g)
-                now += n
-            return out
-
-        return sizes.map(lambda r: one(list(r)))
+    def rule(row: list[int]) -> list[int]:
+        out, g, now = [], 0, 0
+        for n in row:
+            if out and not (now < small and now + n < large):
+                g, now = g + 1, 0
+            out.append(g)
+            now += n
+        return out
 
-    return exploded(per.withColumn("g", ids(F.transform("p", lambda x: n_tokens(x).cast("int")))), joined_groups("p", "g", "\n"))
+    return unpacked(packed(per, F.col("p"), "\n", rule=rule), "doc_id")
 
 
 #: Level of a line that is no heading of its document's grammar, below all of those.
@@ -346,7 +444,7 @@ def html_markdown(html: Column) -> Column:
 
 def chunk_html(pages: DataFrame, n: int = 512) -> DataFrame:
     d = pages.select(F.col("page_id").alias("doc_id"), F.split(html_markdown(F.col("html")), "\n").alias("p"))
-    return exploded(d.withColumn("g", group_ids(F.transform("p", lambda x: n_tokens(x).cast("int")), n)), joined_groups("p", "g", "\n"))
+    return unpacked(packed(d, F.col("p"), "\n", n), "doc_id")
 
 
 def chunk_json(docs: DataFrame, json: str, most: int = 2000) -> DataFrame:
@@ -355,15 +453,67 @@ def chunk_json(docs: DataFrame, json: str, most: int = 2000) -> DataFrame:
     leaves = flat.lateralJoin(flat.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
     one = leaves.select("doc_id", F.coalesce("key", F.col("pos").cast("string"), F.lit("")).alias("path"), F.expr("to_json(value)").alias("value"))
     per = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "value"))).alias("p"))
-    per = per.withColumn("g", group_ids(F.transform("p", lambda x: F.length(x)), most))
-    return per.select("doc_id", F.posexplode(joined_groups("p", "g", ", ")).alias("seq", "paths"))
+    per = packed(per, F.col("p"), ", ", most, sizes=F.transform("p", lambda x: F.length(x)))
+    return per.select("doc_id", F.posexplode_outer(F.transform("chunks", lambda x: x["text"])).alias("seq", "paths")).where("paths is not null")
+
+
+def json_pieces(text: str | None, most: int, least: int) -> list[str] | None:
+    """A JSON document in JSON objects of under `most` characters that keep the paths of what they hold; lists become objects by place.
+
+    A value that does not fit the room left goes into its members; a chunk of `least` characters at least is closed first.
+    A single value larger than `most` stays whole. None for what is no JSON.
+    """
+    try:
+        todo: list = [((), json.loads(text or ""))]
+    except ValueError:
+        return None
+    chunks: list[dict] = [{}]
+    length = lambda x: len(json.dumps(x, ensure_ascii=False))
+
+    def members(v: object) -> dict | None:
+        return v if isinstance(v, dict) else {str(i): x for i, x in enumerate(v)} if isinstance(v, list) else None
+
+    def plain(v: object) -> object:
+        own = members(v)
+        return v if own is None else {k: plain(x) for k, x in own.items()}
+
+    while todo:
+        path, value = todo.pop()
+        inner = members(value)
+        if path:
+            filled = length(chunks[-1])
+            if length({path[-1]: plain(value)}) >= most - filled:
+                if filled >= least:
+                    chunks.append({})
+                if inner:
+                    todo.extend(((*path, k), x) for k, x in reversed(inner.items()))
+                    continue
+            at = chunks[-1]
+            for k in path[:-1]:
+                at = at.setdefault(k, {})
+            at[path[-1]] = plain(value)
+        elif inner is None:
+            return [json.dumps(value, ensure_ascii=False)]
+        else:
+            todo.extend(((k,), x) for k, x in reversed(inner.items()))
+    return [json.dumps(c, ensure_ascii=False) for c in chunks if c]
+
+
+def chunk_json_nested(docs: DataFrame, column: str, most: int = 4000, least: int = 1800) -> DataFrame:
+    """(doc_id, seq, text): json_pieces of a JSON column, of any depth; rows without JSON have none."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: json_pieces(t, most, least))
+
+    return docs.select("doc_id", F.posexplode_outer(run(F.col(column))).alias("seq", "text")).where("text is not null")
 
 
 def pack_contexts(chunks: DataFrame, budget: int = 1024) -> DataFrame:
     """(doc_id, seq, text): a document's chunks (doc_id, seq, text, n_tokens) in order in contexts under the budget."""
     own = F.array_sort(F.collect_list(F.struct("seq", "text", "n_tokens")))
     d = chunks.groupBy("doc_id").agg(own.alias("c")).select("doc_id", F.transform("c", lambda x: x["text"]).alias("p"), F.transform("c", lambda x: x["n_tokens"].cast("int")).alias("n"))
-    return exploded(d.withColumn("g", group_ids(F.col("n"), budget - 1)), joined_groups("p", "g", "\n"))
+    return unpacked(packed(d, F.col("p"), "\n", budget - 1, sizes=F.col("n")), "doc_id", counted=False)
 
 
 def pack_rows(rows: DataFrame, key: str, order: str, text: str, batch: int = 10) -> DataFrame:
@@ -403,15 +553,43 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {
     "naive": chunk_merge, "text": chunk_text, "fixed": chunk_fixed, "regex": chunk_regex, "title": chunk_title, "smart": chunk_smart, "outline": chunk_outline,
-    "one": chunk_one, "html": chunk_html, "json": chunk_json, "tree": chunk_tree, "book": chunk_book,
+    "one": chunk_one, "html": chunk_html, "json": chunk_json, "json_nested": chunk_json_nested, "tree": chunk_tree, "book": chunk_book,
 }
 
 
+#: Suffixes that a reader of their own takes.
+PAGES, TABLES, MARKDOWN, JSONS = ("html", "htm"), ("csv", "tsv"), ("md", "markdown", "mdx"), ("json", "jsonl")
+
+
+def csv_rows(text: str | None, sep: str) -> list[str]:
+    """Rows of a table, each value with its column's name; quotes may hold separators and line ends."""
+    import csv
+
+    rows = [r for r in csv.reader((text or "").splitlines(keepends=True), delimiter=sep) if any(x.strip() for x in r)]
+    return ["; ".join(f"{h}: {v}" if h else v for h, v in zip_longest(rows[0], r, fillvalue="") if v.strip()) for r in rows[1:]] if len(rows) > 1 else ["; ".join(r) for r in rows]
+
+
 def chunk_by_suffix(files: DataFrame, n: int = 128) -> DataFrame:
-    """(path, doc_id, text) files, each format by its reader: rows of csv, lines of code and text, markdown sections, pages, JSON lines."""
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    f = files.withColumn("kind", kind)
-    html = f.where("kind in ('html', 'htm')").select("doc_id", html_markdown(F.col("text")).alias("text"))
-    rows = f.where("kind in ('csv', 'tsv')").select("doc_id", F.regexp_replace("text", "[,\t]", "; ").alias("text"))
-    rest = f.where("kind not in ('html', 'htm', 'csv', 'tsv')").select("doc_id", "text")
-    return chunk_merge(html.unionByName(rows).unionByName(rest), n)
+    """(doc_id, seq, text, n_tokens) of files (path, doc_id, text), each format by its reader.
+
+    Rows of csv and tsv with their column names, whole and ten at most together; markdown by its blocks and headings; JSON
+    (one document, or one a line) in parts that keep their paths; pages as text; code and all else by lines.
+    """
+    f = files.select("doc_id", "text", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("kind"))
+
+    @F.pandas_udf("array<string>")
+    def rows(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([csv_rows(t, "," if k == "csv" else "\t") for t, k in zip(texts, kinds, strict=True)])
+
+    tables = f.where(F.col("kind").isin(*TABLES)).select("doc_id", F.posexplode_outer(rows("text", "kind")).alias("row", "line")).where("line is not null")
+    tables = pack_rows(tables, "doc_id", "row", "line").select("doc_id", F.col("batch").cast("int").alias("seq"), "text").withColumn("n_tokens", n_tokens(F.col("text")))
+    marked = chunk_smart(f.where(F.col("kind").isin(*MARKDOWN)), n).select("doc_id", F.col("part").cast("int").alias("seq"), "text", "n_tokens")
+    own = f.where(F.col("kind").isin(*JSONS)).select("doc_id", F.explode(F.when(F.col("kind") == "jsonl", F.split("text", "\n")).otherwise(F.array("text"))).alias("text"))
+    parsed = own.select("doc_id", F.monotonically_increasing_id().alias("line"), "text")
+    parts = chunk_json_nested(parsed.select(F.struct("doc_id", "line").alias("doc_id"), "text"), "text")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "i")) - 1
+    parts = parts.select("doc_id.doc_id", "doc_id.line", F.col("seq").alias("i"), "text").withColumn("seq", order.cast("int")).select("doc_id", "seq", "text", n_tokens(F.col("text")).alias("n_tokens"))
+    pages = f.where(F.col("kind").isin(*PAGES)).select("doc_id", html_markdown(F.col("text")).alias("text"))
+    rest = f.where(~F.col("kind").isin(*PAGES, *TABLES, *MARKDOWN, *JSONS)).select("doc_id", "text")
+    lined = chunk_merge(pages.unionByName(rest), n).select("doc_id", "seq", "text", "n_tokens")
+    return lined.unionByName(tables).unionByName(marked).unionByName(parts)

@@ -52,6 +52,21 @@ def chunk_title(t):
     return K.chunk_title(pages(t))
 
 
+@book.query()
+def chunk_protected(t):
+    """Pages and documents by sentences that no table, code or formula is cut for, large parts at their delimiters."""
+    docs = t.documents.select("doc_id", "text").unionByName(t.pages.select((-F.col("page_id") - 1).alias("doc_id"), F.col("html").alias("text")))
+    return K.chunk_regex(docs, r"[.!?]+\s*", 100, 50, protect=True, delims="\n;")
+
+
+@book.query()
+def chunk_json_nested(t):
+    """Documents with their lines and words as JSON of three levels."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.split(x, " ").alias("words"), F.length(x).alias("size")))
+    own = t.documents.select("doc_id", F.to_json(F.struct(F.struct("lang", "source").alias("meta"), lines.alias("lines"))).alias("j"))
+    return K.chunk_json_nested(own, "j", 1000, 400)
+
+
 @book.query()
 def chunk_smart(t):
     return K.chunk_smart(pages(t))
