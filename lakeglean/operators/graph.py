@@ -73,6 +73,62 @@ def union_edges(*graphs: DataFrame) -> DataFrame:
     return canonical(all_).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("source")).alias("source_id"))
 
 
+def _in_order(c: str, sep: str | None = None) -> Column:
+    """Values of the graphs in their order: joined texts, or one array of all arrays."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("_v")))), lambda x: x["_v"])
+    return F.array_join(own, sep) if sep is not None else F.flatten(own)
+
+
+def union_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs numbered by seq merged in that order, with their attributes.
+
+    nodes: (seq, id, type, description, source_id array); edges: (seq, src, dst, weight, description, keywords and source_id
+    arrays); one row a graph. A node keeps the type it had first, descriptions are joined, sources and keywords put one after
+    the other, weights added up. rank is the number of a node's edges, a loop counting two. Null descriptions are left out.
+    """
+    n = nodes.groupBy("id").agg(F.min_by("type", "seq").alias("type"), _in_order("description", SEP).alias("description"), _in_order("source_id").alias("source_id"))
+    e = canonical(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), _in_order("description", SEP).alias("description"), _in_order("keywords").alias("keywords"), _in_order("source_id").alias("source_id"))
+    n = n.join(degrees(e).withColumnRenamed("degree", "rank"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))
+    return n, e
+
+
+def rebuild_graphs(nodes: DataFrame, edges: DataFrame, exclude: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graphs of union_graphs put over each other again, but for those with a source of exclude (source).
+
+    The latest graph's attributes win, and its edge wins whole; sources of a node come from all graphs that have it.
+    """
+    gone = exclude.select("source").distinct()
+    hit = lambda df: df.select("seq", F.explode("source_id").alias("source")).join(gone, "source", "left_semi").select("seq")
+    out = hit(nodes).unionByName(hit(edges)).distinct()  # a graph goes as a whole
+    n, e = (df.join(out, "seq", "left_anti") for df in (nodes, canonical(edges)))
+    n = n.groupBy("id").agg(F.max_by("type", "seq").alias("type"), F.max_by("description", "seq").alias("description"), _in_order("source_id").alias("source_id"))
+    last = F.max_by(F.struct("weight", "description", "keywords", "source_id"), "seq").alias("x")
+    return n, e.groupBy("src", "dst").agg(last).select("src", "dst", "x.*")
+
+
+def touched(before: DataFrame, batch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, change) of a batch: added, or updated where it was there before."""
+    known = before.select(*keys).distinct().withColumn("_old", F.lit(True))
+    return batch.select(*keys).distinct().join(known, list(keys), "left").select(*keys, F.when(F.col("_old"), "updated").otherwise("added").alias("change"))
+
+
+def contract_graph(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, description, source_id) and edges (…, keywords) with each src of pairs (src, dst) made one with its dst.
+
+    The kept node's type stays; descriptions are joined, its own first; sources are put together once each. Edges that meet
+    add their weights and join the rest the same way; those within one node go. Pairs must not chain (see components).
+    """
+    to = pairs.select(F.col("src").alias("id"), F.col("dst").alias("_to")).where("id <> _to").dropDuplicates(["id"])
+    own = nodes.join(to, "id", "left").select(F.coalesce("_to", "id").alias("_id"), F.col("_to").isNotNull().alias("_moved"), "*")
+    own = own.withColumn("seq", F.struct("_moved", "id"))
+    n = own.groupBy("_id").agg(F.min_by("type", "seq").alias("type"), _in_order("description", SEP).alias("description"), F.array_sort(F.array_distinct(_in_order("source_id"))).alias("source_id")).withColumnRenamed("_id", "id")
+    ends = edges.withColumn("seq", F.struct("src", "dst"))
+    for c in ("src", "dst"):
+        ends = ends.join(to.select(F.col("id").alias(c), "_to"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    e = canonical(ends.where("src <> dst")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"), _in_order("description", SEP).alias("description"), F.array_sort(F.array_distinct(_in_order("keywords"))).alias("keywords"), F.array_sort(F.array_distinct(_in_order("source_id"))).alias("source_id"))
+    return n, e
+
+
 def changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """(key, change): added or kept."""
     added = after.select(key).join(before.select(key), key, "left_anti").withColumn("change", F.lit("added"))

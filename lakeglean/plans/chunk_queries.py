@@ -23,6 +23,16 @@ def chunk_merge(t):
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("total"))
 
 
+@book.query(book.oracles["chunk_merge"])
+def chunk_in_sql(t):
+    """The same by a table function joined laterally."""
+    from .sql_chunkers import register_chunkers
+
+    register_chunkers(t.spark)
+    t.documents.createOrReplaceTempView("documents_to_chunk")
+    return t.spark.sql("SELECT doc_id, count(*) AS chunks, sum(c.n_tokens) AS total FROM documents_to_chunk, LATERAL chunk(text, 128) c GROUP BY doc_id")
+
+
 @book.query()
 def chunk_overlap(t):
     return K.chunk_merge(t.documents, 64, overlap=20)
@@ -141,6 +151,16 @@ def pack_contexts(t):
     return K.pack_contexts(c, 100).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("total"))
 
 
+@book.query(book.oracles["pack_contexts"])
+def pack_in_sql(t):
+    """Turns of a conversation packed by a table function over a partitioned, ordered table."""
+    from .sql_chunkers import register_chunkers
+
+    register_chunkers(t.spark)
+    t.conversations.createOrReplaceTempView("turns_to_pack")
+    return t.spark.sql("SELECT key AS doc_id, count(*) AS chunks, sum(n_tokens) AS total FROM pack_rows(TABLE(SELECT conv_id, text, turn FROM turns_to_pack) PARTITION BY conv_id ORDER BY (turn), 100) GROUP BY key")
+
+
 @book.query("""SELECT o_custkey, (rn - 1) // 10 AS batch, string_agg(o_orderstatus || o_orderkey, '; ' ORDER BY o_orderkey) AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) GROUP BY ALL""")
 def pack_rows(t):
     o = t.orders.select("o_custkey", "o_orderkey", F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("line"))

@@ -86,6 +86,44 @@ def graph_union(t):
     return G.union_edges(e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("b").alias("source"))).select("src", "dst", "weight")
 
 
+def line_graphs(t):
+    """A graph of parts and suppliers for each line number: nodes, edges."""
+    e = t.lineitem.groupBy(F.col("l_linenumber").alias("seq"), (-F.col("l_suppkey") - 1).alias("src"), F.col("l_partkey").alias("dst")).agg(
+        F.count("*").cast("double").alias("weight"), F.min("l_returnflag").alias("description"), F.array(F.min("l_linestatus")).alias("keywords"))
+    e = e.withColumn("source_id", F.array("seq"))
+    ends = e.select("seq", F.explode(F.array("src", "dst")).alias("id"), "description").groupBy("seq", "id").agg(F.max("description").alias("description"))
+    return ends.select("seq", "id", F.when(F.col("id") < 0, F.concat(F.lit("supplier"), "seq")).otherwise(F.concat(F.lit("part"), "seq")).alias("type"), "description", F.array("seq").alias("source_id")), e
+
+
+LINES = """WITH e AS (SELECT l_linenumber AS seq, -l_suppkey - 1 AS src, l_partkey AS dst, count(*)::DOUBLE AS weight, min(l_returnflag) AS description, min(l_linestatus) AS keyword FROM lineitem GROUP BY ALL),
+n AS (SELECT seq, id, (CASE WHEN id < 0 THEN 'supplier' ELSE 'part' END) || seq AS type, max(description) AS description FROM (SELECT seq, src AS id, description FROM e UNION ALL SELECT seq, dst, description FROM e) GROUP BY seq, id),
+ue AS (SELECT src, dst, sum(weight) AS weight, string_agg(description, '<SEP>' ORDER BY seq) AS description, string_agg(keyword, ',' ORDER BY seq) AS keywords, string_agg(seq, ',' ORDER BY seq) AS sources FROM e GROUP BY ALL)
+"""
+
+
+@book.query(LINES + """, d AS (SELECT id, count(*) AS rank FROM (SELECT src AS id FROM ue UNION ALL SELECT dst FROM ue) GROUP BY 1)
+SELECT id, arg_min(type, seq) AS type, string_agg(description, '<SEP>' ORDER BY seq) AS description, string_agg(seq, ',' ORDER BY seq) AS sources, any_value(rank) AS rank FROM n JOIN d USING (id) GROUP BY id""")
+def graph_union_nodes(t):
+    return G.union_graphs(*line_graphs(t))[0].select("id", "type", "description", F.array_join(F.transform("source_id", lambda x: x.cast("string")), ",").alias("sources"), "rank")
+
+
+@book.query(LINES + "SELECT * FROM ue")
+def graph_union_edges(t):
+    e = G.union_graphs(*line_graphs(t))[1]
+    return e.select("src", "dst", "weight", "description", F.array_join("keywords", ",").alias("keywords"), F.array_join(F.transform("source_id", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@book.query(LINES + """SELECT 'node' AS kind, id AS a, NULL::BIGINT AS b, arg_max(type, seq) AS type, arg_max(description, seq) AS description, NULL::DOUBLE AS weight, string_agg(seq, ',' ORDER BY seq) AS sources FROM n WHERE seq NOT IN (2, 7) GROUP BY id
+UNION ALL SELECT 'edge', src, dst, arg_max(keyword, seq), arg_max(description, seq), arg_max(weight, seq), max(seq)::VARCHAR FROM e WHERE seq NOT IN (2, 7) GROUP BY src, dst""")
+def graph_rebuild_attributes(t):
+    """All line graphs but two put together again; the latest wins."""
+    nodes, edges = line_graphs(t)
+    n, e = G.rebuild_graphs(nodes, edges, t.lineitem.where("l_linenumber in (2, 7)").select(F.col("l_linenumber").alias("source")))
+    sources = F.array_join(F.transform("source_id", lambda x: x.cast("string")), ",").alias("sources")
+    n = n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "type", "description", F.lit(None).cast("double").alias("weight"), sources)
+    return n.unionByName(e.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.get("keywords", 0).alias("type"), "description", "weight", sources))
+
+
 @book.query("""SELECT c_custkey AS id, CASE WHEN c_nationkey = 0 THEN 'added' ELSE 'kept' END AS change FROM customer""")
 def graph_changes(t):
     n = t.customer.select(F.col("c_custkey").alias("id"), "c_nationkey")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.catalog import union_all
 
 
-def scan_chunks(spark: SparkSession, paths: list[str], kb_ids: list | None = None, columns: list[str] | None = None) -> DataFrame:
-    """All tables that are there as one, missing columns null, pruned to datasets and columns."""
+def scan_chunks(spark: SparkSession, paths: list[str], kb_ids: list | None = None, columns: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
+    """All tables that are there as one, missing columns null, pruned to datasets and columns, in a global order if one is given."""
     found = []
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -19,6 +19,7 @@ def scan_chunks(spark: SparkSession, paths: list[str], kb_ids: list | None = Non
             df = spark.read.parquet(path)
             found.append(df.where(F.col("kb_id").isin(kb_ids)) if kb_ids is not None and "kb_id" in df.columns else df)
     out = union_all(found) if found else spark.createDataFrame([], "id string")
+    out = out.orderBy(*order) if order else out
     return out.select(*columns) if columns else out
 
 
@@ -103,6 +104,19 @@ def jdbc_query(spark: SparkSession, options: dict[str, str], sql: str, params: d
     return [plain_types(spark.read.format("jdbc").options(**options).option("query", s).load()).limit(max_records) for s in statements(sql, params)]
 
 
+def jdbc_table(spark: SparkSession, options: dict[str, str], table: str, column: str, partitions: int) -> DataFrame:
+    """A table (or a subquery with a name) of a database, read in partitions of a numeric column between its ends.
+
+    The ends are asked for first, one row; filters and columns of what follows go to the database with each partition.
+    """
+    reader = spark.read.format("jdbc").options(**options)
+    ends = reader.option("query", f"SELECT min({column}) AS LO, max({column}) AS HI FROM {table}").load().head()
+    whole = spark.read.format("jdbc").options(**options, dbtable=table)
+    if ends is None or ends[0] is None:
+        return whole.load()
+    return whole.options(partitionColumn=column, lowerBound=str(ends[0]), upperBound=str(ends[1] + 1), numPartitions=str(partitions)).load()
+
+
 def token_match(column: str, query: str, share: float = 0.3) -> Column:
     """Whether a text has at least a share of the query's tokens."""
     from ..functions.text import tokens
@@ -128,5 +142,16 @@ def field_map(maps: DataFrame) -> DataFrame:
     return maps.select("seq", F.explode("fields").alias("name", "label")).groupBy("name").agg(F.max_by("label", "seq").alias("label"))
 
 
+def write_run(hits: DataFrame, path: str, name: str) -> None:
+    """Ranked hits (query_id, rank, chunk_id, score) as lines of a run file: query, Q0, chunk, rank, score, name."""
+    cells = [F.col(c).cast("string") for c in ("query_id", "chunk_id", "rank", "score")]
+    hits.select(F.concat_ws(" ", cells[0], F.lit("Q0"), *cells[1:], F.lit(name)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_qrels(qrels: DataFrame, path: str) -> None:
+    """Judgements (query_id, chunk_id, rel) as tab-separated lines that load_qrels reads."""
+    qrels.select("query_id", F.lit("0").alias("q0"), "chunk_id", "rel").write.mode("overwrite").csv(path, sep="\t")
+
+
 def write_eval_report(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
