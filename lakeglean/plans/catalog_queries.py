@@ -1,10 +1,10 @@
 """Catalog operators over the order tables, events and documents."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import catalog as C
+from ..operators import services as S
 from .book import Book
 
 book = Book()
@@ -91,8 +91,7 @@ def array_value_counts(t):
 @book.query("""SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE n_chars > 500 GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE n_chars > 500 GROUP BY source""")
 def facet_counts(t):
     """Both facets in one pass over the rows."""
-    long = t.documents.where("n_chars > 500").select(F.explode(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")).alias("facet", "value"))
-    return long.groupBy("facet", "value").agg(F.count("*").alias("n"))
+    return S.facets(t.documents, ["lang", "source"], F.col("n_chars") > 500)
 
 
 @book.query("""SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders WHERE o_orderpriority = '1-URGENT'""")
@@ -103,19 +102,22 @@ def with_total(t):
 @book.query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS pv, count(DISTINCT user_id) AS uv, round(sum(value), 6) AS total, round(avg(value), 6) AS mean,
 count(*) FILTER (event_type = 'purchase') AS up, round(sum(value) / (count(*) + 0.1), 6) AS speed FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY 1""")
 def daily_stats(t):
-    e = t.events.where(F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz"))
-    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        F.count("*").alias("pv"), F.countDistinct("user_id").alias("uv"), r6(F.sum("value")).alias("total"), r6(F.avg("value")).alias("mean"),
-        F.count_if(F.col("event_type") == "purchase").alias("up"), r6(F.sum("value") / (F.count("*") + 0.1)).alias("speed"),
-    )
+    own = S.daily_stats(t.events, "ts", "user_id", {"total": "value"}, {"mean": "value"}, {"up": F.col("event_type") == "purchase"}, F.lit("2024-01-03").cast("timestamp_ntz"))
+    return own.withColumn("speed", r6(S.speed(F.col("total"), F.col("pv")))).withColumns({"total": r6("total"), "mean": r6("mean")})
 
 
 @book.query("""SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS processing, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderstatus = 'P') AS failed,
 coalesce(sum(o_totalprice) FILTER (o_orderpriority <> '5-LOW'), 0) AS size FROM orders GROUP BY o_custkey""")
 def status_rollup(t):
-    s = F.col("o_orderstatus")
-    size = F.coalesce(F.sum(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))), F.lit(0.0))
-    return t.orders.groupBy("o_custkey").agg(F.count_if(s == "O").alias("processing"), F.count_if(s == "F").alias("finished"), F.count_if(s == "P").alias("failed"), size.alias("size"))
+    counts = S.status_counts(t.orders, "o_custkey", "o_orderstatus", {"processing": "O", "finished": "F", "failed": "P"}).drop("cancelled")
+    return counts.join(S.total_size(t.orders, "o_totalprice", "o_custkey", F.col("o_orderpriority") != "5-LOW"), "o_custkey")
+
+
+@book.query("""SELECT o_custkey, count(*) FILTER (s = 'O' AND NOT c) AS processing, count(*) FILTER (s = 'F' AND NOT c) AS finished, count(*) FILTER (s = 'P' AND NOT c) AS failed, count(*) FILTER (c) AS cancelled
+FROM (SELECT o_custkey, o_orderstatus AS s, o_orderpriority = '1-URGENT' AS c FROM orders) GROUP BY 1""")
+def cancelled_rollup(t):
+    """Urgent orders as cancelled ones."""
+    return S.status_counts(t.orders, "o_custkey", "o_orderstatus", {"processing": "O", "finished": "F", "failed": "P"}, F.col("o_orderpriority") == "1-URGENT")
 
 
 @book.query("""WITH k AS (SELECT o_orderkey % 500 AS doc_id, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'P' THEN -1.0 ELSE 0.5 END AS p, o_orderkey % 3 AS priority, o_orderstatus AS m FROM orders WHERE o_orderstatus <> 'O' OR o_orderkey % 500 < 250),
@@ -280,18 +282,27 @@ def dedup_content_id(t):
 
 @book.query("""SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM conversations""")
 def section_ids(t):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t.conversations.select("conv_id", "turn", F.sum((F.col("role") == "user").cast("long")).over(w).alias("section"))
+    return S.sections(t.conversations, "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "section")
 
 
 @book.query("""WITH a AS (SELECT *, sum(CASE WHEN text LIKE '%.%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations)
 SELECT conv_id, g::BIGINT AS pair, string_agg(text, E'\n' ORDER BY turn) AS body FROM a GROUP BY ALL""")
 def fold_continuations(t):
     """A line without a stop goes on the line before it."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    a = t.conversations.withColumn("pair", F.sum(F.col("text").contains(".").cast("long")).over(w))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    return a.groupBy("conv_id", "pair").agg(F.array_join(lines, "\n").alias("body"))
+    return S.fold_continuations(t.conversations, "conv_id", "turn", "text", F.col("text").contains("."))
+
+
+_W = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pM\\pN]+'), lambda x: x <> '')"
+
+
+@book.query(f"""WITH a AS (SELECT *, len({_W}) AS n FROM conversations), b AS (SELECT *, sum(n) OVER c AS total, turn = max(turn) OVER c AS l FROM a WINDOW c AS (PARTITION BY conv_id)),
+k AS (SELECT *, sum(n) OVER c AS kept, turn = min(turn) OVER c AS f FROM b WHERE total < 120 OR role = 'system' OR l WINDOW c AS (PARTITION BY conv_id)),
+e AS (SELECT *, max(n) FILTER (f) OVER c AS x, max(n) FILTER (l) OVER c AS y FROM k WINDOW c AS (PARTITION BY conv_id)),
+r AS (SELECT *, CASE WHEN kept >= 120 AND x > 0.8 * (x + y) AND f THEN CASE WHEN 120 >= y THEN 120 - y ELSE greatest(x + 120 - y, 0) END WHEN kept >= 120 AND x <= 0.8 * (x + y) AND l THEN CASE WHEN 120 >= y THEN 120 - y ELSE 120 END END AS room FROM e)
+SELECT conv_id, turn, CASE WHEN room IS NOT NULL AND n > room THEN array_to_string({_W}[1:room], ' ') ELSE text END AS text FROM r""")
+def history_budget(t):
+    """Conversations in 120 tokens, by the rule of four fifths."""
+    return S.fit_history(t.conversations, 120).select("conv_id", "turn", "text")
 
 
 @book.query("""WITH a AS (SELECT *, length(text) AS n FROM conversations), s AS (SELECT conv_id, sum(n) AS total, max(turn) AS last, min(turn) AS first FROM a GROUP BY 1)
