@@ -172,6 +172,20 @@ def attribute_citations(pairs: DataFrame) -> DataFrame:
     return top_k(four, ["answer_id", "chunk_id"], -F.col("i"), 1).select("answer_id", "i", "chunk_id")
 
 
+def sentence_similarity(sents: DataFrame, chunks: DataFrame, candidates: DataFrame, freq: DataFrame, tw: float = 0.1, vw: float = 0.9) -> DataFrame:
+    """(answer_id, i, chunk_id, sim): tw * weighted token similarity + vw * cosine, for attribute_citations.
+
+    sents: (answer_id, i, sentence, vector); chunks: (chunk_id, text, vector); candidates: (answer_id, chunk_id), the chunks
+    that an answer was made from; freq: (term, freq, df) of the corpus. Only candidates are compared; null texts share no token.
+    """
+    own = sents.withColumn("query_id", F.concat_ws(":", F.col("answer_id").cast("string"), F.col("i").cast("string")))
+    pairs = own.join(candidates, "answer_id")
+    words = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    tk = P.token_similarity(P.term_weights(P.query_terms(own, "query_id", "sentence"), freq), words, pairs)
+    scored = pairs.select("query_id", "answer_id", "i", "chunk_id", F.col("vector").alias("qv")).join(chunks.select("chunk_id", F.col("vector").alias("cv")), "chunk_id").join(tk, ["query_id", "chunk_id"], "left")
+    return scored.select("answer_id", "i", "chunk_id", (tw * F.coalesce("tksim", F.lit(0.0)) + vw * F.coalesce(cosine(F.col("qv"), F.col("cv")), F.lit(0.0))).alias("sim"))
+
+
 def assemble_context(hits: DataFrame, budget: int) -> DataFrame:
     """(query_id, context): ID, title and content of ranked hits (query_id, rank, chunk_id, title, text, tokens) within the budget."""
     run = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

@@ -342,6 +342,21 @@ def citation_attribution(t):
     return R.attribute_citations(s.join(c, "conv_id").select("answer_id", "i", "chunk_id", sim.alias("sim")))
 
 
+@book.query()
+def citation_hybrid(t):
+    """Sentences of assistant turns against the user turns of their conversation, by weighted tokens and vectors of hashed words."""
+    from ..operators.embed import embed
+
+    turns = t.conversations.where("text is not null").withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
+    sents = embed(R.sentences(turns.where("role = 'assistant'").withColumnRenamed("at", "answer_id"), "answer_id", "text"), "sentence")
+    asked = turns.where("role = 'user'").withColumnRenamed("at", "chunk_id")
+    own = cut(embed(asked.select("chunk_id", "text", "conv_id"), "text"))
+    candidates = turns.where("role = 'assistant'").select(F.col("at").alias("answer_id"), "conv_id").join(own.select("conv_id", "chunk_id"), "conv_id").drop("conv_id")
+    terms_ = sents.select(F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("term"))
+    freq = S.frequencies(terms_, own, F.col("text"))
+    return R.attribute_citations(R.sentence_similarity(cut(sents), own, candidates, freq))
+
+
 @book.query(BASE + """, h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(presence, 6) DESC, chunk_id) AS rank FROM m QUALIFY rank <= 5),
 u AS (SELECT h.*, lang, text AS body, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM h JOIN documents ON doc_id = chunk_id)
 SELECT query_id, string_agg('ID: ' || chunk_id || E'\nTitle: ' || lang || E'\nContent: ' || body, E'\n\n' ORDER BY rank) AS context FROM u WHERE used <= 8000 GROUP BY 1""")

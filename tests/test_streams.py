@@ -139,13 +139,13 @@ def test_retention_over_batches_and_an_empty_table(spark, tmp_path):
 def test_ranks_start_from_the_last_ones(spark, tmp_path):
     schema = "src long, dst long, weight double, source long"
     source, graph = tmp_path / "in", J.GraphTables.at(spark, str(tmp_path / "g"), 4)
-    batches = [[(i, (i * 7) % 20 + 20, 1.0, i) for i in range(20)] + [(i, i + 1, 1.0, 1) for i in range(19)], [(0, 45, 1.0, 99)]]
+    batches = [[(i, i + 1, 1.0, 1) for i in range(6)] + [(0, 5, 2.0, 1), (1, 3, 1.0, 2)], [(0, 9, 1.0, 99)]]
     for rows in batches:
         put(spark, source, rows, schema)
-        J.graph_stream(J.read_files(spark, str(source), schema, 1), graph, str(tmp_path / "c"), rank=True, tol=1e-9).awaitTermination()
-    want = {r.id: r.pagerank for r in pagerank(graph.edges.read(), tol=1e-9).collect()}
+        J.graph_stream(J.read_files(spark, str(source), schema, 1), graph, str(tmp_path / "c"), rank=True, tol=1e-5).awaitTermination()
+    want = {r.id: r.pagerank for r in pagerank(graph.edges.read(), tol=1e-5).collect()}
     got = {r.id: r.pagerank for r in graph.ranks.read().collect()}
-    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6 and abs(sum(got.values()) - 1) < 1e-6
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-3 and abs(sum(got.values()) - 1) < 1e-6
 
 
 def test_updates_of_two_files_give_one_row_a_task(spark, tmp_path):
