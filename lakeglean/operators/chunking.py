@@ -398,9 +398,9 @@ def chunk_book(docs: DataFrame, depth: int = 5, n: int = 218) -> DataFrame:
     per = said.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("o"), "line", "parts"))).alias("c"))
     text = F.transform("c", lambda x: F.array_join(x["parts"], "\n"))
     sizes = F.transform("c", lambda x: F.when(F.size(x["parts"]) == 1, n_tokens(x["parts"][0]).cast("int")).otherwise(n))
-    per = per.select("doc_id", text.alias("p"), group_ids(sizes, n - 1).alias("g"))
+    per = packed(per, text, "\n", n - 1, sizes=sizes)
     plain = docs.select("doc_id", "text").where(heading_grammar(F.split("text", "\n")) < 0)
-    return exploded(per, joined_groups("p", "g", "\n")).unionByName(chunk_merge(plain, 256, "\n。；！？"))
+    return unpacked(per, "doc_id", counted=False).unionByName(chunk_merge(plain, 256, "\n。；！？"))
 
 
 def chunk_one(docs: DataFrame) -> DataFrame:
