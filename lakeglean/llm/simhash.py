@@ -17,6 +17,8 @@ left out, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components, cut
+from ..operators.components import connected_components, cut, tidy
 from .common import map_slices, record_batch, texts, words
 
 SEED = 42
@@ -332,17 +334,14 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
     verified links join are never judged, and a cloud's pairs are never emitted.
     """
     source = texts(docs, id_col, text_col)
-    keyed = cut(source.select("doc_id", F.md5("text").alias("h")))
-    first = cut(keyed.select("h").distinct().withColumn("rep", F.monotonically_increasing_id()))
 
-    def of(numbers: DataFrame) -> DataFrame:
-        """(doc_id: the number, text) of distinct texts (h, rep)."""
-        return source.select(F.md5("text").alias("h"), "text").join(numbers, "h").dropDuplicates(["h"]).select(F.col("rep").alias("doc_id"), "text")
+    def marks(batch: pa.RecordBatch) -> dict:
+        own = batch.column("text").to_pylist()
+        return {"doc_id": batch.column("doc_id"), "h": [hashlib.md5(t).hexdigest() for t in own], "fps": [word_fingerprints(t, hashes) for t in own]}
 
-    fps = cut(
-        map_slices(of(first), lambda b: {"doc_id": b.column("doc_id"), "fps": [word_fingerprints(t, hashes) for t in b.column("text").to_pylist()]}, "doc_id long, fps array<long>")
-        .select("doc_id", F.posexplode("fps").alias("k", "fp"))
-    )
+    keyed = cut(map_slices(source, marks, "doc_id long, h string, fps array<long>"))
+    first = cut(keyed.groupBy("h").agg(F.first("fps").alias("fps")).withColumn("rep", F.monotonically_increasing_id()))
+    fps = first.select(F.col("rep").alias("doc_id"), F.posexplode("fps").alias("k", "fp"))
     # the number of the hash stands above a fingerprint's bits, which no variant touches there: so all are linked in one pass
     marked = fps.select("doc_id", F.col("fp").bitwiseOR(F.shiftleft(F.col("k").cast("long"), BITS)).alias("fp"))
     lead = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -350,31 +349,36 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
     near = near.join(lead.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a").join(lead.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
     candidates = marked.join(lead, "fp").where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")).unionByName(near).where("src <> dst")
     candidates = cut(candidates.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    tidy(docs.sparkSession)  # of the variants
     ends = candidates.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    bodies = cut(of(first.join(ends.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")))
+    # the only shuffle of all texts; those of candidates are kept packed
+    wanted = first.select("h", F.col("rep").alias("doc_id")).join(ends, "doc_id")
+    chosen = source.select(F.md5("text").alias("h"), "text").join(wanted, "h").dropDuplicates(["h"]).select("doc_id", "text")
+    bodies = cut(map_slices(chosen, lambda b: {"doc_id": b.column("doc_id"), "body": [zlib.compress(t, 1) for t in b.column("text").to_pylist()]}, "doc_id long, body binary"))
+    tidy(docs.sparkSession)
 
     def judge(batch: pa.RecordBatch) -> dict:
         out, known = [], {}
         for i, x, y in zip(batch.column("src").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             if i not in known:
-                known = {i: shingle_set(x, size)}
-            a, b = known[i], shingle_set(y, size)
+                known = {i: shingle_set(zlib.decompress(x), size)}
+            a, b = known[i], shingle_set(zlib.decompress(y), size)
             both = len(a & b)
             out.append(1.0 if not a and not b else both / (len(a) + len(b) - both))
         return {"src": batch.column("src"), "dst": batch.column("dst"), "similarity": out}
 
     def checked(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(bodies.select(F.col("doc_id").alias("src"), F.col("text").alias("x")), "src").join(bodies.select(F.col("doc_id").alias("dst"), F.col("text").alias("y")), "dst")
+        sides = pairs.join(bodies.select(F.col("doc_id").alias("src"), F.col("body").alias("x")), "src").join(bodies.select(F.col("doc_id").alias("dst"), F.col("body").alias("y")), "dst")
         return cut(map_slices(sides, judge, "src long, dst long, similarity double", column="x"))
 
     joined = F.col("similarity") >= similar
-
     cloud = cut(connected_components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("cloud")))
     # c: the hub that a member has joined, or itself; open: neither joined nor a hub yet
     members = cloud.join(fps.where("k = 0").select("doc_id", "fp"), "doc_id").withColumns({"c": F.col("doc_id"), "open": F.lit(True)})
     judged = None
     for _ in range(STARS):
         members = cut(members)
+        tidy(docs.sparkSession)
         hubs = cut(hub(members.where("open")))
         stars = members.where("open").join(hubs, "cloud").where("doc_id <> hub").select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
         now = checked(stars).where(joined)
@@ -384,11 +388,12 @@ def near_duplicate_texts(docs: DataFrame, similar: float = SIMILAR, size: int =
     apart = members.select("cloud", "doc_id", "c")
     several = apart.groupBy("cloud").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("cloud")
     apart = cut(apart.join(several, "cloud", "left_semi"))
+    tidy(docs.sparkSession)
 
     def shingled(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "set": [np.unique(np.array(shingle_hashes(t, size), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]}
+        return {"doc_id": batch.column("doc_id"), "set": [np.unique(np.array(shingle_hashes(t, size), np.uint64)).tobytes() for t in map(zlib.decompress, batch.column("body").to_pylist())]}
 
-    sets = map_slices(bodies.join(apart.select("doc_id"), "doc_id", "left_semi"), shingled, "doc_id long, set binary")
+    sets = map_slices(bodies.join(apart.select("doc_id"), "doc_id", "left_semi"), shingled, "doc_id long, set binary", column="body")
     more = within_clouds(apart.join(sets, "doc_id"), similar)
     component = connected_components(judged.unionByName(more).select("src", "dst"))
     of_text = first.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("c"))
