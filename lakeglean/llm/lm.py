@@ -190,29 +190,39 @@ def lay(docs: list[np.ndarray], inputs: np.ndarray, most: int = LANES) -> Lanes:
 
 
 def forward(p: Params, gates: np.ndarray, x: np.ndarray, h: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States (steps, lanes, HIDDEN) over inputs (steps, lanes), and the last. A document's first step starts at zero."""
-    u, out = p["u"], np.empty((*x.shape, HIDDEN), np.float32)
+    """States (steps, lanes, HIDDEN) over inputs (steps, lanes), and the last. A document's first step starts at zero.
+
+    kept gets what backward needs of all steps: states before, z and r, h @ u, n.
+    """
+    u, kind = p["u"], np.result_type(p["u"], gates, h)
+    out = np.empty((*x.shape, HIDDEN), kind)
     a, first = gates[x], x == START
     fresh = first.any(1)
+    steps = len(x) if kept is not None else 1  # rows of the buffers
+    zrs, hus, ns = (np.empty((steps, x.shape[1], k * HIDDEN), kind) for k in (2, 3, 1))
+    before = np.empty_like(out) if kept is not None else None
     for t in range(len(x)):
         if fresh[t]:
-            h = np.where(first[t][:, None], np.float32(0), h)
-        hu = h @ u
-        zr = a[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN]
+            h = np.where(first[t][:, None], kind.type(0), h)
+        at = t if kept is not None else 0
+        hu = np.matmul(h, u, out=hus[at])
+        zr = np.add(a[t, :, : 2 * HIDDEN], hu[:, : 2 * HIDDEN], out=zrs[at])
         zr *= 0.5
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
-        z, r, hn = zr[:, :HIDDEN], zr[:, HIDDEN:], hu[:, 2 * HIDDEN :]
-        n = r * hn
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        n = np.multiply(r, hu[:, 2 * HIDDEN :], out=ns[at])
         n += a[t, :, 2 * HIDDEN :]
         np.tanh(n, out=n)
-        new = h - n
+        new = np.subtract(h, n, out=out[t])
         new *= z
         new += n
-        if kept is not None:
-            kept.append((h, z, r, hn, n))
-        out[t] = h = new
+        if before is not None:
+            before[t] = h
+        h = new
+    if kept is not None:
+        kept.extend((before, zrs[..., :HIDDEN], zrs[..., HIDDEN:], hus[..., 2 * HIDDEN :], ns))
     return out, h
 
 
@@ -232,44 +242,49 @@ def output(p: Params, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: P
     i = np.arange(len(h))
     gold = a[i, cls]
     np.exp(a, out=a)
-    total = a.sum(1)
+    total = a @ np.ones(a.shape[1], np.float32)  # as a product: sums along short rows are slow
     out = gold - np.log(total)
     dh = None
     if grads is not None:
         a /= total[:, None]
         a[i, cls] -= 1
         grads["c"] += h.T @ a
-        grads["d"] += a.sum(0)
+        grads["d"] += np.ones(len(a), np.float32) @ a
         dh = a @ p["c"].T
     soft = np.flatnonzero(word >= 0)
-    order = soft[np.argsort(word[soft] // PER, kind="stable")]
-    ends = np.searchsorted(word[order] // PER, np.arange(CLASSES + 1))
+    order = soft[np.argsort((word[soft] // PER).astype(np.int16), kind="stable")]
+    sorted_word, hs = word[order], h[order]
+    ends, found, ds = np.searchsorted(sorted_word // PER, np.arange(CLASSES + 1)), np.empty(len(order), a.dtype), np.empty(hs.shape, a.dtype)
+    row = np.ones(PER, np.float32)
     for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if not len(rows):
+        here = slice(ends[k], ends[k + 1])
+        if here.start == here.stop:
             continue
-        own, hk = slice(k * PER, (k + 1) * PER), h[rows]
+        own, hk = slice(k * PER, (k + 1) * PER), hs[here]
         b = hk @ p["w"][own].T
         b += p["b"][own]
         np.minimum(b, 80, out=b)
-        j, at = np.arange(len(rows)), word[rows] - k * PER
+        j, at = np.arange(len(hk)), sorted_word[here] - k * PER
         gold = b[j, at]
         np.exp(b, out=b)
-        total = b.sum(1)
-        out[rows] += gold - np.log(total)
+        total = b @ row
+        found[here] = gold - np.log(total)
         if grads is not None:
             b /= total[:, None]
             b[j, at] -= 1
             grads["w"][own] += b.T @ hk
-            grads["b"][own] += b.sum(0)
-            dh[rows] += b @ p["w"][own]
+            grads["b"][own] += np.ones(len(b), np.float32) @ b
+            np.matmul(b, p["w"][own], out=ds[here])
+    out[order] += found
+    if grads is not None:
+        dh[order] += ds
     return out, dh
 
 
 def backward(p: Params, x: np.ndarray, kept: list, dout: np.ndarray, grads: Params) -> None:
     """Gradients through the steps of one window; they end at its first step and at each document's first."""
     ut, dh, first = p["u"].T.copy(), np.zeros_like(dout[0]), x == START
-    h, z, r, hn, n = (np.stack(k) for k in zip(*kept, strict=True))
+    h, z, r, hn, n = kept
     to_n, to_z, to_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), hn * r * (1 - r)
     dx = np.empty((*x.shape, 3 * HIDDEN), np.float32)
     da = np.empty_like(dx)
