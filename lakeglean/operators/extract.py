@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import without_blanks
+
 # Entity patterns (matched without regard to case) and English stop words.
 PATTERNS = {
     "PERSON": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b",
@@ -38,13 +40,13 @@ def extract_keywords(docs: DataFrame, k: int = 20, least: int = 3) -> DataFrame:
 
 
 def extract_summary(docs: DataFrame, sentences: int = 3, most: int = 200) -> DataFrame:
-    """(doc_id, summary, ratio): all of at most `sentences` sentences, else the first and the last, cut with '...'."""
-    s = F.filter(F.transform(F.split("text", "[.!?]+"), lambda x: F.trim(x)), lambda x: x != "")
+    """(doc_id, summary, ratio): all of at most `sentences` sentences, else the first and the last, cut with '...'; null of a null text."""
+    s = F.filter(F.transform(F.split("text", "[.!?]+"), without_blanks), lambda x: x != "")
     own = docs.select("doc_id", F.length("text").alias("n"), s.alias("s"))
     kept = F.when(F.size("s") <= sentences, F.col("s")).otherwise(F.array(F.get("s", 0), F.element_at("s", -1)))
-    full = F.concat(F.array_join(kept, ". "), F.lit("."))
+    full = F.when(F.col("s").isNotNull(), F.concat(F.array_join(kept, ". "), F.lit(".")))
     cut = F.when(F.length(full) > most, F.concat(F.substring(full, 1, most), F.lit("..."))).otherwise(full)
-    return own.select("doc_id", cut.alias("summary"), F.when(F.col("n") > 0, F.length(cut) / F.col("n")).otherwise(0.0).alias("ratio"))
+    return own.select("doc_id", cut.alias("summary"), F.when(F.col("n") > 0, F.length(cut) / F.col("n")).when(F.col("n") == 0, 0.0).alias("ratio"))
 
 
 ITEMS = "array<struct<extraction_class string, extraction_text string, attributes map<string,string>>>"

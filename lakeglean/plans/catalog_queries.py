@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..operators import catalog as C
 from ..operators import services as S
-from .book import Book
+from .book import Book, r6
 
 book = Book()
-r6 = lambda c: F.round(c, 6)
 
 
 @book.query("""SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0""")

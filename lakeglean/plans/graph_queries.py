@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import kgsearch as K
 from ..operators.components import connected_components
-from .book import Book
+from .book import Book, r6
 
 book = Book()
-r6 = lambda c: F.round(c, 6)
 
 TRADE = """WITH RECURSIVE raw AS (SELECT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 edges AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*)::DOUBLE AS weight FROM raw GROUP BY ALL)

@@ -1,7 +1,6 @@
 """Queries against their SQL on inputs that larger tables have and the smallest do not."""
 
 import duckdb
-import pytest
 from compare import same
 
 from lakeglean.plans import BOOKS
@@ -22,3 +21,14 @@ def agrees(spark, folder, name, **tables):
 def test_names_with_the_same_pieces_are_not_equal(spark, tmp_path):
     supplier = "select i::bigint as s_suppkey, 'Supplier#' || lpad(n, 9, '0') as s_name, 3 as s_nationkey from (values (1, '11'), (2, '111'), (3, '111'), (4, '1110'), (5, NULL)) t(i, n)"
     agrees(spark, tmp_path, "similar_suppliers", supplier=supplier)
+
+
+def test_summary_ratios_round_as_sql_does(spark, tmp_path):
+    # 203 of 3200 is 0.0634375, a tie of six digits that only the shortest decimal has
+    documents = "select i::bigint as doc_id, t as text from (values (1, repeat('a', 3200)), (2, NULL), (3, ''), (4, chr(160)), (5, 'a. b' || chr(8195) || '. . c'), (6, 'a b. c.')) t(i, t)"
+    agrees(spark, tmp_path, "extractive_summary", documents=documents)
+    for name in ("summary", "ratio"):
+        con = duckdb.connect()
+        con.execute(f"create table documents as {documents}")
+        want = dict(con.execute(f"select doc_id, {name} from ({ORACLES['extractive_summary']})").fetchall())
+        assert {r.doc_id: r[name] for r in QUERIES["extractive_summary"](spark, str(tmp_path)).collect()} == want
