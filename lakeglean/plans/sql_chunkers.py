@@ -9,6 +9,7 @@ from itertools import groupby
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
+from ..functions.text import BLANKS
 from ..operators.chunking import DELIMITERS, groups
 
 
@@ -35,11 +36,11 @@ class Chunk:
     def eval(self, text: str, n: int) -> Iterator[tuple]:
         parts: list[str] = []
         for line in (text or "").split("\n"):
-            if line.strip(" "):
-                parts += [p for p in re.split(f"[{re.escape(DELIMITERS)}]", line) if p.strip(" ")] if n_words(line) >= n else [line]
+            if line.strip(BLANKS):
+                parts += [p for p in re.split(f"[{re.escape(DELIMITERS)}]", line) if p.strip(BLANKS)] if n_words(line) >= n else [line]
         sizes = [n_words(p) for p in parts]
         for g, own in runs(groups(sizes, n, over=True)):
-            if (whole := "\n".join(parts[own])).strip(" "):
+            if (whole := "\n".join(parts[own])).strip(BLANKS):
                 yield g, whole, sum(sizes[own])
 
 

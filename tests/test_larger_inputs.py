@@ -32,3 +32,11 @@ def test_summary_ratios_round_as_sql_does(spark, tmp_path):
         con.execute(f"create table documents as {documents}")
         want = dict(con.execute(f"select doc_id, {name} from ({ORACLES['extractive_summary']})").fetchall())
         assert {r.doc_id: r[name] for r in QUERIES["extractive_summary"](spark, str(tmp_path)).collect()} == want
+
+
+TEXTS = "select i::bigint as doc_id, t as text from (values (1, 'one. two' || chr(10) || 'three'), (2, NULL), (3, ''), (4, '  '), (5, chr(10) || chr(10)), (6, chr(160)), (7, '...'), (8, repeat('word ', 300) || '. ' || repeat('more ', 70) || chr(10) || chr(8195)), (9, repeat('a b。', 99))) t(i, t)"
+
+
+def test_texts_without_chunks_are_counted_as_sql_does(spark, tmp_path):
+    for name in ("chunk_in_sql", "chunk_merge"):
+        agrees(spark, tmp_path, name, documents=TEXTS)
