@@ -40,3 +40,7 @@ TEXTS = "select i::bigint as doc_id, t as text from (values (1, 'one. two' || ch
 def test_texts_without_chunks_are_counted_as_sql_does(spark, tmp_path):
     for name in ("chunk_in_sql", "chunk_merge"):
         agrees(spark, tmp_path, name, documents=TEXTS)
+
+
+def test_texts_without_parts_are_counted_as_sql_does(spark, tmp_path):
+    agrees(spark, tmp_path, "chunk_regex", documents=TEXTS)
