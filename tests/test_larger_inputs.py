@@ -3,6 +3,7 @@
 import duckdb
 from compare import same
 
+from lakeglean.operators import graph as G
 from lakeglean.plans import BOOKS
 
 QUERIES = {n: q for b in BOOKS for n, q in b.queries.items()}
@@ -44,3 +45,24 @@ def test_texts_without_chunks_are_counted_as_sql_does(spark, tmp_path):
 
 def test_texts_without_parts_are_counted_as_sql_does(spark, tmp_path):
     agrees(spark, tmp_path, "chunk_regex", documents=TEXTS)
+
+
+def test_names_are_compared_once(spark, tmp_path):
+    """Many parts of few names: as many pairs as the SQL has, from a few comparisons of names."""
+    part = "select i::bigint as p_partkey, ['red bolt', 'red belt', 'cold anvil', 'hot ring', 'hot rings', NULL, 'old plate'][1 + i % 7] as p_name, 'b' || (i % 2) as p_brand from range(700) t(i)"
+    agrees(spark, tmp_path, "entity_pairs", part=part)
+    odd = {(r.a, r.b) for r in QUERIES["entity_pairs_blocked"](spark, str(tmp_path)).collect()}
+    assert odd == {(r.a, r.b) for r in QUERIES["entity_pairs"](spark, str(tmp_path)).collect() if r.a % 2 == 0 or r.b % 2 == 0}
+
+
+def test_comparisons_do_not_grow_with_the_nodes_of_a_name(spark):
+    names = spark.range(3000).selectExpr("id", "concat('name ', id % 3) as name", "'t' as type").select("type", "name").distinct()
+    assert G.similar_names(names).count() == 0  # a digit tells them apart
+    nodes = spark.range(600).selectExpr("id", "element_at(array('red bolt', 'red belt'), cast(id % 2 as int) + 1) as name", "'t' as type")
+    seen = []
+    original, G.similar_names = G.similar_names, lambda n: seen.append(n.count()) or original(n)
+    try:
+        assert G.entity_candidates(nodes).count() == 600 * 599 // 2
+    finally:
+        G.similar_names = original
+    assert seen == [2]
