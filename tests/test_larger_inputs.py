@@ -66,3 +66,10 @@ def test_comparisons_do_not_grow_with_the_nodes_of_a_name(spark):
     finally:
         G.similar_names = original
     assert seen == [2]
+
+
+def test_an_odd_node_pairs_with_a_new_one_in_either_order(spark):
+    nodes = spark.createDataFrame([(1, "red bolt", "t"), (2, "red belt", "t"), (3, "red bolt", "t"), (4, "red bolt", None), (5, None, "t")], "id long, name string, type string")
+    assert {tuple(r) for r in G.entity_candidates(nodes, nodes.where("id = 2")).collect()} == {(1, 2), (2, 3)}
+    twice = nodes.unionByName(spark.createDataFrame([(2, "red bolts", "t")], nodes.schema))
+    assert sorted(tuple(r) for r in G.entity_candidates(twice).collect()) == [(1, 2), (1, 3), (2, 3)]
