@@ -268,40 +268,45 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return cc.join(F.broadcast(top.select("component")), "component", "left_semi").select(F.col("node").alias("id"))
 
 
+#: Nodes whose labels go to all tasks at most; those of larger graphs are joined by shuffles.
+SENT_NODES = 1 << 18
+
+
 def communities(edges: DataFrame, max_size: int = 12, levels: int = 4, rounds: int = 8) -> DataFrame:
     """(level, id, community): local moving by modularity gain, then the same on the contracted graph.
 
     In a round each node looks at its neighbours' communities and moves to the best if that is a smaller label in even
     rounds, a larger one in odd rounds, so that two nodes do not swap for ever. A community at max_size takes no more.
+    Edges stay where their first node is, and those to communities that it may not move to are left out before sums are made.
     """
-    own, out = edges.select("src", "dst", "weight").where("src <> dst"), None
+    own, out = cut(edges.select("src", "dst", "weight").where("src <> dst")), None
     names = own.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("node"), F.lit(1).alias("one"))
     for level in range(levels):
-        both = cut(own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-        deg = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).join(names.groupBy("node").agg(F.count("*").alias("size")), "node"))
-        m2 = deg.agg(F.sum("k")).head()[0]
+        both = cut(own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).repartition("src"))
+        lab = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).join(names.groupBy("node").agg(F.count("*").alias("size")), "node").select("node", F.col("node").alias("c"), "k", "size"))
+        n, m2 = lab.agg(F.count("*"), F.sum("k")).head()
         if not m2:
             break
-        lab = deg.select("node", F.col("node").alias("c"))
+        sent = F.broadcast if n <= SENT_NODES else lambda x: x
         for i in range(rounds):
-            per = lab.join(deg, "node").groupBy("c").agg(F.sum("k").alias("ck"), F.sum("size").alias("cs"))
-            links = both.join(lab.select(F.col("node").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
-            cand = links.join(lab, "node").join(deg, "node").join(per.withColumnRenamed("c", "to"), "to")
+            per = lab.groupBy("c").agg(F.sum("k").alias("ck"), F.sum("size").alias("cs"))
+            to = lab.select(F.col("node").alias("dst"), "c").join(per, "c").withColumnRenamed("c", "to")
             same = F.col("to") == F.col("c")
-            gain = F.col("w") - F.col("k") * (F.col("ck") - F.when(same, F.col("k")).otherwise(0)) / m2
             turn = (F.col("to") < F.col("c")) if i % 2 == 0 else (F.col("to") > F.col("c"))
-            cand = cand.withColumn("gain", F.round(gain, 9)).where(same | (turn & (F.col("cs") + F.col("size") <= max_size)))
-            best = cand.groupBy("node").agg(F.max(F.struct("gain", same.cast("int").alias("stay"), "to")).alias("b")).where("b.gain > 0")
-            new = cut(lab.join(best, "node", "left").select("node", F.coalesce("b.to", "c").alias("c"), (F.coalesce("b.to", "c") != F.col("c")).alias("moved")))
+            near = both.join(sent(to), "dst").join(sent(lab.withColumnRenamed("node", "src")), "src").where(same | (turn & (F.col("cs") + F.col("size") <= max_size)))
+            cand = near.groupBy(F.col("src").alias("node"), "to", "c", "k", "ck").agg(F.sum("weight").alias("w"))
+            gain = F.col("w") - F.col("k") * (F.col("ck") - F.when(same, F.col("k")).otherwise(0)) / m2
+            best = cand.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.max(F.struct("gain", same.cast("int").alias("stay"), "to")).alias("b")).where("b.gain > 0")
+            new = cut(lab.join(best, "node", "left").select("node", F.coalesce("b.to", "c").alias("c"), "k", "size", (F.coalesce("b.to", "c") != F.col("c")).alias("moved")))
             moved = new.where("moved").isEmpty()
-            lab = new.select("node", "c")
+            lab = new.drop("moved")
             if moved and i:
                 break
-        names = cut(names.join(lab, "node").select("id", F.col("c").alias("node"), "one"))
+        names = cut(names.join(lab.select("node", "c"), "node").select("id", F.col("c").alias("node"), "one"))
         here = names.select(F.lit(level).alias("level"), "id", F.col("node").alias("community"))
         out = here if out is None else out.unionByName(here)
-        at = lambda e, c: e.join(lab.select(F.col("node").alias(c), F.col("c").alias("_c")), c).withColumn(c, F.col("_c")).drop("_c")
-        nxt = canonical(at(at(own, "src"), "dst")).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+        at = lambda e, c: e.join(sent(lab.select(F.col("node").alias(c), F.col("c").alias("_c"))), c).withColumn(c, F.col("_c")).drop("_c")
+        nxt = cut(canonical(at(at(own, "src"), "dst")).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
         if nxt.isEmpty():
             break
         own = nxt

@@ -2,8 +2,10 @@
 
 import duckdb
 from compare import same
+from pyspark.sql import functions as F
 
 from lakeglean.operators import graph as G
+from lakeglean.operators.components import cut
 from lakeglean.plans import BOOKS
 
 QUERIES = {n: q for b in BOOKS for n, q in b.queries.items()}
@@ -73,3 +75,19 @@ def test_an_odd_node_pairs_with_a_new_one_in_either_order(spark):
     assert {tuple(r) for r in G.entity_candidates(nodes, nodes.where("id = 2")).collect()} == {(1, 2), (2, 3)}
     twice = nodes.unionByName(spark.createDataFrame([(2, "red bolts", "t")], nodes.schema))
     assert sorted(tuple(r) for r in G.entity_candidates(twice).collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_estimates_do_not_multiply_over_rounds(spark):
+    """A checkpoint keeps the product of a join's estimates; the driver was busy with numbers of millions of digits."""
+    d = spark.range(9).withColumn("x", F.array("id"))
+    for _ in range(12):
+        d = cut(d.join(d.select("id"), "id"))
+    assert d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert sorted((r.id, r.x) for r in d.collect()) == [(i, [i]) for i in range(9)]
+
+
+def test_communities_by_shuffles_are_the_same(spark, monkeypatch):
+    edges = spark.range(200).selectExpr("id % 40 as src", "100 + (id * 7) % 23 as dst", "cast(1 + id % 5 as double) as weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    sent = sorted(map(tuple, G.communities(edges, levels=2, rounds=3).collect()))
+    monkeypatch.setattr(G, "SENT_NODES", 0)
+    assert sorted(map(tuple, G.communities(edges, levels=2, rounds=3).collect())) == sent and len(sent) == 126
