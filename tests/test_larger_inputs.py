@@ -5,6 +5,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from lakeglean.operators import graph as G
+from lakeglean.operators.catalog import roll_up
 from lakeglean.operators.components import cut
 from lakeglean.plans import BOOKS
 
@@ -91,3 +92,10 @@ def test_communities_by_shuffles_are_the_same(spark, monkeypatch):
     sent = sorted(map(tuple, G.communities(edges, levels=2, rounds=3).collect()))
     monkeypatch.setattr(G, "SENT_NODES", 0)
     assert sorted(map(tuple, G.communities(edges, levels=2, rounds=3).collect())) == sent and len(sent) == 126
+
+
+def test_levels_of_a_tree_are_cut_from_their_lineage(spark):
+    nodes = spark.range(1, 3000).selectExpr("id", "if(id > 1, id div 2, null) as parent")
+    tree = roll_up(nodes)
+    assert tree._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert {(r.ancestor, r.n) for r in tree.where("ancestor <= 2").groupBy("ancestor").agg(F.count("*").alias("n")).collect()} == {(1, 2999), (2, 1975)}
