@@ -1,10 +1,13 @@
 """Queries against their SQL on inputs that larger tables have and the smallest do not."""
 
+import random
+
 import duckdb
 from compare import same
 from pyspark.sql import functions as F
 
 from lakeglean.operators import graph as G
+from lakeglean.operators import kgsearch as K
 from lakeglean.operators.catalog import roll_up
 from lakeglean.operators.components import cut
 from lakeglean.plans import BOOKS
@@ -99,3 +102,25 @@ def test_levels_of_a_tree_are_cut_from_their_lineage(spark):
     tree = roll_up(nodes)
     assert tree._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
     assert {(r.ancestor, r.n) for r in tree.where("ancestor <= 2").groupBy("ancestor").agg(F.count("*").alias("n")).collect()} == {(1, 2999), (2, 1975)}
+
+
+def test_graph_search_looks_at_few_edges_and_finds_the_best(spark, monkeypatch):
+    """Hits beside a hub: its other edges cannot be among the best; without many edges of hits, all are looked at."""
+    r = random.Random(5)
+    vector = lambda x, y: [float(x), float(y)]
+    nodes = spark.createDataFrame([(i, f"t{i % 3}", 1.0, "n", vector(1, i / 10) if i < 3 else None) for i in range(400)], "id long, type string, pagerank double, description string, vector array<double>")
+    pairs = sorted({(i, 399) for i in range(399)} | {tuple(sorted(r.sample(range(60), 2))) for _ in range(150)})
+    edges = spark.createDataFrame([(k, a, b, float(1 + k % 3), "e", None) for k, (a, b) in enumerate(pairs)], "rel long, src long, dst long, weight double, description string, vector array<double>")
+    reports = spark.createDataFrame([], "community string, id long, weight double, text string")
+    q, types = spark.createDataFrame([(7, vector(1, 0))], "query_id long, vector array<double>"), spark.createDataFrame([(7, "t1")], "query_id long, type string")
+    hits = spark.createDataFrame([(7, i, 1 / (1 + (i / 10) ** 2) ** 0.5) for i in range(3)], "query_id long, id long, sim double")
+    lent = {(x.f, x.t): x.lent for x in K.lent_by_hops(hits, edges).collect()}
+    weight = {p: float(1 + k % 3) for k, p in enumerate(pairs)}
+    best = sorted(((-round(v * (1 + (f % 3 == 1) + (t % 3 == 1)) * weight[min(f, t), max(f, t)], 9), f, t) for (f, t), v in lent.items()))
+    seen, lend = [], K.lend
+    monkeypatch.setattr(K, "lend", lambda starts, *rest: seen.append(starts.count()) or lend(starts, *rest))
+    for n in (6, 2000):
+        seen.clear()
+        rows = K.search_graph(q, types, nodes, edges, reports, K.GraphSearch(relations=n, budget=10**6)).where("kind = 'relation'").orderBy("rank").collect()
+        assert [(x.a, x.b) for x in rows] == [(f, t) for _, f, t in best[:n]] and len(best) > 400
+        assert sum(seen) < 100 if n == 6 else sum(seen) >= len(best)
