@@ -4,10 +4,13 @@ import random
 
 import duckdb
 from compare import same
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lakeglean.operators import graph as G
 from lakeglean.operators import kgsearch as K
+from lakeglean.operators import vectors as V
 from lakeglean.operators.catalog import roll_up
 from lakeglean.operators.components import cut
 from lakeglean.plans import BOOKS
@@ -124,3 +127,20 @@ def test_graph_search_looks_at_few_edges_and_finds_the_best(spark, monkeypatch):
         rows = K.search_graph(q, types, nodes, edges, reports, K.GraphSearch(relations=n, budget=10**6)).where("kind = 'relation'").orderBy("rank").collect()
         assert [(x.a, x.b) for x in rows] == [(f, t) for _, f, t in best[:n]] and len(best) > 400
         assert sum(seen) < 100 if n == 6 else sum(seen) >= len(best)
+
+
+def test_lsh_pairs_are_not_shuffled(spark):
+    """The pairs that meet in a bucket, as Spark's own join finds them, without a join of rows."""
+    r = random.Random(2)
+    some = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    v = spark.createDataFrame([*some, (300, [0.0] * 8)], "chunk_id long, vector array<double>")
+    q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = V.knn_lsh(q, v, 5, width=0.05, tables=3)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    unit = spark.createDataFrame([(i, Vectors.dense([y / sum(z * z for z in x) ** 0.5 for y in x])) for i, x in some], ["chunk_id", "u"])
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=0.05, numHashTables=3, seed=1).fit(unit)
+    pairs = model.approxSimilarityJoin(unit.where("chunk_id % 20 = 0"), unit, 2.0, distCol="d").select("datasetA.chunk_id", "datasetB.chunk_id", "d").collect()
+    best = {}
+    for a, b, d in sorted(pairs, key=lambda x: (x[0], x[2])):
+        best.setdefault(a, []).append(b)
+    assert len(pairs) < 15 * 300 * 0.9 and {(x.query_id, x.chunk_id) for x in got.collect()} == {(a, b) for a, all_ in best.items() for b in all_[:5]}
